@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +55,16 @@ def utf8(column: str = "text") -> Column:
 def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
     """Whether a row is in the held-out fold: crc32 of the id as text, modulo ``folds``, is 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == 0, F.lit(False))
+
+
+def blocks(batches: Iterator[pa.RecordBatch], rows: int, size: int = 1 << 20, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows, and of about ``size`` bytes of text unless one text is longer."""
+    for whole in batches:
+        start, held = 0, 0
+        for at, own in enumerate(pc.binary_length(whole.column(column)).to_pylist()):
+            if at > start and (at - start >= rows or held + own > size):
+                yield whole.slice(start, at - start)
+                start, held = at, 0
+            held += own
+        if start < whole.num_rows:
+            yield whole.slice(start)
