@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_encode
 from .exact_dedup import exact_dedup
 from .langid import identify_language
+from .ngram_join import near_duplicate_components
 from .toxicity import find_toxic
 
 
@@ -30,6 +31,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_components(_table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_toxic(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -44,6 +49,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": op5_bpe,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_language_id": op9_language_id,
