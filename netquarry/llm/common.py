@@ -62,9 +62,9 @@ def blocks(batches: Iterator[pa.RecordBatch], rows: int, size: int = 1 << 20, co
     for whole in batches:
         start, held = 0, 0
         for at, own in enumerate(pc.binary_length(whole.column(column)).to_pylist()):
-            if at > start and (at - start >= rows or held + own > size):
+            if at > start and (at - start >= rows or held + (own or 0) > size):
                 yield whole.slice(start, at - start)
                 start, held = at, 0
-            held += own
+            held += own or 0
         if start < whole.num_rows:
             yield whole.slice(start)

@@ -87,5 +87,13 @@ def exact_dedup(documents: DataFrame, bits_per_row: int = 16, broadcast_bytes: i
 
 def drop_copies(documents: DataFrame, **options) -> DataFrame:
     """The documents that stay, with all their columns. Rows of one id with equal texts stay as one row."""
-    kept = exact_dedup(documents, **options).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return documents.dropDuplicates(["doc_id"]).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    kept = exact_dedup(documents, **options).where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("rows"))
+    kept = staged(kept, "kept")
+    rows = documents.select(
+        F.struct("*").alias("row"), F.col("doc_id").alias("row_id"), F.sha2(F.regexp_replace(text_of(), SPACES, ""), 256).alias("row_sha256")
+    )
+    own = F.col("row_id").eqNullSafe(F.col("doc_id")) & (F.col("row_sha256") == F.col("text_sha256"))
+    rows = rows.join(kept, own, "left_semi")
+    if not kept.where("rows > 1").isEmpty():
+        rows = rows.dropDuplicates(["row_id", "row_sha256"])
+    return rows.select("row.*")

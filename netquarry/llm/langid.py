@@ -149,3 +149,23 @@ def identify_language(documents: DataFrame, **options) -> DataFrame:
     """Fit on the rows outside the held-out fold, then predict all: doc_id, held_out, lang_pred, score."""
     model = fit_languages(documents.where(~held_out()), **options)
     return predict_language(documents, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def keep_known_languages(documents: DataFrame, model: LanguageModel, least: float = 0.05, rows_at_once: int = 128) -> DataFrame:
+    """The rows, with all their columns, whose text is in one of the model's languages.
+
+    Texts without a letter go, and those whose largest cosine is below
+    ``least``, as in foreign scripts, whose cosines are chance; short texts
+    have small ones too and stay. If the model knows no language, all texts go.
+    """
+    schema = documents.schema
+    place = schema.fieldNames().index("text")
+    prototypes, seed = model.prototypes, model.seed
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, rows_at_once, column=place):
+            vectors = bundle([t or "" for t in batch.column(place).to_pylist()], prototypes.shape[1], seed)
+            known = (vectors @ prototypes.T).max(axis=1, initial=0.0) >= least
+            yield batch.filter(pa.array(known & vectors.any(axis=1)))
+
+    return documents.mapInArrow(keep, schema)
