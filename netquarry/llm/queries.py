@@ -13,7 +13,10 @@ from .decontaminate import find_contaminated
 from .exact_dedup import exact_dedup
 from .langid import identify_language
 from .ngram_join import near_duplicate_components
+from .secrets import KINDS, base_only, find_secrets, joined
 from .toxicity import find_toxic
+from .url_filter import judge_urls
+from .warc_zip import archive_pages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +30,24 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: The rules of the URL filter.
+URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+
+
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(_table(spark, sf_dir, "documents"))
+    of_kind = lambda n: F.size(F.filter("spans", lambda s: s["kind"] == n)).cast("long").alias(f"n_{KINDS[n]}")
+    return found.select("doc_id", *map(of_kind, range(3)), F.sha2(joined(base_only(F.col("spans"))), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op2_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents"))
 
@@ -58,6 +79,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
+    "op2_warc_zip": op2_warc_zip,
+    "op3_url_filter": op3_url_filter,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_bpe": op5_bpe,
     "op6_ngram_jaccard": op6_ngram_jaccard,
@@ -68,6 +92,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc_zip": """
+        WITH pages_of AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        firsts AS (SELECT payload_digest AS digest, min(page_id) AS first_id FROM pages_of WHERE payload_bytes >= 100 GROUP BY payload_digest)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first_id < page_id THEN first_id END AS refers_to
+        FROM pages_of LEFT JOIN firsts ON payload_digest = digest""",
     "op8_exact_dedup": r"""
         WITH hashed AS (
             SELECT doc_id, length(coalesce(text, '')) AS chars,
