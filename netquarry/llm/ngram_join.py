@@ -136,11 +136,13 @@ def _parity_allows(a: str, b: str) -> Column:
     return differ <= n + m - 2 * _least_shared(n, m)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, filter_bits: int = 1 << 23, rows_at_once: int = 256) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, filter_bits: int = 1 << 23, rows_at_once: int = 256, broadcast_pairs: int = 500_000) -> DataFrame:
     """The pairs (a, b) whose whole sets link.
 
-    Only texts in a pair are shingled again and shuffled: a bitmap of fixed size
-    picks them, and the join drops those it let through by chance.
+    Only texts in a pair are shingled again: a bitmap of fixed size picks them,
+    and the joins drop those it let through by chance. The table of pairs holds
+    ids alone; it is broadcast to the sets up to ``broadcast_pairs`` rows, so
+    that sets move once, with their pair.
     """
     spark = texts.sparkSession
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(filter_bits))
@@ -163,7 +165,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, filter_bits: int =
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     found = texts.where("doc_id IS NOT NULL").withColumn("at", place("doc_id")).mapInArrow(sets, f"id {kind}, elements binary")
-    found = staged(found.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]), "sets")
+    found = staged(found, "sets")
+    narrow = F.broadcast(pairs) if pairs.count() <= broadcast_pairs else pairs
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, rows_at_once, column=2):
@@ -175,10 +178,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, filter_bits: int =
                 keep.append(DENOMINATOR * common >= NUMERATOR * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(found.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a").join(
+    joined = found.select(F.col("id").alias("a"), F.col("elements").alias("x")).join(narrow, "a").join(
         found.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b"
     )
-    return joined.select("a", "b", "x", "y").mapInArrow(link, f"a {kind}, b {kind}")
+    return joined.select("a", "b", "x", "y").mapInArrow(link, f"a {kind}, b {kind}").distinct()
 
 
 def near_duplicate_components(documents: DataFrame, words: int = 5) -> DataFrame:
