@@ -21,7 +21,11 @@ NUMERATOR, DENOMINATOR = 80, 100
 SKETCH_BITS, SKETCH_ROW = 20, 4_096
 #: Words of 64 bits in a set's parity map.
 PARITY_WORDS = 16
+#: Bits of the finer parity map: for each element of the set, rounded up to a power of two, and at most.
+FINE_BITS, MOST_FINE_BITS = 4, 1 << 16
 MOST_MATCHES = 4
+#: Tokens by which a pair of sets is found once rather than once for each token they share.
+LOW_TOKENS = 8
 
 
 def _least_shared(n: Column, m: Column) -> Column:
@@ -85,15 +89,29 @@ def prefix(own: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, int]:
     return order[: n - least + matches], matches
 
 
-def parity_map(own: np.ndarray) -> np.ndarray:
+def parity_map(own: np.ndarray, bits: int = PARITY_WORDS * 64) -> np.ndarray:
     """Bits that tell whether an odd number of elements fell there: two sets differ in at least as many elements as bits."""
-    at = (own & np.uint64(PARITY_WORDS * 64 - 1)).astype(np.int64)
-    odd = (np.bincount(at, minlength=PARITY_WORDS * 64) & 1).astype(np.uint8)
+    at = (own & np.uint64(bits - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view("<i8")
 
 
+def fine_map(own: np.ndarray) -> bytes:
+    """A parity map that grows with the set, as a map of 1,024 bits says little of sets of thousands."""
+    bits = 1 << max(FINE_BITS * len(own) - 1, PARITY_WORDS * 64 - 1).bit_length()
+    return parity_map(own, min(bits, MOST_FINE_BITS)).tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """In how many elements two sets differ at least, by their fine maps; the longer map is folded to the shorter."""
+    a, b = sorted((np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _profiles(texts: DataFrame, classes: np.ndarray, words: int, rows_at_once: int = 256) -> DataFrame:
-    """One row a text: its set's size, digest, parity map, prefix and matches."""
+    """One row a text: its set's size, digest, parity maps, prefix and matches."""
     shared = texts.sparkSession.sparkContext.broadcast(classes)
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,27 +124,29 @@ def _profiles(texts: DataFrame, classes: np.ndarray, words: int, rows_at_once: i
                     pa.array([len(s) for s in sets], pa.int32()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                     pa.array([parity_map(s) for s in sets], pa.list_(pa.int64())),
+                    pa.array([fine_map(s) for s in sets], pa.binary()),
                     pa.array([p.view(np.int64) for p, _ in found], pa.list_(pa.int64())),
                     pa.array([k for _, k in found], pa.int32()),
                 ],
-                ["doc_id", "n", "digest", "parity", "prefix", "matches"],
+                ["doc_id", "n", "digest", "parity", "fine", "prefix", "matches"],
             )
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(profile, f"doc_id {kind}, n int, digest binary, parity array<bigint>, prefix array<bigint>, matches int")
+    return texts.mapInArrow(profile, f"doc_id {kind}, n int, digest binary, parity array<bigint>, fine binary, prefix array<bigint>, matches int")
 
 
-def _may_link(a: str, b: str) -> Column:
-    """Whether entries of two sets can belong to a pair that links: sizes, and places within the pair's own prefixes."""
+def _sizes_allow(a: str, b: str) -> Column:
+    """Whether sets of such sizes can link."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (n * DENOMINATOR >= m * NUMERATOR) & (m * DENOMINATOR >= n * NUMERATOR)
+
+
+def _places_allow(a: str, b: str) -> Column:
+    """Whether the places of a shared entry are within the pair's own prefixes."""
     col = lambda side, name: F.col(f"{side}.{name}")
     least = _least_shared(col(a, "n"), col(b, "n"))
     matches = F.least(col(a, "matches"), col(b, "matches"))
-    return (
-        (col(a, "n") * DENOMINATOR >= col(b, "n") * NUMERATOR)
-        & (col(b, "n") * DENOMINATOR >= col(a, "n") * NUMERATOR)
-        & (col(a, "at") < col(a, "n") - least + matches)
-        & (col(b, "at") < col(b, "n") - least + matches)
-    )
+    return (col(a, "at") < col(a, "n") - least + matches) & (col(b, "at") < col(b, "n") - least + matches)
 
 
 def _parity_allows(a: str, b: str) -> Column:
@@ -136,6 +156,23 @@ def _parity_allows(a: str, b: str) -> Column:
     return differ <= n + m - 2 * _least_shared(n, m)
 
 
+def _finely_allowed(pairs: DataFrame, maps: DataFrame, rows_at_once: int = 256) -> DataFrame:
+    """The pairs (a, b) whose sets the fine maps don't prove to differ too much; ``maps`` has id, n and fine."""
+
+    def allow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, rows_at_once, column=4):
+            keep = []
+            for n, m, x, y in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
+                least = -(-NUMERATOR * (n + m) // (DENOMINATOR + NUMERATOR))
+                keep.append(least_difference(x, y) <= n + m - 2 * least)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    own = lambda side: maps.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("fine").alias(f"fine_{side}"))
+    rows = pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "n_a", "n_b", "fine_a", "fine_b")
+    return rows.mapInArrow(allow, f"a {kind}, b {kind}")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, filter_bits: int = 1 << 23, rows_at_once: int = 256, broadcast_pairs: int = 500_000) -> DataFrame:
     """The pairs (a, b) whose whole sets link.
 
@@ -200,7 +237,9 @@ def near_duplicate_components(documents: DataFrame, words: int = 5) -> DataFrame
        collapses by linearly many pairs.
     4. Every pair of classes from different components that still has the
        matches asked for within its own prefixes, and that the parity maps
-       can't rule out, is verified. This finds all that step 3 left.
+       can't rule out, is verified. This finds all that step 3 left. A pair
+       that shares some of its lowest remaining tokens, as all very similar
+       ones do, is found at the lowest of these alone and needs no more matches.
 
     Null and empty texts have no shingle and link with nothing. Repeated rows of
     an id are returned one by one. A row with a null id gets the component of its
@@ -212,7 +251,7 @@ def near_duplicate_components(documents: DataFrame, words: int = 5) -> DataFrame
     sets = (
         profiles.where("n > 0 AND doc_id IS NOT NULL")
         .groupBy("digest", "n")
-        .agg(F.min("doc_id").alias("id"), F.min_by(F.struct("parity", "prefix", "matches"), "doc_id").alias("own"))
+        .agg(F.min("doc_id").alias("id"), F.min_by(F.struct("parity", "fine", "prefix", "matches"), "doc_id").alias("own"))
         .select("id", "n", "digest", "own.*")
     )
     sets = staged(sets, "sets")
@@ -224,7 +263,7 @@ def near_duplicate_components(documents: DataFrame, words: int = 5) -> DataFrame
     near = None
     for order in (["n", "id"], [F.xxhash64("id"), "id"]):
         mine = F.struct("id", "n", "at", "matches")
-        row = entries.select(mine.alias("x"), F.lag(mine).over(by_token.orderBy(*order)).alias("y")).where("y IS NOT NULL").where(_may_link("x", "y"))
+        row = entries.select(mine.alias("x"), F.lag(mine).over(by_token.orderBy(*order)).alias("y")).where("y IS NOT NULL").where(_sizes_allow("x", "y") & _places_allow("x", "y"))
         row = row.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
         near = row if near is None else near.unionByName(row)
     maps = sets.select("id", "n", "parity")
@@ -236,14 +275,17 @@ def near_duplicate_components(documents: DataFrame, words: int = 5) -> DataFrame
         .select("a", "b")
     )
     possible = staged(possible, "near")
-    first = staged(_verified(possible, texts, words), "first-links")
+    fine = sets.select("id", "n", "fine")
+    first = staged(_verified(staged(_finely_allowed(possible, fine), "near"), texts, words), "first-links")
     parts = connected_components(first)
 
     # Step 4: all other pairs that may link, across components.
     entries = entries.join(parts, "id", "left").withColumn("part", F.coalesce("component_id", "id")).drop("component_id")
     mixed_lists = entries.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("token")
-    across = entries.join(mixed_lists, "token", "left_semi").join(maps.drop("n"), "id")
-    across = staged(across, "across")
+    across = staged(entries.join(mixed_lists, "token", "left_semi"), "across")
+    low = across.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("token")), 1, LOW_TOKENS).alias("low"))  # of one set's prefix
+    across = across.join(low, "id").join(maps.drop("n"), "id")
+    lowest = F.array_min(F.array_intersect("x.low", "y.low"))
     pairs = (
         across.alias("x")
         .join(
@@ -251,16 +293,20 @@ def near_duplicate_components(documents: DataFrame, words: int = 5) -> DataFrame
             (F.col("x.token") == F.col("y.token"))
             & (F.col("x.id") < F.col("y.id"))
             & (F.col("x.part") != F.col("y.part"))
-            & _may_link("x", "y")
-            & _parity_allows("x", "y"),
+            & _sizes_allow("x", "y")
+            & _parity_allows("x", "y")
+            & F.coalesce(lowest == F.col("x.token"), _places_allow("x", "y")),
         )
         .groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        .agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("x.matches", "y.matches")).alias("asked"))
+        .agg(
+            F.count(F.lit(1)).alias("shared"),
+            F.first(F.when(lowest.isNull(), F.least("x.matches", "y.matches")).otherwise(1)).alias("asked"),
+        )
         .where("shared >= asked")
         .join(possible, ["a", "b"], "left_anti")
         .select("a", "b")
     )
-    second = _verified(staged(pairs, "pairs"), texts, words)
+    second = _verified(staged(_finely_allowed(staged(pairs, "pairs"), fine), "pairs"), texts, words)
     parts = connected_components(first.unionByName(second))
 
     classes_of = staged(sets.select("digest", "n", "id").join(parts, "id", "left").select("digest", "n", F.coalesce("component_id", "id").alias("class_id")), "classes")
