@@ -46,3 +46,71 @@ def followed_by(events: DataFrame, key: str, kind: str, first: str, then: str, t
     return rows.where((F.col("kind") == first) & (F.col("next") == then)).groupBy(key).agg(
         F.count(F.lit(1)).alias("pivots"), F.min("delay").alias("shortest_micros")
     )
+
+
+def beacon_scores(events: DataFrame, key: list[str], size: Column, least_events: int = 5, ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """How much each key's events look like a beacon, 0 to 1.
+
+    Half is the regularity of the gaps (median absolute deviation over median), a
+    fifth each that of the sizes and the duration up to an hour, a tenth the count
+    up to 50. Keys with fewer events are left out.
+    """
+    gap = (micros(ts) - F.lag(micros(ts)).over(W.partitionBy(*key).orderBy(ts, tie))) / F.lit(1e6)
+    rows = events.select(*key, micros(ts).alias("at"), gap.alias("gap"), size.cast("double").alias("size"))
+    centres = rows.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("events"), F.median("gap").alias("median_gap"), F.median("size").alias("median_size"), ((F.max("at") - F.min("at")) / F.lit(1e6)).alias("duration")
+    )
+    spread = rows.join(centres.where(F.col("events") >= least_events), key).groupBy(*key, "events", "median_gap", "median_size", "duration").agg(
+        F.median(F.abs(F.col("gap") - F.col("median_gap"))).alias("gap_off"), F.median(F.abs(F.col("size") - F.col("median_size"))).alias("size_off")
+    )
+    steady = lambda off, middle: F.when(F.col(middle) > 0, 1 - F.least(F.lit(1.0), F.col(off) / F.col(middle))).otherwise(0.0)
+    score = (
+        0.5 * steady("gap_off", "median_gap")
+        + 0.2 * steady("size_off", "median_size")
+        + 0.2 * F.least(F.lit(1.0), F.col("duration") / 3600.0)
+        + 0.1 * F.least(F.lit(1.0), F.col("events") / 50.0)
+    )
+    return spread.select(*key, "events", "median_gap", score.alias("score"))
+
+
+def peaks(events: DataFrame, key: list[str], seconds: float, ts: str = "ts") -> DataFrame:
+    """The most events that each key has in any span of so many seconds, ends included, and when the first such span ends."""
+    span = W.partitionBy(*key).orderBy("at").rangeBetween(-int(seconds * 1_000_000), 0)
+    rows = events.select(*key, micros(ts).alias("at")).where("at IS NOT NULL").withColumn("within", F.count(F.lit(1)).over(span))
+    best = F.max(F.struct("within", (-F.col("at")).alias("before")))
+    return rows.groupBy(*key).agg(best.alias("best")).select(*key, F.col("best.within").alias("peak"), (-F.col("best.before")).alias("peak_micros"))
+
+
+def burst_scores(events: DataFrame, key: list[str], bins: int = 24, ts: str = "ts") -> DataFrame:
+    """Bursts and pauses of each key over equal bins of its own time span: peak, idle bins and a score of both, 0 to 1."""
+    rows = events.select(*key, micros(ts).alias("at")).where("at IS NOT NULL")
+    spans = rows.groupBy(*key).agg(F.min("at").alias("first"), F.greatest(F.max("at") - F.min("at"), F.lit(1)).alias("length"))
+    place = F.least(F.lit(bins - 1), F.expr(f"(at - first) * {bins} div length"))
+    counts = rows.join(spans, key).groupBy(*key, place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    found = counts.groupBy(*key).agg(F.sum("n").alias("events"), F.max("n").alias("peak"), (F.lit(bins) - F.count(F.lit(1))).alias("idle"))
+    burst = F.least(F.lit(1.0), F.col("peak") * bins / F.col("events") / 4)
+    return found.withColumn("score", 0.6 * burst + 0.4 * F.col("idle") / bins)
+
+
+def changes(events: DataFrame, key: list[str], value: str, ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """Events whose value is another than the one before of the same key: key, tie, before, after."""
+    before = F.lag(value).over(W.partitionBy(*key).orderBy(ts, tie))
+    return events.select(*key, tie, before.alias("before"), F.col(value).alias("after")).where("before <> after")
+
+
+def paired(events: DataFrame, key: str, kind: str, asked: str, answered: str, ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """Requests and answers of a key in order: the n-th of the one with the n-th of the other; unanswered ones have a null."""
+    nth = F.row_number().over(W.partitionBy(key, kind).orderBy(ts, tie))
+    rows = events.where(F.col(kind).isin(asked, answered)).select(key, F.col(kind).alias("kind"), F.col(tie).alias("event"), nth.alias("nth"))
+    pick = lambda which: F.max(F.when(F.col("kind") == which, F.col("event")))
+    return rows.groupBy(key, "nth").agg(pick(asked).alias("request"), pick(answered).alias("answer")).where("request IS NOT NULL")
+
+
+def pivoted_after(events: DataFrame, key: str, kind: str, first: str, then: str, ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """For each key the earliest event of one kind that is strictly later than its first of another."""
+    start = F.min(F.when(F.col(kind) == first, micros(ts))).over(W.partitionBy(key))
+    later = events.where(F.col(kind).isin(first, then)).select(key, F.col(kind).alias("kind"), F.col(tie).alias("event"), micros(ts).alias("at"), start.alias("start"))
+    hits = later.where((F.col("kind") == then) & (F.col("at") > F.col("start")))
+    return hits.groupBy(key).agg(F.min(F.struct("at", "event")).alias("hit"), F.first("start").alias("start")).select(
+        key, F.col("hit.event").alias("event"), (F.col("hit.at") - F.col("start")).alias("delay_micros")
+    )

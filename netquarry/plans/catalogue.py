@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.network import cadence_family, csv_safe
+from ..functions.rules import rule_hits
 from ..operators import content, flows, timing
 
 
@@ -47,6 +48,19 @@ def _watched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content.watched_hosts(_table(spark, sf_dir, "pages"), watched)
 
 
+#: Rules of the query rule_hits.
+RULES = [
+    {"name": "costly_error", "severity": "high", "all": [("event_type", "eq", "error"), ("value", "gte", 10)]},
+    {"name": "account", "severity": "low", "any": [("event_type", "in", ["signup", "purchase"]), ("props", "contains", '"K": 6')]},
+    {"name": "odd_key", "all": [("props", "regex", '"K": [0-9]*[13579]}'), ("event_type", "neq", "view")], "any": [("value", "lt", 5)]},
+    {"name": "never", "all": [("event_type", "gt", 1)]},
+]
+
+
+def _events(change: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: change(_table(spark, sf_dir, "events"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "conversations": lambda s, d: flows.conversations(_flows(s, d)),
     "endpoints": lambda s, d: flows.endpoints(_flows(s, d)),
@@ -61,6 +75,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "timeline": lambda s, d: timing.timeline(_table(s, d, "events"), "day"),
     "failed_attempts": lambda s, d: timing.failures(_table(s, d, "events"), "user_id", F.col("event_type") == "error", 15).withColumn("share", F.round("share", 6)),
     "pivots": lambda s, d: timing.followed_by(_table(s, d, "events"), "user_id", "event_type", "signup", "purchase"),
+    "beacon_scores": _events(lambda e: timing.beacon_scores(e, ["user_id"], F.col("value")).withColumn("score", F.round("score", 6)).withColumn("median_gap", F.round("median_gap", 3))),
+    "peaks": _events(lambda e: timing.peaks(e, ["user_id"], 3600)),
+    "burst_scores": _events(lambda e: timing.burst_scores(e, ["user_id"]).withColumn("score", F.round("score", 6))),
+    "changes": _events(lambda e: timing.changes(e, ["user_id"], "event_type")),
+    "paired_requests": _events(lambda e: timing.paired(e, "user_id", "event_type", "signup", "purchase")),
+    "pivoted_after": _events(lambda e: timing.pivoted_after(e, "user_id", "event_type", "signup", "purchase")),
+    "rule_hits": _events(lambda e: rule_hits(e, RULES)),
     "indicator_counts": lambda s, d: content.indicator_counts(_table(s, d, "documents"), "doc_id", "text"),
     "url_domains": lambda s, d: content.domains(_table(s, d, "pages")),
     "watched_hosts": _watched,
@@ -103,6 +124,32 @@ ORACLE_SQL: dict[str, str] = {
     "pivots": """WITH e AS (SELECT user_id, event_type, lead(event_type) OVER w AS following, lead(epoch_us(ts)) OVER w - epoch_us(ts) AS delay
         FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
         SELECT user_id, count(*) AS pivots, min(delay) AS shortest_micros FROM e WHERE event_type = 'signup' AND following = 'purchase' GROUP BY user_id""",
+    "beacon_scores": """WITH rows AS (SELECT user_id, epoch_us(ts) AS micros, value AS size,
+            (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6 AS gap FROM events),
+        mid AS (SELECT user_id, count(*) AS events, median(gap) AS mg, median(size) AS ms, (max(micros) - min(micros)) / 1e6 AS duration FROM rows GROUP BY 1 HAVING count(*) >= 5),
+        off AS (SELECT user_id, events, mg, ms, duration, median(abs(gap - mg)) AS og, median(abs(size - ms)) AS os FROM rows JOIN mid USING (user_id) GROUP BY ALL)
+        SELECT user_id, events, round(mg, 3) AS median_gap, round(0.5e0 * CASE WHEN mg > 0 THEN 1 - least(1e0, og / mg) ELSE 0 END
+            + 0.2e0 * CASE WHEN ms > 0 THEN 1 - least(1e0, os / ms) ELSE 0 END + 0.2e0 * least(1e0, duration / 3600) + 0.1e0 * least(1e0, events / 50e0), 6) AS score FROM off""",
+    "peaks": """WITH rows AS (SELECT user_id, epoch_us(ts) AS micros FROM events WHERE ts IS NOT NULL),
+        counted AS (SELECT user_id, micros, count(*) OVER (PARTITION BY user_id ORDER BY micros RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS n FROM rows)
+        SELECT user_id, max(n) AS peak, arg_min(micros, (-n, micros)) AS peak_micros FROM counted GROUP BY 1""",
+    "burst_scores": """WITH rows AS (SELECT user_id, epoch_us(ts) AS micros FROM events WHERE ts IS NOT NULL),
+        spans AS (SELECT user_id, min(micros) AS first, greatest(max(micros) - min(micros), 1) AS length FROM rows GROUP BY 1),
+        bins AS (SELECT user_id, least(23, (micros - first) * 24 // length) AS bin, count(*) AS n FROM rows JOIN spans USING (user_id) GROUP BY 1, 2)
+        SELECT user_id, CAST(sum(n) AS BIGINT) AS events, max(n) AS peak, 24 - count(*) AS idle,
+            round(0.6e0 * least(1e0, max(n) * 24e0 / sum(n) / 4) + 0.4e0 * (24 - count(*)) / 24, 6) AS score FROM bins GROUP BY 1""",
+    "changes": """SELECT * FROM (SELECT user_id, event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, event_type AS after FROM events)
+        WHERE before <> after""",
+    "paired_requests": """WITH n AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS nth FROM events)
+        SELECT x.user_id, x.nth, x.event_id AS request, y.event_id AS answer FROM (SELECT * FROM n WHERE event_type = 'signup') x
+        LEFT JOIN (SELECT * FROM n WHERE event_type = 'purchase') y ON x.user_id IS NOT DISTINCT FROM y.user_id AND x.nth = y.nth""",
+    "pivoted_after": """WITH f AS (SELECT user_id, min(ts) AS start FROM events WHERE event_type = 'signup' GROUP BY 1)
+        SELECT user_id, arg_min(event_id, (ts, event_id)) AS event, epoch_us(min(ts)) - epoch_us(min(start)) AS delay_micros
+        FROM events JOIN f USING (user_id) WHERE event_type = 'purchase' AND ts > start GROUP BY 1""",
+    "rule_hits": """SELECT 'costly_error' AS rule, 'high' AS severity, count(*) AS hits FROM events WHERE event_type = 'error' AND value >= 10 HAVING count(*) > 0
+        UNION ALL SELECT 'account', 'low', count(*) FROM events WHERE event_type IN ('signup', 'purchase') OR contains(lower(props), '"k": 6') HAVING count(*) > 0
+        UNION ALL SELECT 'odd_key', 'info', count(*) FROM events WHERE regexp_matches(props, '"K": [0-9]*[13579]}', 'i')
+            AND event_type IS DISTINCT FROM 'view' AND value < 5 HAVING count(*) > 0""",
     "indicator_counts": r"""SELECT * FROM (SELECT doc_id,
         CAST(len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS INTEGER) AS emails,
         CAST(len(regexp_extract_all(coalesce(text, ''), '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b')) AS INTEGER) AS ipv4,

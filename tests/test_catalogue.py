@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netquarry.functions.network import base_domain, cadence_family, csv_safe, ipv4_scope, size_bucket, url_host
+from netquarry.functions.rules import condition, rule
 from netquarry.plans.catalogue import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -48,3 +49,18 @@ def test_hosts_and_cells(spark):
     assert one(spark, csv_safe, "=1", "  +x", "a=1", "", None) == ["'=1", "'  +x", "a=1", "", None]
     assert one(spark, lambda c: size_bucket(c.cast("int")), "0", "19", "20", "5120") == ["0-19", "0-19", "20-39", ">5119"]
     assert one(spark, lambda c: cadence_family(c.cast("double")), "14", "15", "1800", None) == ["very_fast", "fast", "very_slow", None]
+
+
+def test_conditions(spark):
+    def held(test, *values):
+        return [r[0] for r in spark.createDataFrame([(v,) for v in values], "x string").select(test).collect()]
+
+    assert held(condition("x", "gt", 3), "4", "3", "x", None) == [True, False, False, False]
+    assert held(condition("x", "eq", 3), "3", "3.0", None) == [True, False, False]
+    assert held(condition("x", "neq", 3), "3", "4", None) == [False, True, True]
+    assert held(condition("x", "contains", ["AB", "z"]), "cabc", "Z", "", None) == [True, True, False, False]
+    assert held(condition("x", "regex", "^a+$"), "AAA", "ab", None) == [True, False, False]
+    assert held(condition("x", "in", [1, "b"]), "1", "b", "c", None) == [True, True, False, False]
+    assert held(rule({}), "a") == [False] and held(rule({"any": [("x", "eq", "a"), ("x", "eq", "b")], "all": [("x", "neq", "b")]}), "a", "b") == [True, False]
+    with pytest.raises(ValueError):
+        condition("x", "like", "a")
