@@ -1,4 +1,4 @@
-"""Substring deduplication by content-defined chunks, cut where a gear rolling hash is small."""
+"""Substring deduplication by gear rolling hashes of all windows of whole words."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +19,15 @@ REACH = 32
 GEAR = np.concatenate([[0], np.random.default_rng(17).integers(1, 1 << 32, size=255, dtype=np.uint32)]).astype(np.uint32)
 
 
+#: Numbers of the bytes in windows of any length; an odd factor in place of the shift loses no byte, and has an inverse.
+WIDE_GEAR = np.random.default_rng(18).integers(1, 1 << 64, size=256, dtype=np.uint64)
+FACTOR = 0x9E3779B97F4A7C15
+#: Bytes of a window's hash that are moved; its upper half also chooses the bucket.
+KEPT = 6
+#: Bytes of text for each bucket, which one task holds at once.
+BUCKET_BYTES = 6_000_000
+
+
 def gear_hashes(data: np.ndarray) -> np.ndarray:
     """The rolling hash at each byte: the sum of the last 32 bytes' numbers, each shifted by its distance."""
     hashes = GEAR[data]
@@ -31,83 +40,144 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return hashes
 
 
-def _chunks(texts: list[bytes], average: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text its chunks' digests, word starts, and starts and ends in code points."""
-    gap = bytes(REACH)
-    data = gap.join([b"", *texts])
-    raw = np.frombuffer(data, np.uint8)
-    cut = gear_hashes(raw) < np.uint32((1 << 32) // average)
-    points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80, dtype=np.int64)])
+def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of bytes that begin and end with white space."""
     space = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    word = np.concatenate([[0], np.cumsum(~space & np.concatenate([[True], space[:-1]]), dtype=np.int64)])
-    at = 0
-    for text in texts:
-        at += REACH
-        end = at + len(text)
-        ends = np.flatnonzero(cut[at:end]) + at + 1
-        if len(text) and (not len(ends) or ends[-1] != end):
-            ends = np.append(ends, end)
-        starts = np.concatenate([[at], ends[:-1]])[: len(ends)].astype(np.int64)
-        digests = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(ends))
-        yield digests.view(np.int64), word[ends] - word[starts], points[starts] - points[at], points[ends] - points[at]
-        at = end
-
-
-def chunk_table(documents: DataFrame, average: int = 28, rows_at_once: int = 256) -> DataFrame:
-    """Each whole text's chunks: doc_id, and chunks as (digest, words, start, end).
-
-    A chunk ends wherever the hash of the last 32 bytes is below 2^32 / average.
-    As that looks at these bytes alone, an insertion changes the chunks that it
-    touches and the one after, and no others.
-    """
+    return np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:]) + 1
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, rows_at_once):
-            found = list(_chunks(batch.column(1).to_pylist(), average))
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(d) for d, *_ in found])]).astype(np.int32))
-            digests, words, starts, ends = (np.concatenate([f[k] for f in found]) for k in range(4))
-            fields = {"digest": pa.array(digests), "words": pa.array(words.astype(np.int32)), "start": pa.array(starts.astype(np.int32)), "end": pa.array(ends.astype(np.int32))}
-            lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(list(fields.values()), list(fields)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "chunks"])
 
+def window_hashes(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window of so many words: its hash, its text, and the number of its first word in that text.
+
+    The hash covers all bytes from the first word's start to the last one's end.
+    """
+    raw = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
+    starts, ends = word_bounds(raw)
+    begins = np.searchsorted(starts, np.cumsum([1] + [len(t) + 1 for t in texts]))
+    text = np.repeat(np.arange(len(texts)), np.diff(begins))
+    last = max(len(starts) - words + 1, 0)
+    whole = np.flatnonzero(text[:last] == text[words - 1 :][:last])
+    powers = np.multiply.accumulate(np.full(len(raw), FACTOR, np.uint64))
+    inverses = np.multiply.accumulate(np.full(len(raw), pow(FACTOR, -1, 1 << 64), np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(WIDE_GEAR[raw] * powers, dtype=np.uint64)])
+    first = starts[whole]
+    x = (sums[ends[whole + words - 1]] - sums[first]) * inverses[first]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31)), text[whole], whole - begins[text[whole]]
+
+
+def _planes(x: np.ndarray, kept: int) -> bytes:
+    """The lowest bytes of little-endian numbers, all first bytes first: the upper ones are mostly zero and pack well."""
+    return x.view(np.uint8).reshape(len(x), -1)[:, :kept].T.tobytes()
+
+
+def _numbers(data: bytes, kept: int, kind: type) -> np.ndarray:
+    """The inverse of ``_planes``."""
+    planes = np.frombuffer(data, np.uint8).reshape(kept, -1)
+    wide = np.zeros((planes.shape[1], np.dtype(kind).itemsize), np.uint8)
+    wide[:, :kept] = planes.T
+    return wide.view(kind).ravel()
+
+
+def shared_windows(documents: DataFrame, words: int = 20, rows_at_once: int = 1024) -> DataFrame:
+    """Each window of so many whole words that stands in several documents: doc_id, word, first (the smallest doc_id that has it).
+
+    The hashes of all windows are dealt to buckets, a block of texts as one row
+    for each bucket, and each bucket is sorted once.
+    """
     kind = documents.schema["doc_id"].dataType.simpleString()
     texts = documents.where("doc_id IS NOT NULL").select("doc_id", utf8().alias("text"))
-    return texts.mapInArrow(cut, f"doc_id {kind}, chunks array<struct<digest: bigint, words: int, start: int, `end`: int>>")
-
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = 1 + total // BUCKET_BYTES
 
-def repeated_passages(documents: DataFrame, average: int = 28, least_words: int = 20) -> DataFrame:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, rows_at_once):
+            hashes, text, word = window_hashes(batch.column(1).to_pylist(), words)
+            if not len(hashes):
+                continue
+            bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            order = np.argsort(bucket, kind="stable")
+            hashes, text, word, bucket = hashes[order], text[order], word[order].astype(np.uint32), bucket[order].astype(np.int64)
+            begins = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            ends = np.append(begins[1:], len(bucket))
+            own = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (bucket[1:] != bucket[:-1])]))
+            step = np.diff(word, prepend=np.uint32(0))
+            step[own] = word[own]
+            lists = np.append(np.searchsorted(own, begins), len(own)).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(lists), batch.column(0).take(pa.array(text[own])))
+            sizes = pa.ListArray.from_arrays(pa.array(lists), pa.array(np.diff(np.append(own, len(text))).astype(np.int32)))
+            packed = [[_planes(x[a:b], n) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)] for x, n in ((hashes, KEPT), (step, 4))]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[begins]), ids, sizes, *(pa.array(p, pa.binary()) for p in packed)], ["bucket", "ids", "sizes", "hashes", "steps"])
+
+    def repeats(table: pa.Table) -> pa.Table:
+        hashes = np.concatenate([_numbers(h, KEPT, np.uint64) for h in table.column("hashes").to_pylist()])
+        steps = np.concatenate([_numbers(s, 4, np.uint32) for s in table.column("steps").to_pylist()]).astype(np.int64)
+        sizes = table.column("sizes").combine_chunks().flatten().to_numpy()
+        ids = table.column("ids").combine_chunks().flatten()
+        known = ids.unique()
+        known = known.take(pc.sort_indices(known))
+        begins = np.cumsum(sizes, dtype=np.int64) - sizes
+        sums = np.cumsum(steps)
+        word = sums - np.repeat(sums[begins] - steps[begins], sizes)
+        doc = np.repeat(pc.index_in(ids, known).to_numpy(zero_copy_only=False).astype(np.int64), sizes)
+        order = np.lexsort((doc, hashes))
+        hashes, doc, word = hashes[order], doc[order], word[order]
+        fresh = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+        begins = np.flatnonzero(fresh)
+        lengths = np.diff(np.append(begins, len(doc)))
+        first = np.repeat(doc[begins], lengths)
+        shared = np.flatnonzero(first < np.repeat(doc[begins + lengths - 1], lengths))
+        shared = shared[np.lexsort((word[shared], doc[shared]))]
+        return pa.table({"doc_id": known.take(pa.array(doc[shared])), "word": pa.array(word[shared].astype(np.int32)), "first": known.take(pa.array(first[shared]))})
+
+    dealt = texts.mapInArrow(deal, f"bucket bigint, ids array<{kind}>, sizes array<int>, hashes binary, steps binary")
+    return dealt.groupBy("bucket").applyInArrow(repeats, f"doc_id {kind}, word int, first {kind}")
+
+
+def repeated_passages(documents: DataFrame, least_words: int = 20) -> DataFrame:
     """Passages that stand in several documents: doc_id, start, end (code points), n_words, keep_doc_id, kept.
 
-    Texts are cut into content-defined chunks, and chunks are deduplicated by
-    digest. Adjacent chunks that other documents have too join into a passage;
-    those of ``least_words`` whole words or more are returned, one row for each
-    document that has one. A passage loses a chunk or so at either end, about
-    ``average`` bytes each, so one of some 50 words or more is found. The
-    smallest id that has its wordiest chunk keeps it (``keep_doc_id``, ``kept``).
-
-    Digests have 64 bits: two different chunks share one with a chance of 2^-64,
-    and a passage mostly has several. Null and empty texts have no chunk, rows
-    without an id are left out, repeated rows of an id are one document, and
-    other columns are ignored.
+    A passage is ``least_words`` whole words or more, with the white space
+    between them, byte by byte the same. All windows of ``least_words`` words are
+    compared, so none is missed, and neither is a word at its ends. Successive
+    windows of a document that have the same smallest id are one passage, which
+    that document keeps (``keep_doc_id``, ``kept``). Where another document is the
+    first to have the next window, another passage begins, and overlaps this one.
+    Cutting out all passages that aren't kept loses nothing: each of their windows
+    stands in a document of smaller id, thus the one of smallest id still has it.
+
+    Hashes have 48 bits and those of the bucket, some 60 at 30 GB. Null and empty texts have no
+    window, rows without an id are left out, repeated rows of an id are one
+    document, and other columns are ignored.
     """
-    chunks = staged(chunk_table(documents, average), "chunks").select("doc_id", F.explode("chunks").alias("c")).select("doc_id", "c.*")
-    repeated = (
-        chunks.groupBy("digest")
-        .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-        .where("first < last")
-        .select("digest", "first")
-    )
-    shared = staged(chunks.join(staged(repeated, "repeated-chunks"), "digest").select("doc_id", "start", "end", "words", "first"), "shared-chunks")
-    rows = shared.groupBy("doc_id", "start", "end").agg(F.max("words").alias("words"), F.min("first").alias("first"))
-    in_order = W.partitionBy("doc_id").orderBy("start", "end")
-    runs = rows.withColumn("fresh", (F.col("start") > F.lag("end", 1, -1).over(in_order)).cast("int"))
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    in_order = W.partitionBy("doc_id").orderBy("word")
+    follows = (F.col("word") <= F.lag("word").over(in_order) + 1) & (F.col("first") == F.lag("first").over(in_order))
+    runs = shared_windows(documents, least_words).withColumn("fresh", (~F.coalesce(follows, F.lit(False))).cast("int"))
     runs = runs.withColumn("run", F.sum("fresh").over(in_order.rowsBetween(W.unboundedPreceding, 0)))
-    found = runs.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"),
-        F.max("end").alias("end"),
-        F.sum("words").alias("n_words"),
-        F.max_by("first", F.struct("words", -F.col("start"))).alias("keep_doc_id"),
-    )
-    return found.where(F.col("n_words") >= least_words).select(
-        "doc_id", "start", "end", "n_words", "keep_doc_id", (F.col("keep_doc_id") == F.col("doc_id")).alias("kept")
-    )
+    found = runs.groupBy("doc_id", "run").agg(F.min("word").alias("a"), F.max("word").alias("b"), F.first("first").alias("first"))
+    found = staged(found.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b", "first")).alias("runs")), "passages")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [[], [], [], [], []]
+            for doc, text, own in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                raw = np.frombuffer(b" " + text + b" ", np.uint8)
+                starts, ends = word_bounds(raw)
+                points = np.cumsum((raw & 0xC0) != 0x80) - 1
+                for run in own:
+                    a, b = run["a"], run["b"] + least_words
+                    if b <= len(starts):
+                        row = (doc, int(points[starts[a]]) - 1, int(points[ends[b - 1]]) - 1, b - a, run["first"])
+                        for column, value in zip(out, row, strict=True):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v, t) for v, t in zip(out, (batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int64(), batch.schema.field(0).type), strict=True)],
+                ["doc_id", "start", "end", "n_words", "keep_doc_id"],
+            )
+
+    texts = documents.where("doc_id IS NOT NULL").select("doc_id", utf8().alias("text"))
+    placed = texts.join(found, "doc_id").select("doc_id", "text", "runs")
+    placed = placed.mapInArrow(place, f"doc_id {kind}, start int, `end` int, n_words bigint, keep_doc_id {kind}")
+    return placed.distinct().select("*", (F.col("keep_doc_id") == F.col("doc_id")).alias("kept"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -63,6 +64,42 @@ def test_passages_within_one_document_or_without_id(spark):
     assert repeated_passages(docs(spark, [])).count() == 0
 
 
+def brute_passages(texts, least=20):
+    """doc, word, smallest doc of each window of words that stands in several documents."""
+    windows = {}
+    for d, t in enumerate(texts):
+        words = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+        for i in range(len(words) - least + 1):
+            windows.setdefault(t[words[i][0] : words[i + least - 1][1]], []).append((d, words[i][0], words[i + least - 1][1]))
+    return {(*w, own[0][0]) for own in windows.values() if own[0][0] < own[-1][0] for w in own}
+
+
+def test_passages_are_exact_and_lose_no_content(spark):
+    rng = random.Random(11)
+    filler = lambda: prose(rng, rng.randint(0, 30))
+    p, q, short = prose(rng, 40), prose(rng, 30), [prose(rng, n, "abcé") for n in (19, 20, 21, 22, 24, 28, 35, 50)]
+    mixed = [prose(rng, 12) for _ in range(6)]
+    texts = [filler(), filler() + " " + p, filler(), p + " " + q, filler(), filler() + " " + q + " " + filler(), " ".join(mixed)]
+    texts += [filler() + " " + m + "\t" + filler() for m in mixed]  # each part of document 6 stands elsewhere, the whole nowhere
+    texts += [filler() + "\n" + s + " " + filler() for s in short for _ in range(3)]
+    rows = repeated_passages(docs(spark, texts, 0).repartition(4)).collect()
+    found = {(r.doc_id, *w, r.keep_doc_id) for r in rows for w in _windows_of(texts[r.doc_id], r.start, r.end)}
+    assert found == brute_passages(texts)
+    assert not {r.doc_id for r in rows} & {6, *range(7, 16)}
+    assert {r.doc_id for r in rows if r.n_words == 20} == {16, 17, 18}
+    left = [list(t) for t in texts]
+    for r in rows:
+        if not r.kept:
+            left[r.doc_id][r.start : r.end] = "\0" * (r.end - r.start)
+    left = ["".join(t) for t in left]
+    assert all(any(w in t for t in left) for w in (p, q, *short))
+
+
+def _windows_of(text, start, end, least=20):
+    words = [(start + m.start(), start + m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text[start:end])]
+    return [(words[i][0], words[i + least - 1][1]) for i in range(len(words) - least + 1)]
+
+
 # ---- operator 10
 
 
