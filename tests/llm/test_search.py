@@ -100,6 +100,15 @@ def _windows_of(text, start, end, least=20):
     return [(words[i][0], words[i + least - 1][1]) for i in range(len(words) - least + 1)]
 
 
+@pytest.mark.parametrize("n", [20, 21, 30, 51])
+def test_short_passages_are_found_with_exact_ends(spark, n):
+    rng = random.Random(n)
+    passages = [prose(rng, n) for _ in range(40)]
+    texts = [f"{prose(rng, 9)} {i}é {p} ~{i} {prose(rng, 9)}" for i, p in enumerate(passages + passages)]
+    rows = repeated_passages(docs(spark, texts, 0)).collect()
+    assert sorted((r.doc_id, texts[r.doc_id][r.start : r.end], r.n_words, r.keep_doc_id) for r in rows) == [(i, passages[i % 40], n, i % 40) for i in range(80)]
+
+
 # ---- operator 10
 
 
