@@ -40,48 +40,64 @@ def shapes(path: Column) -> Column:
     )
 
 
-def template_tree(leaves: DataFrame, depth: int = 4, most_children: int = 32, z: float = 1.96) -> DataFrame:
+def template_tree(leaves: DataFrame, depth: int = 4, least_pages: int = 5, z: float = 1.96) -> DataFrame:
     """Templates of (host, shape) leaves with counts: host, shape, template.
 
-    Level by level, a node with more than ``most_children`` different segments
-    has a variable one, which becomes ``*``. Among the others, siblings in the
-    order of their pages' share that rules block are merged as long as neighbours
-    don't differ by ``z`` standard errors; a merged branch is named by its least
-    segment and how many there are. Segments below ``depth`` become ``**``.
+    Level by level, a node's segments without labels and with fewer than
+    ``least_pages`` pages count together as one branch, ``*``; with 5 pages, a segment
+    can be told from one with a single page, a blocked one. All branches in the order of their pages'
+    share that rules block are merged as long as neighbours don't differ by ``z``
+    standard errors; a merged branch is named by its least segment and how many
+    there are. Segments with equal counts are never apart, so they are one row of
+    this test, however many a node has. Below ``depth``, only nodes of ``least_pages``
+    pages or more go on, and only if they have both pages with and without a label;
+    what is below the others becomes ``**``.
     """
-    open_at = leaves.select("host", "shape", "pages", "labelled", "rejected", F.lit("").alias("template"))
-    for level in range(depth):
+    at, counts = ["host", "template"], ["pages", "labelled", "rejected"]
+    total = lambda: [F.sum(c).alias(c) for c in counts]
+    open_at = leaves.select("host", "shape", *counts, F.lit("").alias("template"), F.lit(True).alias("open"))
+    level = 0
+    while True:
+        deeper = F.col("open") & (F.size("shape") > level)
+        if level >= depth:
+            nodes = open_at.where(deeper).groupBy(*at).agg(*total())
+            mixed = nodes.where((F.col("pages") >= least_pages) & (F.col("labelled") > 0) & (F.col("labelled") < F.col("pages"))).select(*at, F.lit(True).alias("mixed"))
+            on = deeper & F.coalesce("mixed", F.lit(False))
+            rest = F.when(deeper & ~on, F.lit("/**")).otherwise("")
+            joined = open_at.join(mixed, at, "left")
+            open_at = staged(joined.select("host", "shape", *counts, F.concat("template", rest).alias("template"), on.alias("open")), f"open-{level}")
+            if open_at.where("open").isEmpty():
+                return open_at.select("host", "shape", *counts, "template")
         own = F.get(F.col("shape"), F.lit(level))
-        at = ["host", "template"]
-        branches = open_at.where(F.size("shape") > level).groupBy(*at, own.alias("segment")).agg(
-            F.sum("pages").alias("pages"), F.sum("rejected").alias("rejected")
+        branches = open_at.where(deeper).groupBy(*at, own.alias("segment")).agg(*total())
+        little = (F.col("labelled") == 0) & (F.col("pages") < least_pages)
+        branches = branches.select(
+            *at, "segment", "pages", F.when(little, 0).otherwise(F.col("pages")).alias("own_pages"), F.when(little, 0).otherwise(F.col("rejected")).alias("own_rejected")
         )
-        widths = branches.groupBy(*at).agg(F.count(F.lit(1)).alias("width"))
-        branches = branches.join(widths, at)
-        few = branches.where(F.col("width") <= most_children)
-        share = (F.col("rejected") + 0.5) / (F.col("pages") + 1)
-        error = share * (1 - share) / (F.col("pages") + 1)
-        order = W.partitionBy(*at).orderBy("share", "segment")
+        alike = branches.groupBy(*at, "own_pages", "own_rejected").agg(F.count(F.lit(1)).alias("segments"), F.min("segment").alias("least"), F.sum("pages").alias("all_pages"))
+        held = F.when(F.col("own_pages") == 0, F.col("all_pages")).otherwise(F.col("own_pages"))
+        share = (F.col("own_rejected") + 0.5) / (held + 1)
+        order = W.partitionBy(*at).orderBy("share", "own_pages", "own_rejected")
         merged = (
-            few.withColumn("share", share)
-            .withColumn("error", error)
+            alike.withColumn("share", share)
+            .withColumn("error", F.col("share") * (1 - F.col("share")) / (held + 1))
             .withColumn("apart", F.abs(F.col("share") - F.lag("share").over(order)) > F.lit(z) * F.sqrt(F.col("error") + F.lag("error").over(order)))
             .withColumn("group", F.sum(F.coalesce(F.col("apart"), F.lit(False)).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
         )
         same = W.partitionBy(*at, "group")
-        size = F.count(F.lit(1)).over(same)
-        name = F.when(size > 1, F.concat(F.lit("{"), F.min("segment").over(same), F.lit("|"), size.cast("string"), F.lit("}"))).otherwise(F.col("segment"))
-        names = merged.select(*at, "segment", name.alias("name"))
-        names = staged(names, f"branches-{level}")
-        joined = open_at.withColumn("segment", own).join(names, [*at, "segment"], "left")
-        step = F.when(F.size("shape") > level, F.concat(F.lit("/"), F.coalesce("name", F.lit("*")))).otherwise("")
-        open_at = staged(joined.select("host", "shape", "pages", "labelled", "rejected", F.concat("template", step).alias("template")), f"level-{level}")
-    rest = F.when(F.size("shape") > depth, F.lit("/**")).otherwise("")
-    return open_at.select("host", "shape", "pages", "labelled", "rejected", F.concat("template", rest).alias("template"))
+        size = F.sum("segments").over(same)
+        several = F.concat(F.lit("{"), F.min("least").over(same), F.lit("|"), size.cast("string"), F.lit("}"))
+        name = F.when(size == 1, F.col("least")).when(F.max("own_pages").over(same) == 0, F.lit("*")).otherwise(several)
+        names = staged(merged.select(*at, "own_pages", "own_rejected", name.alias("name")), f"groups-{level}")
+        names = staged(branches.join(names, [*at, "own_pages", "own_rejected"]).select(*at, "segment", "name"), f"branches-{level}")
+        joined = open_at.withColumn("segment", F.when(deeper, own)).join(names, [*at, "segment"], "left")
+        step = F.when(deeper, F.concat(F.lit("/"), F.col("name"))).otherwise("")
+        open_at = staged(joined.select("host", "shape", *counts, F.concat("template", step).alias("template"), "open"), f"level-{level}")
+        level += 1
 
 
 def judge_urls(
-    pages: DataFrame, rules: Iterable[tuple[str, str]], reject_at: float = 0.5, prior: float = 4.0, depth: int = 4, most_children: int = 32
+    pages: DataFrame, rules: Iterable[tuple[str, str]], reject_at: float = 0.5, prior: float = 4.0, depth: int = 4, least_pages: int = 5
 ) -> DataFrame:
     """Judge every url: page_id, host, path, rule, verdict, template, purity.
 
@@ -108,7 +124,7 @@ def judge_urls(
         ),
         "leaves",
     )
-    tree = template_tree(leaves, depth, most_children)
+    tree = template_tree(leaves, depth, least_pages)
     overall = leaves.agg(((F.sum("rejected") + 0.5) / (F.sum("pages") + 1)).alias("share")).first()["share"] or 0.5
     hosts = tree.groupBy("host").agg(((F.sum("rejected") + F.lit(prior * overall)) / (F.sum("pages") + F.lit(prior))).alias("host_share"))
     templates = tree.groupBy("host", "template").agg(F.sum("rejected").alias("rejected"), F.sum("labelled").alias("labelled")).join(hosts, "host")

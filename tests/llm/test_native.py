@@ -220,3 +220,21 @@ def test_tree_rejects_what_is_like_blocked_paths(spark):
     assert {r.verdict for u, r in got.items() if "/bad/" in u} == {"block"}
     assert {r.verdict for u, r in got.items() if "/bad/" not in u} == {"allow"}
     assert {r.template for u, r in got.items() if "k.org" in u} == {"/*/p"}
+
+
+@pytest.mark.parametrize("more", [10, 200])
+def test_wide_nodes_keep_their_labelled_branches(spark, more):
+    rows = [f"http://h.net/{s}/{i}" for s in ("es", "fr") for i in range(4)]
+    rows += [f"http://h.net/{s}/7" for s in ["en", "about", *("p" + "abcdefghijklmnop"[i // 16] + "abcdefghijklmnop"[i % 16] for i in range(more))]]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id bigint, url string")
+    got = {rows[r.page_id]: r for r in judge_urls(pages, URL_RULES).collect()}
+    assert {u for u, r in got.items() if r.verdict == "block"} == {u for u in rows if "/es/" in u or "/fr/" in u}
+    assert {r.template for u, r in got.items() if r.verdict == "allow"} == {"/*/{n}"}
+
+
+def test_tree_goes_down_while_pages_suffice(spark):
+    rows = [f"http://h.net/a/b/c/d/e/{s}/{i}" for s in ("bad", "good") for i in range(20)] + ["http://h.net/a/b/c/d/e/f/g/h/1"]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id bigint, url string")
+    rules = [("block", f"h.net/a/b/c/d/e/bad/{i}") for i in range(1, 10)]
+    got = {rows[r.page_id]: r for r in judge_urls(pages, rules).collect()}
+    assert {u for u, r in got.items() if r.verdict == "block"} == {u for u in rows if "/bad/" in u}
