@@ -20,11 +20,12 @@ _LETTERS: list[np.ndarray] = []
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Unit prototype vectors, one row a language."""
+    """Unit prototype vectors, one row a language, and the code points of the letters that these use, in order."""
 
     languages: list[str]
     prototypes: np.ndarray
     seed: int
+    letters: np.ndarray
 
     @property
     def dimensions(self) -> int:
@@ -54,10 +55,14 @@ def letter_vectors(letters: np.ndarray, dimensions: int, seed: int) -> np.ndarra
     return (bits.astype(np.int8) * 2 - 1).astype(np.int8)
 
 
+def letters_of(text: str) -> np.ndarray:
+    """The lower-case letter of each of the text's characters, 0 for all that aren't letters."""
+    return letter_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+
+
 def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The distinct letter trigrams of a whole text and their counts; stretches of other characters count as one space."""
-    letters = letter_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
-    letters = np.concatenate([[0], letters, [0]])
+    letters = np.concatenate([[0], letters_of(text), [0]])
     letters = letters[np.concatenate([[True], (letters[1:] != 0) | (letters[:-1] != 0)])].astype(np.int64)
     if len(letters) < 3:
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -91,9 +96,9 @@ def bundle(texts: list[str], dimensions: int, seed: int) -> np.ndarray:
 
 
 def fit_languages(
-    labelled: DataFrame, dimensions: int = 1024, per_language: int = 5_000, seed: int = 7, rows_at_once: int = 128
+    labelled: DataFrame, dimensions: int = 1024, per_language: int = 5_000, seed: int = 7, rows_at_once: int = 128, least_use: float = 1e-4
 ) -> LanguageModel:
-    """Bundle the texts of each language into a prototype.
+    """Bundle the texts of each language into a prototype, and list the letters that are ``least_use`` of some language's or more.
 
     Fits on about ``per_language`` rows of each language at most, chosen by a
     hash of doc_id. Rows without language or text are left out.
@@ -105,21 +110,29 @@ def fit_languages(
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
+        used: dict[str, dict[int, int]] = {}
         for batch in blocks(batches, rows_at_once):
             vectors = bundle(batch.column(1).to_pylist(), dimensions, seed)
             for language, vector in zip(batch.column(0).to_pylist(), vectors, strict=True):
                 total[language] = total.get(language, 0) + vector.astype(np.float64)
+            for language, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = used.setdefault(language, {})
+                for letter, n in zip(*(x.tolist() for x in np.unique(letters_of(text), return_counts=True)), strict=True):
+                    own[letter] = own.get(letter, 0) + n
         for language, vector in total.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([language] * dimensions), pa.array(np.arange(dimensions, dtype=np.int32)), pa.array(vector)], ["lang", "at", "value"]
-            )
+            letters = np.array([x for x in used[language] if x], np.int32)
+            at = np.concatenate([np.arange(dimensions, dtype=np.int32), dimensions + letters])
+            value = np.concatenate([vector, [used[language][x] for x in letters.tolist()]])
+            yield pa.RecordBatch.from_arrays([pa.array([language] * len(at)), pa.array(at), pa.array(value)], ["lang", "at", "value"])
 
     summed = sample.mapInArrow(sums, "lang string, at int, value double").groupBy("lang", "at").agg(F.sum("value").alias("value"))
-    rows = summed.orderBy("lang", "at").collect()  # languages x dimensions
+    rows = summed.orderBy("lang", "at").collect()  # languages x (dimensions and letters)
     languages = sorted({r["lang"] for r in rows})
-    prototypes = np.array([r["value"] for r in rows]).reshape(len(languages), dimensions)
+    of_language = {x: sum(r["value"] for r in rows if r["lang"] == x and r["at"] >= dimensions) for x in languages}
+    letters = sorted({r["at"] - dimensions for r in rows if r["at"] >= dimensions and r["value"] >= least_use * of_language[r["lang"]]})
+    prototypes = np.array([r["value"] for r in rows if r["at"] < dimensions]).reshape(len(languages), dimensions)
     norms = np.linalg.norm(prototypes, axis=1, keepdims=True)
-    return LanguageModel(languages, (prototypes / np.maximum(norms, 1e-12)).astype(np.float32), seed)
+    return LanguageModel(languages, (prototypes / np.maximum(norms, 1e-12)).astype(np.float32), seed, np.array(letters, np.int32))
 
 
 def predict_language(documents: DataFrame, model: LanguageModel, rows_at_once: int = 128) -> DataFrame:
@@ -151,21 +164,28 @@ def identify_language(documents: DataFrame, **options) -> DataFrame:
     return predict_language(documents, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_known_languages(documents: DataFrame, model: LanguageModel, least: float = 0.05, rows_at_once: int = 128) -> DataFrame:
+def keep_known_languages(documents: DataFrame, model: LanguageModel, deviations: float = 4.0, telling: int = 64, rows_at_once: int = 128) -> DataFrame:
     """The rows, with all their columns, whose text is in one of the model's languages.
 
-    Texts without a letter go, and those whose largest cosine is below
-    ``least``, as in foreign scripts, whose cosines are chance; short texts
-    have small ones too and stay. If the model knows no language, all texts go.
+    Cosines of unrelated texts are chance, with a deviation of 1 / sqrt(dimensions).
+    A text stays if its largest cosine is ``deviations`` of these or more and it has a
+    letter of the model. With less, it stays only if it has fewer than ``telling``
+    different trigrams, thus may be too short to tell, and at least half of its letters are the model's.
+    Texts without a letter go, as do those in foreign scripts, whatever their
+    length. If the model knows no language, all texts go.
     """
     schema = documents.schema
     place = schema.fieldNames().index("text")
-    prototypes, seed = model.prototypes, model.seed
+    prototypes, seed, known = model.prototypes, model.seed, model.letters
+    least = deviations / max(prototypes.shape[1], 1) ** 0.5
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, rows_at_once, column=place):
-            vectors = bundle([t or "" for t in batch.column(place).to_pylist()], prototypes.shape[1], seed)
-            known = (vectors @ prototypes.T).max(axis=1, initial=0.0) >= least
-            yield batch.filter(pa.array(known & vectors.any(axis=1)))
+            texts = [t or "" for t in batch.column(place).to_pylist()]
+            near = (bundle(texts, prototypes.shape[1], seed) @ prototypes.T).max(axis=1, initial=0.0) >= least
+            letters = [x[x != 0] for x in map(letters_of, texts)]
+            own = np.array([np.isin(x, known).mean() if len(x) else 0.0 for x in letters])
+            short = np.array([not n and len(trigrams(t)[0]) < telling for t, n in zip(texts, near, strict=True)])
+            yield batch.filter(pa.array((own > 0) & (near | (short & (own >= 0.5)))))
 
     return documents.mapInArrow(keep, schema)

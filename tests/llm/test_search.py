@@ -201,3 +201,15 @@ def test_stages_keep_columns(spark, sf_dir, stage):
     kept = stage(spark, frame, sf_dir)
     assert kept.columns == frame.columns and kept.count() <= 4
     assert stage(spark, frame.limit(0), sf_dir).count() == 0
+
+
+def test_language_stage_tells_foreign_scripts_from_short_texts(spark, sf_dir):
+    from netquarry.llm.langid import fit_languages, keep_known_languages
+
+    rng = random.Random(6)
+    scripts = ["абвгдежзийклмнопрст", "αβγδεζηθικλμνξοπρστ", "אבגדהוזחטיכלמנסעפצ", "กขคงจฉชซญดตถทธนบปผ"]
+    foreign = [prose(rng, rng.randint(1, 80), s) for s in scripts for _ in range(60)]
+    clean = ["Avec.", "A.", "Über", "où?", "año 1999", "é", "the"]
+    model = fit_languages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    kept = keep_known_languages(docs(spark, foreign + clean + ["123", "", None], 0), model).collect()
+    assert sorted(r.text for r in kept) == sorted(clean)
