@@ -42,6 +42,51 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes that a row (word, bits) takes in a broadcast table.
+SIEVE_ROW = 24
+
+
+def sieve_mask(key: Column) -> Column:
+    """Two different cells of a 64-bit word, chosen by the key's hash."""
+    cells = F.xxhash64(key, F.lit(1))
+    one = F.pmod(cells, F.lit(64))
+    two = F.pmod(one + 1 + F.pmod(F.shiftright(cells, 6), F.lit(63)), F.lit(64))
+    bit = lambda cell: F.call_function("shiftleft", F.lit(1).cast("long"), cell.cast("int"))
+    return bit(one).bitwiseOR(bit(two))
+
+
+def split_by_sieve(rows: DataFrame, key: Column, keys: DataFrame, broadcast_bytes: int = 128 << 20) -> tuple[DataFrame, DataFrame]:
+    """The rows that surely have none of ``keys`` (one column of 64-bit hashes), and those that may have one.
+
+    A Bloom filter of the keys, 16 bits each but ``broadcast_bytes`` at most, is
+    broadcast, so that rows without a key never move. A filter too small for
+    the keys lets more rows through to the second table, and loses none.
+    """
+    name = keys.columns[0]
+    words = max(min(-(-keys.count() // 4), broadcast_bytes // SIEVE_ROW), 1)
+    place = lambda c: F.pmod(c, F.lit(words))
+    sieve = staged(keys.groupBy(place(F.col(name)).alias("sieve_word")).agg(F.bit_or(sieve_mask(F.col(name))).alias("sieve_bits")), "sieve")
+    tested = rows.withColumn("sieve_key", key).withColumn("sieve_word", place(F.col("sieve_key"))).join(F.broadcast(sieve), "sieve_word", "left")
+    mask = sieve_mask(F.col("sieve_key"))
+    hit = F.coalesce(F.col("sieve_bits").bitwiseAND(mask) == mask, F.lit(False))
+    own = ["sieve_word", "sieve_bits", "sieve_key"]
+    return tested.where(~hit).drop(*own), tested.where(hit).drop(*own)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], total: int, size: str = "group_size", most_hot: int = 100_000) -> DataFrame:
+    """Rows with what their group has, so that no large group meets in one task.
+
+    Groups of more than ``total / most_hot`` rows can be ``most_hot`` at most; they
+    are broadcast, and only rows of the others are shuffled.
+    """
+    least = max(total // most_hot, 20_000)
+    hot = groups.where(F.col(size) > least)
+    if hot.isEmpty():
+        return rows.join(groups, key)
+    others = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(groups.where(F.col(size) <= least), key)
+    return rows.join(F.broadcast(hot), key).unionByName(others)
+
+
 def text_of(column: str = "text") -> Column:
     """The text, or the empty string for null."""
     return F.coalesce(F.col(column), F.lit(""))
