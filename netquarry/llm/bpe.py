@@ -12,7 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import text_of
+from .common import blocks, text_of
 
 #: Unicode White_Space, as the vocabulary's patterns mean it; str.split() also cuts at the four code points of NOT_SPACE.
 SPACE_CLASS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -179,26 +179,25 @@ def bpe_encode(documents: DataFrame, tokenizer_path: str, rows_at_once: int = 25
     and decoded. Null and empty texts have no tokens and decode to "". Repeated
     rows are encoded one by one; other columns are ignored. The vocabulary file
     (a word-level BPE in JSON, of fixed size) is read by the driver and
-    broadcast. Rows are never shuffled, and no text is cut.
+    broadcast. Rows are never shuffled, and no text is cut; a worker holds the
+    ids of about a megabyte of texts, or of one longer text, at once.
     """
     with open(tokenizer_path, encoding="utf-8") as file:
         shared = documents.sparkSession.sparkContext.broadcast(file.read())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value)
-        for whole in batches:
-            for at in range(0, whole.num_rows, rows_at_once):
-                batch = whole.slice(at, rows_at_once)
-                ids = [encoder.encode(t) for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        pa.array([len(x) // 4 for x in ids], pa.int64()),
-                        pa.array(ids, pa.binary()),
-                        pa.array([encoder.decode(x) for x in ids], pa.string()),
-                    ],
-                    ["doc_id", "n_tokens", "ids", "decoded"],
-                )
+        for batch in blocks(batches, rows_at_once):
+            ids = [encoder.encode(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    pa.array(ids, pa.binary()),
+                    pa.array([encoder.decode(x) for x in ids], pa.string()),
+                ],
+                ["doc_id", "n_tokens", "ids", "decoded"],
+            )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", text_of().alias("text")).mapInArrow(

@@ -15,8 +15,12 @@ from pyspark.sql import functions as F
 from .common import blocks, text_of
 
 _NO_WORD = re.compile(r"[\W_]+")
-#: Steps of the walk for each word of an item; enough for the pointer, which moves half the time, to reach the end.
-STRETCH = 3
+#: Steps of the walk for each word of an item; as the pointer moves half the time, few walks pass the item's end by then.
+STRETCH = 1.5
+
+
+#: Words of windows that are compared at once, which bounds the memory whatever the length of items and texts.
+WINDOW_WORDS = 2_000_000
 
 
 def plain_word(token: str) -> str:
@@ -48,11 +52,11 @@ class Items:
     def prepare(self) -> Items:
         """Build each length's vocabulary and, for each repetition, its places, sorted keys and the items behind them."""
         for length, own in self.by_length.items():
-            most = np.zeros(len(self.numbers) + 1, np.uint8)
+            most = np.zeros(len(self.numbers) + 1, np.int32)
             words = np.stack([w for _, w in own])
             for item in words:
                 found, counts = np.unique(item, return_counts=True)
-                most[found] = np.maximum(most[found], np.minimum(counts, 255))
+                most[found] = np.maximum(most[found], counts)
             self.vocabularies[length] = most
             keys = self.keys(words.ravel(), np.arange(len(own)) * length, length)
             orders = [np.argsort(k, kind="stable") for k in keys]
@@ -85,8 +89,9 @@ class Items:
     def _draws(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """The sampled steps and the walk's multipliers of each repetition."""
         rng = np.random.default_rng((self.seed, length))
-        steps = np.stack([rng.choice(STRETCH * length, self.sampled, replace=False) for _ in range(self.repetitions)])
-        return steps, rng.integers(1, 1 << 63, size=(self.repetitions, STRETCH * length), dtype=np.uint64) | np.uint64(1)
+        reach = max(math.ceil(STRETCH * length), self.sampled)
+        steps = np.stack([rng.choice(reach, self.sampled, replace=False) for _ in range(self.repetitions)])
+        return steps, rng.integers(1, 1 << 63, size=(self.repetitions, reach), dtype=np.uint64) | np.uint64(1)
 
     def candidates(self, words: np.ndarray) -> dict[tuple[int, int], set[int]]:
         """Starts of windows by (length, item) whose key equals the item's in some repetition.
@@ -98,14 +103,14 @@ class Items:
         """
         found: dict[tuple[int, int], set[int]] = {}
         inside = np.concatenate([[0], np.cumsum(words > 0, dtype=np.int32)])
-        most_of_item = np.zeros(len(self.numbers) + 1, np.uint8)
+        most_of_item = np.zeros(len(self.numbers) + 1, np.int32)
         for length, most in self.vocabularies.items():
             least = length - self.edits(length)
             starts = np.flatnonzero(inside[length:] - inside[:-length] >= least)
             if not len(starts):
                 continue
             kept = []
-            for part in np.array_split(starts, -(-len(starts) // 50_000)):
+            for part in np.array_split(starts, -(-len(starts) * length // WINDOW_WORDS)):
                 windows = words[part[:, None] + np.arange(length)]
                 may = (most[windows] > 0).sum(axis=1) >= least
                 may[may] = common_words(windows[may], most) >= least
@@ -123,8 +128,9 @@ class Items:
             for item, own in pairs.items():
                 own = starts[np.unique(np.concatenate(own))]
                 found_words, counts = np.unique(self.by_length[length][item][1], return_counts=True)
-                most_of_item[found_words] = np.minimum(counts, 255)
-                near = own[common_words(words[own[:, None] + np.arange(length)], most_of_item) >= least]
+                most_of_item[found_words] = counts
+                parts = np.array_split(own, -(-len(own) * length // WINDOW_WORDS))
+                near = np.concatenate([p[common_words(words[p[:, None] + np.arange(length)], most_of_item) >= least] for p in parts])
                 most_of_item[found_words] = 0
                 if len(near):
                     found[length, item] = set(near.tolist())
@@ -220,20 +226,19 @@ def _found(texts: list[str | None], items: Items) -> Iterator[tuple[int, object,
 
 
 def item_blocks(
-    benchmark: DataFrame, share: float = 0.2, recall: float = 0.99, agreement: float = 0.45, sampled: int = 2, least_words: int = 5, block_bytes: int = 1 << 20, seed: int = 11
+    benchmark: DataFrame, share: float = 0.2, recall: float = 0.99, agreement: float = 0.4, sampled: int = 2, block_bytes: int = 4 << 20, seed: int = 11
 ) -> Iterator[Items]:
     """Benchmark items (item_id, text) in blocks of about ``block_bytes`` of text, each small enough to broadcast.
 
     As many repetitions as reach ``recall`` for windows that agree with the item
-    in ``agreement`` of their embedding. Items without text, or of fewer than
-    ``least_words`` words, are too short to tell and left out; equal items count
-    once for each id.
+    in ``agreement`` of their embedding. Items without a word are left out; equal
+    items count once for each id.
     """
     repetitions = max(1, math.ceil(math.log(1 - recall) / math.log(1 - agreement**sampled)))
     block, held = Items({}, {}, share, repetitions, sampled, seed), 0
     for row in benchmark.select("item_id", "text").where("text IS NOT NULL").toLocalIterator():
         words = [w for w in map(plain_word, row["text"].split()) if w]
-        if len(words) < max(least_words, 1):
+        if not words:
             continue
         if held > block_bytes:
             yield block.prepare()
@@ -252,8 +257,9 @@ def find_contaminated(documents: DataFrame, benchmark: DataFrame, rows_at_once:
     item's words in insertions, deletions and replacements of words; words are
     compared without case and signs. Only documents with an item have rows, one
     for each item: its place of fewest edits, as words of the text. Items are
-    broadcast in blocks of bounded size; texts are never shuffled. Copies with
-    no edit are always found, others with the ``recall`` aimed at.
+    broadcast in blocks of bounded size, a pass over the texts for each; texts are
+    never shuffled. Copies with no edit are always found, whatever their length,
+    others with the ``recall`` aimed at. Items of fewer than five words allow no edit.
 
     Null and empty texts have no item. Repeated rows are searched one by one;
     other columns are ignored.

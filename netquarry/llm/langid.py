@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .common import blocks, held_out, text_of
 
 UNDETERMINED = "und"
+#: Different trigrams whose vectors are held at once, which bounds the memory whatever the texts: some 40 MB with 1,024 dimensions.
+CODES_AT_ONCE = 8_192
 _LETTERS: list[np.ndarray] = []
 
 
@@ -75,22 +77,25 @@ def bundle(texts: list[str], dimensions: int, seed: int) -> np.ndarray:
     """A unit vector for each text (zeros where it has no letter): the sum of its n-gram vectors by count.
 
     An n-gram's vector binds (multiplies) its letters' vectors, each permuted
-    (rolled) by its distance from the n-gram's end.
+    (rolled) by its distance from the n-gram's end. Vectors are made and summed in
+    slices of ``CODES_AT_ONCE`` n-grams.
     """
     found = [trigrams(t) for t in texts]
-    codes = np.unique(np.concatenate([c for c, _ in found]))
-    if not len(codes):
-        return np.zeros((len(texts), dimensions), np.float32)
-    parts = [(codes >> shift) & 0x1FFFFF for shift in (42, 21, 0)]
-    letters = np.unique(np.concatenate(parts))
-    vectors = letter_vectors(letters, dimensions, seed)
-    bound = np.ones((len(codes), dimensions), np.int8)
-    for roll, part in zip((2, 1, 0), parts, strict=True):
-        bound *= np.roll(vectors, roll, axis=1)[np.searchsorted(letters, part)]
-    counts = np.zeros((len(texts), len(codes)), np.float32)
-    for row, (own, n) in enumerate(found):
-        counts[row, np.searchsorted(codes, own)] = n
-    bundled = counts @ bound.astype(np.float32)
+    all_codes = np.unique(np.concatenate([np.empty(0, np.int64), *(c for c, _ in found)]))
+    bundled = np.zeros((len(texts), dimensions), np.float32)
+    for at in range(0, len(all_codes), CODES_AT_ONCE):
+        codes = all_codes[at : at + CODES_AT_ONCE]
+        parts = [(codes >> shift) & 0x1FFFFF for shift in (42, 21, 0)]
+        letters = np.unique(np.concatenate(parts))
+        vectors = letter_vectors(letters, dimensions, seed)
+        bound = np.ones((len(codes), dimensions), np.int8)
+        for roll, part in zip((2, 1, 0), parts, strict=True):
+            bound *= np.roll(vectors, roll, axis=1)[np.searchsorted(letters, part)]
+        counts = np.zeros((len(texts), len(codes)), np.float32)
+        for row, (own, n) in enumerate(found):
+            low, high = np.searchsorted(own, codes[0], "left"), np.searchsorted(own, codes[-1], "right")
+            counts[row, np.searchsorted(codes, own[low:high])] = n[low:high]
+        bundled += counts @ bound.astype(np.float32)
     norms = np.linalg.norm(bundled, axis=1, keepdims=True)
     return np.divide(bundled, norms, out=np.zeros_like(bundled), where=norms > 0)
 

@@ -18,13 +18,15 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, staged, utf8
+from .common import blocks, join_groups, scratch, split_by_sieve, staged, utf8
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: ZIP signatures and sizes (end, ZIP64 locator, ZIP64 end, directory entry, local header), and the extra field of ZIP64.
 END, LOCATOR, END64, ENTRY, LOCAL = b"PK\x05\x06", b"PK\x06\x07", b"PK\x06\x06", b"PK\x01\x02", b"PK\x03\x04"
 END_SIZE, LOCATOR_SIZE, ENTRY_SIZE, LOCAL_SIZE, ZIP64_EXTRA, STORED = 22, 20, 46, 30, 1, 0
 LONGEST_COMMENT = 65_535
+#: Bytes of payload that a reader hands on at once, unless one payload is longer.
+BATCH_BYTES = 8 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -166,13 +168,14 @@ def _page_of(name: str) -> int | None:
 def revisits(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     """Pages whose payload a page of smaller id has: page_id, digest, refers_to.
 
-    Digests alone are shuffled. Pages with null ids refer to the smallest id, if any.
+    Digests alone are shuffled, and those of large groups not even once more
+    (``join_groups``). Pages with null ids refer to the smallest id, if any.
     """
     digests = staged(
         pages.select("page_id", F.sha2(utf8("html"), 256).alias("digest"), F.octet_length(utf8("html")).alias("size")).where(F.col("size") >= least_bytes), "digests"
     )
     first = digests.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 AND refers_to IS NOT NULL")
-    later = digests.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    later = join_groups(digests, staged(first, "first"), ["digest"], digests.count(), "n").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
     return staged(later.select("page_id", "digest", "refers_to").distinct(), "revisits")
 
 
@@ -186,19 +189,24 @@ def write_archives(pages: DataFrame, least_bytes: int = 100, archive_bytes: int
     and an index of their offsets in a stored ``indexes/`` member. A task that
     runs again writes new files; only those of the attempt that counted are
     listed. Null html is an empty payload, a null url an empty target.
+    Payloads of responses never move: a Bloom filter of the revisits lets them
+    pass, and only what it holds back meets the table of revisits.
     """
     spark = pages.sparkSession
     later = revisits(pages, least_bytes)
     own = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), utf8("html").alias("payload"))
     own = own.withColumn("sha256", F.sha2("payload", 256))
-    is_later = own["page_id"].eqNullSafe(later["page_id"]) & (own["sha256"] == later["digest"])
-    rows = own.join(later, is_later, "left").select(own["page_id"], "url", "payload", "sha256", "refers_to")
+    clear, maybe = split_by_sieve(own, F.xxhash64("page_id", "sha256"), later.select(F.xxhash64("page_id", "digest").alias("key")))
+    columns = ["page_id", "url", "payload", "sha256", "refers_to"]
+    is_later = maybe["page_id"].eqNullSafe(later["page_id"]) & (maybe["sha256"] == later["digest"])
+    joined = maybe.join(later, is_later, "left").select(maybe["page_id"], *columns[1:])
+    rows = clear.withColumn("refers_to", F.lit(None).cast(later.schema["refers_to"].dataType)).select(*columns).unionByName(joined)
     folder = scratch(spark, "archives")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = fs.FileSystem.from_uri(folder)
         system.create_dir(path, recursive=True)
-        lines: Iterator[dict] = (row for batch in batches for row in _rows(batch))
+        lines: Iterator[dict] = (row for batch in blocks(batches, 256, BATCH_BYTES, column=2) for row in _rows(batch))
         row = next(lines, None)
         while row is not None:
             name, index, at = f"{uuid.uuid4().hex}.wacz", [], 0
@@ -257,18 +265,25 @@ def read_records(ranges: DataFrame, rows_at_once: int = 256) -> DataFrame:
     schema = "page_id bigint, record_type string, url string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, rows_at_once):
-                batch = whole.slice(at, rows_at_once)
-                rows = []
-                for uri in pc.unique(batch.column(0)).to_pylist():
-                    own = batch.filter(pc.equal(batch.column(0), uri))
-                    with RangeReader(uri) as source:
-                        for begin, size in zip(own.column(1).to_pylist(), own.column(2).to_pylist(), strict=True):
-                            rows.append(_row(*parse_record(source.read(begin, size))))
-                columns = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in schema.split(", ")])
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+        names = [f.split()[0] for f in schema.split(", ")]
+
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+        for batch in batches:
+            rows, held = [], 0
+            for uri in pc.unique(batch.column(0)).to_pylist():
+                own = batch.filter(pc.equal(batch.column(0), uri))
+                with RangeReader(uri) as source:
+                    for begin, size in zip(own.column(1).to_pylist(), own.column(2).to_pylist(), strict=True):
+                        rows.append(_row(*parse_record(source.read(begin, size))))
+                        held += len(rows[-1][-1] or b"")
+                        if len(rows) >= rows_at_once or held >= BATCH_BYTES:
+                            yield packed(rows)
+                            rows, held = [], 0
+            if rows:
+                yield packed(rows)
 
     return ranges.mapInArrow(read, schema)
 
