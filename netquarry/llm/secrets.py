@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,14 +25,29 @@ ENCODINGS = (
     ("[0-9A-Za-z]+", lambda c: c, "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     (".*", lambda c: c, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 )
+#: The same as parts of one pattern that consumes them, each with its least length.
+BASE_PARTS = (
+    r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8,}+""",
+    "AKIA[A-Z0-9]{12,}+",
+    "[0-9a-f]{32,}+",
+)
+#: Matches whose places are summed up at once.
+BLOCK = 256
 #: Steps of a p-value's logarithm in the histogram that sets the threshold, and the bin of the smallest.
 BINS, LAST_BIN = 16, 16 * 300
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _matches(text: Column, pattern: str, group: int, least: int, keep_text: bool = False) -> Column:
     """Leftmost non-overlapping matches whose group has ``least`` characters, as (start, end, token) in code points.
 
-    The text split at the matches, beside the matches themselves, gives their places.
+    The text split at the matches, beside the matches themselves, gives their
+    places. They are summed up in blocks, then the blocks, as a fold that appends
+    to one array takes time by the square of its length.
     """
     pieces = F.arrays_zip(
         F.split(text, pattern, -1).alias("before"),
@@ -44,14 +60,22 @@ def _matches(text: Column, pattern: str, group: int, least: int, keep_text: bool
     def step(so_far: Column, piece: Column) -> Column:
         start = so_far["at"] + F.char_length(piece["before"])
         end = start + F.coalesce(F.char_length(piece["match"]), F.lit(0))
-        token = piece["match"] if keep_text else F.lit(None).cast("string")
+        token = piece["value"] if keep_text else F.lit(None).cast("string")
         one = F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), token.alias("token"))
         good = F.coalesce(F.char_length(piece["value"]) >= least, F.lit(False))
-        if keep_text:
-            good = good & piece["match"].rlike("[0-9]") & piece["match"].rlike("[A-Za-z]")
         return F.struct(end.cast("long").alias("at"), F.when(good, F.array_append(so_far["found"], one)).otherwise(so_far["found"]).alias("found"))
 
-    return F.when(text.rlike(pattern), F.aggregate(pieces, zero, step, lambda x: x["found"])).otherwise(F.array().cast(kind))
+    def in_blocks(all_pieces: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.ceil(F.size(all_pieces) / F.lit(BLOCK)).cast("int") - 1)
+        return F.transform(numbers, lambda n: F.aggregate(F.slice(all_pieces, n * BLOCK + 1, F.lit(BLOCK)), zero, step))
+
+    def shifted(blocks: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("all"))
+        bases = F.aggregate(blocks, start, lambda a, b: F.struct((a["at"] + b["at"]).alias("at"), F.array_append(a["all"], a["at"]).alias("all")))["all"]
+        move = lambda base: lambda x: F.struct((x["start"] + base).alias("start"), (x["end"] + base).alias("end"), x["token"].alias("token"))
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("block"), bases.alias("base")), lambda z: F.transform(z["block"]["found"], move(z["base"]))))
+
+    return F.when(text.rlike(pattern), _bound(_bound(pieces, in_blocks), shifted)).otherwise(F.array().cast(kind))
 
 
 def _upper_tail(z: Column) -> Column:
@@ -146,9 +170,9 @@ def find_secrets(documents: DataFrame, least_random: int = 20, false_discovery:
     """Secrets in whole texts: doc_id and spans as (start, kind, end), sorted; kind is a place in ``KINDS``.
 
     Three kinds are fixed patterns. The fourth, random, are stretches of
-    ``least_random`` characters or more of the base-64 alphabets, with letters
-    and digits, that overlap none of the others and that the randomness battery
-    doesn't take for ordinary text. The battery's p-values, over all documents,
+    ``least_random`` characters or more of the base-64 alphabets, cut where one
+    of the others begins or ends, that the randomness battery doesn't take for
+    ordinary text. The battery's p-values, over all documents,
     are held against the false-discovery rate aimed at by the step-up rule, each
     weighted by the length of its string, as long ones tell more: of those taken
     for ordinary text at most that share is random. The threshold comes from a
@@ -166,9 +190,10 @@ def find_secrets(documents: DataFrame, least_random: int = 20, false_discovery:
             for kind, (_, pattern, group, least) in enumerate(PATTERNS)
         )
     )
-    stretches = _matches(text, f"[A-Za-z0-9+/_=-]{{{least_random},}}", 0, least_random, keep_text=True)
+    parts = "|".join(BASE_PARTS)
+    stretches = _matches(text, f"{parts}|((?:(?!{parts})[A-Za-z0-9+/_=-]){{{least_random},}}+)", 1, least_random, keep_text=True)
     own = own.select("doc_id", base.alias("base"), stretches.alias("stretches"))
-    free = F.filter("stretches", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])) & (F.char_length(F.rtrim(x["token"], F.lit("="))) > 1))
+    free = F.filter("stretches", lambda x: F.char_length(F.rtrim(x["token"], F.lit("="))) > 1)
     tested = staged(own.select("doc_id", "base", _tested(free).alias("tested")), "tested")
 
     each = tested.select(F.explode("tested").alias("t")).select("t.*")
