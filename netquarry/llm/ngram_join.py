@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +33,13 @@ def _least_shared(n: Column, m: Column) -> Column:
     return F.ceil(F.lit(NUMERATOR) * (n + m) / F.lit(DENOMINATOR + NUMERATOR)).cast("int")
 
 
-def frequency_sketch(texts: DataFrame, words: int, rows_at_once: int = 256) -> np.ndarray:
-    """Counts of all shingle occurrences by the top bits of their hash: an array of fixed size."""
+def frequency_sketch(texts: DataFrame, hashes: Callable[[list[bytes]], np.ndarray], rows_at_once: int = 256) -> np.ndarray:
+    """Counts of all hashes of texts, the second column, by the hashes' top bits: an array of fixed size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in blocks(batches, rows_at_once):
-            found = np.concatenate([np.empty(0, np.uint64), *shingle_sets(batch.column(1).to_pylist(), words)])
+            found = hashes(batch.column(1).to_pylist())
             total += np.bincount((found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
         yield from _sketch_rows({k: r for k, r in enumerate(total.reshape(-1, SKETCH_ROW)) if r.any()})
 
@@ -246,7 +246,8 @@ def near_duplicate_components(documents: DataFrame, words: int = 5) -> DataFrame
     class, null if all of it are null. Other columns are ignored.
     """
     texts = documents.select("doc_id", utf8().alias("text"))
-    classes = frequency_classes(frequency_sketch(texts, words))
+    sketch = frequency_sketch(texts, lambda own: np.concatenate([np.empty(0, np.uint64), *shingle_sets(own, words)]))
+    classes = frequency_classes(sketch)
     profiles = staged(_profiles(texts, classes, words), "profiles")
     sets = (
         profiles.where("n > 0 AND doc_id IS NOT NULL")

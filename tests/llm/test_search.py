@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from netquarry.llm.chunk_dedup import GEAR, gear_hashes, repeated_passages
+from netquarry.llm.chunk_dedup import GEAR, chunk_cuts, drop_repeated_passages, gear_hashes, repeated_passages
 from netquarry.llm.decontaminate import closest, drop_contaminated, find_contaminated, plain_word
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -36,77 +36,140 @@ def test_gear_hash_matches_its_recurrence():
     assert gear_hashes(data).tolist() == expected
 
 
-def test_repeated_passages(spark):
+def brute_cuts(text, around=11, longest=96):
+    """Chunk boundaries by their definition, byte by byte."""
+    hashes, h = [], 0
+    for b in text:
+        h = ((h << 1) + int(GEAR[b])) & 0xFFFFFFFF
+        hashes.append(h)
+    at = lambda i: hashes[i] if 0 <= i < len(hashes) else 1 << 32
+    cuts = [0]
+    for i in range(1, len(text)):
+        if all(at(i) < at(i - k) and at(i) <= at(i + k) for k in range(1, around + 1)):
+            cuts.append(i)
+    cuts = sorted({*cuts, len(text)})
+    return sorted({*cuts, *(c for a, b in zip(cuts, cuts[1:], strict=False) for c in range(a + longest, b, longest))})
+
+
+def brute_passages(texts, least=20, chunks=4):
+    """(doc, start, end, words, keep) of each part, by the definition of cuts, windows, runs and parts."""
+    windows, places = {}, {}
+    for d, text in enumerate(texts):
+        raw = (text or "").encode()
+        cuts = brute_cuts(raw)
+        words, points = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)], [len(raw[:i].decode(errors="ignore")) for i in range(len(raw) + 1)]
+        for k in range(len(cuts) - chunks):
+            a, b = cuts[k], cuts[k + chunks]
+            inside = [n for n, (x, y) in enumerate(words) if x >= a and y <= b]
+            places[d, k] = (points[words[inside[0]][0]], points[words[inside[-1]][1]], inside[0], inside[-1] + 1) if inside else None
+            windows.setdefault(raw[a:b], []).append((d, k))
+    first = {w: min(own)[0] for own in windows.values() if min(own)[0] < max(own)[0] for w in own}
+    found, runs = set(), []
+    for d, k in sorted(first):
+        if (d, k - 1) in first:
+            runs[-1].append((d, k))
+        else:
+            runs.append([(d, k)])
+    for run in runs:
+        own = [places[w] for w in run if places[w]]
+        if not own or max(x[3] for x in own) - min(x[2] for x in own) < least:
+            continue
+        parts = [[run[0]]]
+        for w in run[1:]:
+            if first[w] == first[parts[-1][-1]]:
+                parts[-1].append(w)
+            else:
+                parts.append([w])
+        for part in parts:
+            own = [places[w] for w in part if places[w]]
+            if own:
+                found.add((part[0][0], min(x[0] for x in own), max(x[1] for x in own), max(x[3] for x in own) - min(x[2] for x in own), first[part[0]]))
+    return found
+
+
+def test_cuts_match_their_definition():
+    rng = random.Random(12)
+    texts = [b"", b"a", b"\0" * 700, b"@" * 500, b"ab" * 300, prose(rng, 400).encode(), bytes(rng.choices(range(256), k=3000)), "é ñ ".encode() * 90]
+    for text, own in zip(texts, chunk_cuts(texts), strict=True):
+        assert own.tolist() == brute_cuts(text)
+
+
+def passage_rows(frame, **options):
+    return {(r.doc_id, r.start, r.end, r.n_words, r.keep_doc_id) for r in repeated_passages(frame, **options).collect()}
+
+
+def test_passages_match_brute_force(spark):
     rng = random.Random(5)
-    passages = [prose(rng, 60) for _ in range(6)]
-    texts, owners = [], {}
-    for i in range(80):
-        text = prose(rng, rng.randint(5, 200))
-        if i % 4 == 0:
-            owners[i] = i // 4 % 6
-            text = text + ("é " * (i % 3)) + passages[owners[i]] + " " + prose(rng, 30)
+    passages = [prose(rng, n, "abcdeé") for n in (25, 40, 60, 60, 90, 200)]
+    texts = []
+    for i in range(60):
+        text = prose(rng, rng.randint(5, 120))
+        if i % 3 == 0:
+            text += "\n" + passages[i // 3 % 6] + " " + prose(rng, rng.randint(0, 30))
+        if i % 10 == 0:
+            text += passages[5] + passages[2]
         texts.append(text)
-    texts += ["", None, passages[0]]
-    owners[82] = 0
-    found = repeated_passages(docs(spark, texts, 0).repartition(5)).collect()
-    assert {r.doc_id for r in found} == set(owners)
-    for r in found:
-        own = texts[r.doc_id][r.start : r.end]
-        assert own in passages[owners[r.doc_id]] or len(set(own) & set(passages[owners[r.doc_id]])) and r.n_words >= 20
-        assert r.kept == (r.doc_id == min(d for d, p in owners.items() if p == owners[r.doc_id])) == (r.keep_doc_id == r.doc_id)
-
-
-def test_passages_within_one_document_or_without_id(spark):
-    rng = random.Random(7)
-    p = prose(rng, 80)
-    rows = spark.createDataFrame([(1, p + p), (1, p + p), (None, p)], "doc_id bigint, text string")
-    assert repeated_passages(rows).count() == 0
-    assert repeated_passages(docs(spark, [])).count() == 0
+    texts += ["", None, passages[0], "x" * 5000, "x" * 4000]
+    frame = docs(spark, texts, 0).selectExpr("*", "1 AS seq", "2 AS hi", "3 AS word", "4 AS other_id", "5 AS salt")
+    expected = brute_passages(texts)
+    assert len(expected) > 20 and passage_rows(frame.repartition(5)) == expected
 
 
-def brute_passages(texts, least=20):
-    """doc, word, smallest doc of each window of words that stands in several documents."""
-    windows = {}
-    for d, t in enumerate(texts):
-        words = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
-        for i in range(len(words) - least + 1):
-            windows.setdefault(t[words[i][0] : words[i + least - 1][1]], []).append((d, words[i][0], words[i + least - 1][1]))
-    return {(*w, own[0][0]) for own in windows.values() if own[0][0] < own[-1][0] for w in own}
+@pytest.mark.parametrize("n", [51, 60, 120])
+def test_long_passages_are_found_nearly_whole(spark, n):
+    rng = random.Random(n)
+    passages = [prose(rng, n) for _ in range(40)]
+    texts = [f"{prose(rng, 9)} {i}é {p} ~{i} {prose(rng, 9)}" for i, p in enumerate(passages + passages)] + [prose(rng, 300) for _ in range(30)]
+    rows = repeated_passages(docs(spark, texts, 0)).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(80))
+    for r in rows:
+        p = passages[r.doc_id % 40]
+        own = texts[r.doc_id][r.start : r.end]
+        assert own in p and len(own) >= len(p) - 130 and r.keep_doc_id == r.doc_id % 40 and r.kept == (r.doc_id < 40)
 
 
-def test_passages_are_exact_and_lose_no_content(spark):
+def test_cutting_passages_loses_no_content(spark):
     rng = random.Random(11)
-    filler = lambda: prose(rng, rng.randint(0, 30))
-    p, q, short = prose(rng, 40), prose(rng, 30), [prose(rng, n, "abcé") for n in (19, 20, 21, 22, 24, 28, 35, 50)]
+    p, q = prose(rng, 60), prose(rng, 50)
     mixed = [prose(rng, 12) for _ in range(6)]
-    texts = [filler(), filler() + " " + p, filler(), p + " " + q, filler(), filler() + " " + q + " " + filler(), " ".join(mixed)]
-    texts += [filler() + " " + m + "\t" + filler() for m in mixed]  # each part of document 6 stands elsewhere, the whole nowhere
-    texts += [filler() + "\n" + s + " " + filler() for s in short for _ in range(3)]
-    rows = repeated_passages(docs(spark, texts, 0).repartition(4)).collect()
-    found = {(r.doc_id, *w, r.keep_doc_id) for r in rows for w in _windows_of(texts[r.doc_id], r.start, r.end)}
-    assert found == brute_passages(texts)
-    assert not {r.doc_id for r in rows} & {6, *range(7, 16)}
-    assert {r.doc_id for r in rows if r.n_words == 20} == {16, 17, 18}
-    left = [list(t) for t in texts]
-    for r in rows:
-        if not r.kept:
-            left[r.doc_id][r.start : r.end] = "\0" * (r.end - r.start)
-    left = ["".join(t) for t in left]
-    assert all(any(w in t for t in left) for w in (p, q, *short))
+    texts = [prose(rng, 9), prose(rng, 20) + " " + p, p + " " + q, prose(rng, 30) + " " + q + " " + prose(rng, 8), " ".join(mixed)]
+    texts += [prose(rng, 12) + " " + m + "\t" + prose(rng, 12) for m in mixed]  # each part of document 4 stands elsewhere, the whole nowhere
+    frame = docs(spark, texts + [None, p], 0).selectExpr("*", "1 AS cuts", "2 AS row")
+    left = drop_repeated_passages(frame)
+    assert left.columns == frame.columns
+    found = {r.doc_id: r.text for r in left.collect()}
+    assert [found[i] for i in (0, 1, *range(4, 12))] == [texts[i] for i in (0, 1, *range(4, 11))] + [None]
+    assert q[60:-60] in found[2] and p[60:-60] not in found[2] and q[60:-60] not in found[3] and len(found[12]) < 100
 
 
-def _windows_of(text, start, end, least=20):
-    words = [(start + m.start(), start + m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text[start:end])]
-    return [(words[i][0], words[i + least - 1][1]) for i in range(len(words) - least + 1)]
+def test_passages_without_ids_and_repeated_rows(spark):
+    rng = random.Random(7)
+    p, tail = prose(rng, 80), prose(rng, 20)
+    one = spark.createDataFrame([(1, p + p), (1, p + p), (2, "")], "doc_id bigint, text string")
+    assert repeated_passages(one).count() == 0 and drop_repeated_passages(one).count() == 3
+    rows = spark.createDataFrame([(1, p), (None, p + " " + tail), (None, p + " " + tail), (None, tail + " " + p)], "doc_id bigint, text string")
+    found = repeated_passages(rows).collect()
+    assert {(r.doc_id, r.keep_doc_id, r.kept) for r in found} == {(1, 1, True), (None, 1, False)}
+    found = repeated_passages(rows.where("doc_id IS NULL")).collect()
+    assert {(r.doc_id, r.keep_doc_id) for r in found} == {(None, None)} and {r.kept for r in found} == {True, False}
+    assert repeated_passages(docs(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("n", [20, 21, 30, 51])
-def test_short_passages_are_found_with_exact_ends(spark, n):
-    rng = random.Random(n)
-    passages = [prose(rng, n) for _ in range(40)]
-    texts = [f"{prose(rng, 9)} {i}é {p} ~{i} {prose(rng, 9)}" for i, p in enumerate(passages + passages)]
-    rows = repeated_passages(docs(spark, texts, 0)).collect()
-    assert sorted((r.doc_id, texts[r.doc_id][r.start : r.end], r.n_words, r.keep_doc_id) for r in rows) == [(i, passages[i % 40], n, i % 40) for i in range(80)]
+def test_frequent_windows_change_nothing(spark, monkeypatch):
+    from netquarry.llm import chunk_dedup
+
+    rng = random.Random(8)
+    shared = prose(rng, 60)
+    texts = [f"{prose(rng, rng.randint(1, 40))} {shared} {prose(rng, 9)}" for _ in range(200)]
+    expected = passage_rows(docs(spark, texts, 0))
+    assert len({r[0] for r in expected}) == 200 and 0 in {r[4] for r in expected}
+    monkeypatch.setattr(chunk_dedup, "_frequent", lambda w, t, f=chunk_dedup._frequent: f(w, t, least=50))
+    assert passage_rows(docs(spark, texts, 0)) == expected
+
+
+def test_very_long_text_of_one_byte(spark):
+    found = repeated_passages(docs(spark, ["z" * 5_000_000, "z" * 200, "a z"], 0)).collect()
+    assert found == []
 
 
 # ---- operator 10
@@ -157,12 +220,21 @@ def test_decontamination_reaches_its_recall(spark):
     assert np.mean([got[k] == expected[k] for k in got]) > 0.95
 
 
+@pytest.mark.parametrize("item", ["word " * 319, "word " * 400, "one", "two words", "日本語テキスト"])
+def test_exact_copies_of_items_of_any_length(spark, item):
+    items = spark.createDataFrame([(1, item)], ITEMS)
+    texts = ["before, " + item + "  after", item, "before after", "wor x", item.upper().replace(" ", " !! ")]
+    found = find_contaminated(docs(spark, texts, 0), items).collect()
+    assert sorted((r.doc_id, r.edits) for r in found) == [(0, 0), (1, 0), (4, 0)]
+
+
 def test_decontamination_edge_rows(spark):
     item = "one two three four five six"
     items = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "one"), (5, item)], ITEMS)
     frame = spark.createDataFrame([(1, item, 1), (1, item, 1), (2, None, 2), (3, "", 3), (None, "x " + item, 4), (5, "one two", 5)], "doc_id bigint, text string, item_id int")
     found = find_contaminated(frame, items)
-    assert sorted((r.doc_id or 0, r.item_id, r.first_word) for r in found.collect()) == [(0, 1, 1), (0, 5, 1), (1, 1, 0), (1, 1, 0), (1, 5, 0), (1, 5, 0)]
+    whole, short = [(0, 1, 1), (0, 5, 1), (1, 1, 0), (1, 1, 0), (1, 5, 0), (1, 5, 0)], [(0, 4, 1), (1, 4, 0), (1, 4, 0), (5, 4, 0)]
+    assert sorted((r.doc_id or 0, r.item_id, r.first_word) for r in found.collect()) == sorted(whole + short)
     assert sorted(r.doc_id for r in drop_contaminated(frame, items).collect()) == [2, 3, 5]
     assert find_contaminated(frame, items.limit(0)).count() == 0
     assert find_contaminated(frame.limit(0), items).count() == 0
