@@ -13,17 +13,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, held_out, text_of
+from .common import blocks, held_out, staged, text_of
 
 WORD = re.compile(r"\w+")
+#: Step of the histograms of scores.
+STEP = 0.25
+#: Letters of a stem, whose score is the prior of its words' scores.
+STEM = 5
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Scores by stem, the step between them, the extreme-value law of clean texts, and the logistic link."""
+    """Scores by word and by stem, the step between them, the extreme-value law of clean texts, and the logistic link."""
 
     scores: dict[str, float]
-    stem: int
+    stems: dict[str, float]
     gap: float
     decay: float
     rate: float
@@ -33,8 +37,8 @@ class ToxicityModel:
     def evidence(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """The sum of the significant passages' calibrated scores, and each as (start, end, score) in code points.
 
-        A segment of score s has expectation rate * words * exp(-decay * s) in a
-        clean text; its calibrated score is the negative log of that. Segments
+        Segments of score s or more have expectation rate * words * exp(-decay * s)
+        in a clean text; the calibrated score is the negative log of that. Segments
         that are expected less than once are significant.
         """
         scores = list(map(_word_scores(self).__getitem__, WORD.findall(text.lower())))
@@ -56,16 +60,17 @@ class ToxicityModel:
 
 
 class _WordScores(dict):
-    """Scores of whole words, less the gap; forgotten when there are too many."""
+    """Scores of whole words, less the gap; forgotten when there are too many. A word that wasn't seen has its stem's."""
 
     def __init__(self, model: ToxicityModel):
         super().__init__()
-        self.scores, self.stem, self.gap = model.scores, model.stem, model.gap
+        self.scores, self.stems, self.gap = model.scores, model.stems, model.gap
 
     def __missing__(self, word: str) -> float:
         if len(self) >= 500_000:
             self.clear()
-        score = self[word] = self.scores.get(word[: self.stem], 0.0) - self.gap
+        own = self.scores.get(word)
+        score = self[word] = (self.stems.get(word[:STEM], 0.0) if own is None else own) - self.gap
         return score
 
 
@@ -105,104 +110,128 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(s, e, float(r - x)) for s, e, x, r, _ in kept]
 
 
+def word_scores(counted: DataFrame, prior: float, own: float, doubt: float) -> tuple[dict[str, float], dict[str, float]]:
+    """Log-odds by word and by stem, from rows (word, clean, toxic, clean_texts, toxic_texts) of its tokens and of the texts that have it.
+
+    Two levels of Dirichlet priors: a stem (a word's first letters) has ``prior``
+    tokens in the classes' shares of all tokens, and a word has ``own`` tokens in
+    its stem's shares, as compounds of a word are many and each is rare. What
+    differs at a level is held back by ``doubt`` standard errors, which count
+    texts rather than tokens, as tokens of one text come together. A word's
+    score is its stem's and what is left of its own difference, so rare words
+    have their stem's. Nothing else drops a word.
+    """
+    pairs = ("clean", "toxic", "clean_texts", "toxic_texts")
+    stems = staged(counted.groupBy(F.substring("word", 1, STEM).alias("stem")).agg(*(F.sum(c).alias(f"stem_{c}") for c in pairs)), "toxicity-stems")
+    total = stems.agg(*(F.coalesce(F.sum(f"stem_{c}"), F.lit(0)).alias(c) for c in pairs)).first()
+    shares = {c: max(total[c], 1) / max(total[c] + total[d], 2) for c, d in zip(pairs, ("toxic", "clean", "toxic_texts", "clean_texts"), strict=True)}
+    held = lambda odds, x, y: F.signum(odds) * F.greatest(F.abs(odds) - F.lit(doubt) * F.sqrt(1 / x + 1 / y), F.lit(0.0))
+    of_stem = {c: F.col(f"stem_{c}") + F.lit(prior * shares[c]) for c in pairs}
+    odds = F.log(of_stem["toxic"] / of_stem["clean"]) - F.lit(math.log(shares["toxic"] / shares["clean"]))
+    part = of_stem["toxic"] / (of_stem["toxic"] + of_stem["clean"])
+    stems = stems.select("stem", held(odds, of_stem["clean_texts"], of_stem["toxic_texts"]).alias("stem_score"), part.alias("part"))
+    toxic, clean = F.lit(own) * F.col("part"), F.lit(own) * (1 - F.col("part"))
+    differs = F.log((F.col("toxic") + toxic) / (F.col("clean") + clean)) - F.log(toxic / clean)
+    words = counted.join(stems, F.substring("word", 1, STEM) == F.col("stem")).select(
+        "word", "stem_score", held(differs, F.col("clean_texts") + clean, F.col("toxic_texts") + toxic).alias("differs")
+    )
+    by_word = words.where("differs <> 0").select("word", (F.col("stem_score") + F.col("differs")).alias("score")).collect()  # words of the bounded sample
+    by_stem = stems.where("stem_score <> 0").select("stem", "stem_score").collect()
+    return {r["word"]: r["score"] for r in by_word}, {r["stem"]: r["stem_score"] for r in by_stem}
+
+
 def fit_toxicity(
-    documents: DataFrame,
-    labels: DataFrame,
-    train_rows: int = 50_000,
-    stem: int = 5,
-    prior: float = 10.0,
-    doubt: float = 3.0,
-    gap: float = 0.1,
-    most_terms: int = 50_000,
-    rows_at_once: int = 256,
+    documents: DataFrame, labels: DataFrame, train_rows: int = 50_000, prior: float = 5.0, own: float = 2.0, doubt: float = 3.0, gap: float = 0.1, tail: float = 0.1, rows_at_once: int = 256
 ) -> ToxicityModel:
-    """Learn stem scores, the law of clean maxima and the link from labelled rows.
+    """Learn word scores, the law of clean texts' segments and the link from labelled rows.
 
     Fits on about ``train_rows`` labelled documents, chosen by a hash of doc_id
-    so that their ids can be broadcast. A document is toxic if any of its labels
-    says so; null ids and labels are left out. Each stem (the first ``stem``
-    characters of a word) gets its log-odds of the two classes' document counts
-    under a Dirichlet prior of weight ``prior`` spread as the pooled counts,
-    held back by ``doubt`` standard errors; at most ``most_terms`` are kept.
+    so that their ids can be broadcast; two thirds of them give the scores (see
+    ``word_scores``), the rest the law and the link, which so aren't of texts
+    that the scores have seen. A document is toxic if any of its labels says so;
+    null ids and labels are left out. Each word costs ``gap``, so that segments end.
+    The law is that of the clean texts' segments beyond the score that the
+    share ``tail`` of them exceeds.
     """
     spark = documents.sparkSession
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     share = train_rows / max(known.count(), 1)
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(min(share, 1.0) * (1 << 30))))
-    train = documents.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    chosen = known.where(place < F.lit(int(min(share, 1.0) * (1 << 30)))).withColumn("scoring", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(3)) > 0)
+    train = staged(documents.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text", "scoring"), "toxicity-train")
+    rest = train.where("NOT scoring").select("toxic", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> pa.RecordBatch:
-            stems = list(seen[0].keys() | seen[1].keys())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(stems, pa.string()), *(pa.array([seen[k][s] for s in stems], pa.int64()) for k in (0, 1))], ["stem", "clean", "toxic"]
-            )
+            words = list(tokens[0].keys() | tokens[1].keys())
+            columns = [pa.array([c[w] for w in words], pa.int64()) for c in (*tokens, *texts)]
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *columns], ["word", "clean", "toxic", "clean_texts", "toxic_texts"])
 
-        seen = (Counter(), Counter())
+        tokens, texts = (Counter(), Counter()), (Counter(), Counter())
         for batch in blocks(batches, rows_at_once):
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[toxic].update({w[:stem] for w in WORD.findall(text.lower())})
-            if len(seen[0]) + len(seen[1]) > 500_000:
+                found = Counter(WORD.findall(text.lower()))
+                tokens[toxic].update(found)
+                texts[toxic].update(found.keys())
+            if len(tokens[0]) + len(tokens[1]) > 500_000:
                 yield rows()
-                seen = (Counter(), Counter())
+                tokens, texts = (Counter(), Counter()), (Counter(), Counter())
         yield rows()
 
-    sizes = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
-    clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
-    counted = train.mapInArrow(count, "stem string, clean bigint, toxic bigint").groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    weight = F.lit(prior) * (F.col("clean") + F.col("toxic")) / F.lit(max(clean + toxic, 1))
-    y0, y1 = F.col("clean") + weight, F.col("toxic") + weight
-    odds = F.log(y1 / (F.lit(toxic + prior) - y1 + 1e-9)) - F.log(y0 / (F.lit(clean + prior) - y0 + 1e-9))
-    held = F.abs(odds) - F.lit(doubt) * F.sqrt(1 / y0 + 1 / y1)
-    terms = (
-        counted.select("stem", (F.signum(odds) * held).alias("score"), held.alias("held"))
-        .where("held > 0")
-        .orderBy(F.desc("held"), "stem")
-        .limit(most_terms)
-        .collect()
-    )
-    model = ToxicityModel({r["stem"]: r["score"] for r in terms}, stem, gap, 1.0, 1.0, 0.0, 0.0)
-
-    # Clean texts' segments above x come at a rate that falls exponentially with x.
-    plain = spark.sparkContext.broadcast(model)
+    counted = train.where("scoring").select("toxic", "text").mapInArrow(count, "word string, clean bigint, toxic bigint, clean_texts bigint, toxic_texts bigint")
+    counted = counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in counted.columns[1:]))
+    scores, stems = word_scores(staged(counted, "toxicity-words"), prior, own, doubt)
+    plain = spark.sparkContext.broadcast(ToxicityModel(scores, stems, gap, 1.0, 1.0, 0.0, 0.0))
 
     def exceed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, words = Counter(), 0
         for batch in blocks(batches, rows_at_once):
             for text in batch.column(1).to_pylist():
-                scores = np.array(list(map(_word_scores(plain.value).__getitem__, WORD.findall(text.lower()))))
-                words += len(scores)
-                if len(scores) and scores.max() > 0:
-                    bins.update(int(s / 0.25) for *_, s in maximal_segments(scores))
+                each = np.array(list(map(_word_scores(plain.value).__getitem__, WORD.findall(text.lower()))))
+                words += len(each)
+                if len(each) and each.max() > 0:
+                    bins.update(int(s / STEP) for *_, s in maximal_segments(each))
         yield pa.RecordBatch.from_arrays([pa.array([-1, *bins], pa.int64()), pa.array([words, *bins.values()], pa.int64())], ["bin", "n"])
 
-    tail = {r["bin"]: r["n"] for r in train.where("toxic = 0").mapInArrow(exceed, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect()}
-    decay, rate = _tail_law(tail)
-    model = ToxicityModel(model.scores, stem, gap, decay, rate, 0.0, 0.0)
+    found = rest.where("toxic = 0").mapInArrow(exceed, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect()
+    decay, rate = tail_law({r["bin"]: r["n"] for r in found}, tail)
+    model = ToxicityModel(scores, stems, gap, decay, rate, 0.0, 0.0)
     scored = spark.sparkContext.broadcast(model)
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = Counter()
         for batch in blocks(batches, rows_at_once):
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                bins[label, min(int(scored.value.evidence(text)[0] / 0.25), 4_000)] += 1
+                bins[label, min(int(scored.value.evidence(text)[0] / STEP), 4_000)] += 1
         yield pa.RecordBatch.from_arrays(
             [pa.array([k for k, _ in bins], pa.int32()), pa.array([b for _, b in bins], pa.int64()), pa.array(list(bins.values()), pa.int64())],
             ["toxic", "bin", "n"],
         )
 
-    binned = train.mapInArrow(evidence, "toxic int, bin bigint, n bigint").groupBy("toxic", "bin").agg(F.sum("n").alias("n")).collect()
-    intercept, slope = _logistic([(r["bin"] * 0.25, r["toxic"], r["n"]) for r in binned])
-    return ToxicityModel(model.scores, stem, gap, decay, rate, intercept, slope)
+    binned = rest.mapInArrow(evidence, "toxic int, bin bigint, n bigint").groupBy("toxic", "bin").agg(F.sum("n").alias("n")).collect()
+    intercept, slope = _logistic([(r["bin"] * STEP, r["toxic"], r["n"]) for r in binned])
+    return ToxicityModel(scores, stems, gap, decay, rate, intercept, slope)
+
 
+def tail_law(bins: dict[int, int], tail: float) -> tuple[float, float]:
+    """Decay and rate of the law rate * words * exp(-decay * score) of clean texts' segments.
 
-def _tail_law(bins: dict[int, int]) -> tuple[float, float]:
-    """Decay and rate a word of the segments' exceedances: the mean excess over 0 and the count at 0."""
+    From a histogram of scores by steps of ``STEP``, with the number of words at
+    -1. Excesses over the threshold that the share ``tail`` of the segments
+    reaches are exponential; the decay is the inverse of their mean, and the rate
+    is such that the law gives their number at the threshold.
+    """
     words, segments = bins.get(-1, 0), sum(n for b, n in bins.items() if b >= 0)
-    excess = sum((b + 0.5) * 0.25 * n for b, n in bins.items() if b >= 0)
     if not words or not segments:
         return 1.0, 1e-6
-    return min(segments / excess, 5.0), segments / words
+    beyond, threshold = 0, 0
+    for b in sorted((b for b in bins if b >= 0), reverse=True):
+        beyond, threshold = beyond + bins[b], b
+        if beyond >= tail * segments:
+            break
+    excess = sum((b - threshold + 0.5) * STEP * n for b, n in bins.items() if b >= threshold)
+    decay = min(beyond / excess, 5.0)
+    return decay, beyond / words * math.exp(decay * threshold * STEP)
 
 
 def _logistic(points: list[tuple[float, int, int]], ridge: float = 1e-3) -> tuple[float, float]:
