@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import join_groups, staged
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -40,18 +40,44 @@ def shapes(path: Column) -> Column:
     )
 
 
-def template_tree(leaves: DataFrame, depth: int = 4, least_pages: int = 5, z: float = 1.96) -> DataFrame:
-    """Templates of (host, shape) leaves with counts: host, shape, template.
+def _groups(classes: Column, z: float) -> Column:
+    """The number of the merged group of each class (share, labelled, rejected, ...) of a node, in their order by share.
 
-    Level by level, a node's segments without labels and with fewer than
-    ``least_pages`` pages count together as one branch, ``*``; with 5 pages, a segment
-    can be told from one with a single page, a blocked one. All branches in the order of their pages'
-    share that rules block are merged as long as neighbours don't differ by ``z``
-    standard errors; a merged branch is named by its least segment and how many
-    there are. Segments with equal counts are never apart, so they are one row of
-    this test, however many a node has. Below ``depth``, only nodes of ``least_pages``
-    pages or more go on, and only if they have both pages with and without a label;
-    what is below the others becomes ``**``.
+    Each is held against the whole group so far: it begins another one if the
+    shares are ``z`` standard errors apart, or on different sides of a half.
+    """
+    share = lambda rejected, labelled: (rejected + 0.5) / (labelled + 1.0)
+    error = lambda s, labelled: s * (1 - s) / (labelled + 1.0)
+    zero = F.struct(F.lit(0).cast("long").alias("labelled"), F.lit(0).cast("long").alias("rejected"), F.array().cast("array<int>").alias("group"))
+
+    def step(a: Column, x: Column) -> Column:
+        all_share, own_share = share(a["rejected"], a["labelled"]), share(x["rejected"], x["labelled"])
+        apart = F.abs(all_share - own_share) > F.lit(z) * F.sqrt(error(all_share, a["labelled"]) + error(own_share, x["labelled"]))
+        other_side = (2 * a["rejected"] >= a["labelled"]) != (2 * x["rejected"] >= x["labelled"])
+        fresh = (a["labelled"] > 0) & (apart | other_side)
+        number = F.when(F.size(a["group"]) == 0, 0).otherwise(F.element_at(a["group"], F.greatest(F.size(a["group"]), F.lit(1))) + fresh.cast("int"))
+        kept = F.when(fresh, 0).otherwise(1).cast("long")
+        return F.struct(
+            (kept * a["labelled"] + x["segments"] * x["labelled"]).alias("labelled"),
+            (kept * a["rejected"] + x["segments"] * x["rejected"]).alias("rejected"),
+            F.array_append(a["group"], number.cast("int")).alias("group"),
+        )
+
+    return F.aggregate(classes, zero, step, lambda a: a["group"])
+
+
+def template_tree(leaves: DataFrame, spelled: int = 4, least_pages: int = 5, z: float = 1.96) -> DataFrame:
+    """Templates of (host, shape) leaves with counts of pages, labelled and rejected: host, shape, counts, template.
+
+    Level by level, the branches of a node, one for each segment, are merged.
+    Those without a labelled page are one branch, ``*`` if they are several.
+    Those with labels are merged in the order of their rejected share as long as
+    they are like the group merged so far (see ``_groups``); a group is named by
+    its least segment and how many there are. Segments with equal counts are one
+    row of this test, however many a node has. A node is split further while it
+    has ``least_pages`` pages or more and its labels tell something: some pages
+    have one and some don't, or some are rejected and some not. Others are only
+    spelled out, up to the level ``spelled``; what is below becomes ``**``.
     """
     at, counts = ["host", "template"], ["pages", "labelled", "rejected"]
     total = lambda: [F.sum(c).alias(c) for c in counts]
@@ -59,9 +85,10 @@ def template_tree(leaves: DataFrame, depth: int = 4, least_pages: int = 5, z: fl
     level = 0
     while True:
         deeper = F.col("open") & (F.size("shape") > level)
-        if level >= depth:
+        if level >= spelled:
             nodes = open_at.where(deeper).groupBy(*at).agg(*total())
-            mixed = nodes.where((F.col("pages") >= least_pages) & (F.col("labelled") > 0) & (F.col("labelled") < F.col("pages"))).select(*at, F.lit(True).alias("mixed"))
+            told = (F.col("labelled").between(1, F.col("pages") - 1)) | F.col("rejected").between(1, F.col("labelled") - 1)
+            mixed = nodes.where((F.col("pages") >= least_pages) & told).select(*at, F.lit(True).alias("mixed"))
             on = deeper & F.coalesce("mixed", F.lit(False))
             rest = F.when(deeper & ~on, F.lit("/**")).otherwise("")
             joined = open_at.join(mixed, at, "left")
@@ -70,26 +97,17 @@ def template_tree(leaves: DataFrame, depth: int = 4, least_pages: int = 5, z: fl
                 return open_at.select("host", "shape", *counts, "template")
         own = F.get(F.col("shape"), F.lit(level))
         branches = open_at.where(deeper).groupBy(*at, own.alias("segment")).agg(*total())
-        little = (F.col("labelled") == 0) & (F.col("pages") < least_pages)
-        branches = branches.select(
-            *at, "segment", "pages", F.when(little, 0).otherwise(F.col("pages")).alias("own_pages"), F.when(little, 0).otherwise(F.col("rejected")).alias("own_rejected")
-        )
-        alike = branches.groupBy(*at, "own_pages", "own_rejected").agg(F.count(F.lit(1)).alias("segments"), F.min("segment").alias("least"), F.sum("pages").alias("all_pages"))
-        held = F.when(F.col("own_pages") == 0, F.col("all_pages")).otherwise(F.col("own_pages"))
-        share = (F.col("own_rejected") + 0.5) / (held + 1)
-        order = W.partitionBy(*at).orderBy("share", "own_pages", "own_rejected")
-        merged = (
-            alike.withColumn("share", share)
-            .withColumn("error", F.col("share") * (1 - F.col("share")) / (held + 1))
-            .withColumn("apart", F.abs(F.col("share") - F.lag("share").over(order)) > F.lit(z) * F.sqrt(F.col("error") + F.lag("error").over(order)))
-            .withColumn("group", F.sum(F.coalesce(F.col("apart"), F.lit(False)).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
-        )
+        alike = branches.groupBy(*at, "labelled", "rejected").agg(F.count(F.lit(1)).alias("segments"), F.min("segment").alias("least"))
+        share = (F.col("rejected") + 0.5) / (F.col("labelled") + 1)
+        classes = F.array_sort(F.collect_list(F.struct(share.alias("share"), "labelled", "rejected", "segments", "least")))
+        nodes = alike.where("labelled > 0").groupBy(*at).agg(classes.alias("classes")).withColumn("group", _groups(F.col("classes"), z))
+        labelled = nodes.select(*at, F.explode(F.arrays_zip("classes", "group")).alias("x")).select(*at, "x.classes.*", "x.group")
+        bare = alike.where("labelled = 0").select(*at, F.lit(None).cast("double").alias("share"), "labelled", "rejected", "segments", "least", F.lit(-1).alias("group"))
         same = W.partitionBy(*at, "group")
         size = F.sum("segments").over(same)
-        several = F.concat(F.lit("{"), F.min("least").over(same), F.lit("|"), size.cast("string"), F.lit("}"))
-        name = F.when(size == 1, F.col("least")).when(F.max("own_pages").over(same) == 0, F.lit("*")).otherwise(several)
-        names = staged(merged.select(*at, "own_pages", "own_rejected", name.alias("name")), f"groups-{level}")
-        names = staged(branches.join(names, [*at, "own_pages", "own_rejected"]).select(*at, "segment", "name"), f"branches-{level}")
+        several = F.when(F.col("group") < 0, "*").otherwise(F.concat(F.lit("{"), F.min("least").over(same), F.lit("|"), size.cast("string"), F.lit("}")))
+        names = labelled.unionByName(bare).select(*at, "labelled", "rejected", F.when(size == 1, F.col("least")).otherwise(several).alias("name"))
+        names = branches.join(names, [*at, "labelled", "rejected"]).select(*at, "segment", "name")
         joined = open_at.withColumn("segment", F.when(deeper, own)).join(names, [*at, "segment"], "left")
         step = F.when(deeper, F.concat(F.lit("/"), F.col("name"))).otherwise("")
         open_at = staged(joined.select("host", "shape", *counts, F.concat("template", step).alias("template"), "open"), f"level-{level}")
@@ -97,17 +115,20 @@ def template_tree(leaves: DataFrame, depth: int = 4, least_pages: int = 5, z: fl
 
 
 def judge_urls(
-    pages: DataFrame, rules: Iterable[tuple[str, str]], reject_at: float = 0.5, prior: float = 4.0, depth: int = 4, least_pages: int = 5
+    pages: DataFrame, rules: Iterable[tuple[str, str]], reject_at: float = 0.5, prior: float = 1.0, spelled: int = 4, least_pages: int = 5, learn: Column | None = None
 ) -> DataFrame:
     """Judge every url: page_id, host, path, rule, verdict, template, purity.
 
     The longest fitting rule decides. Pages with a rule are also the labels of
-    the tree: each host's paths become templates (see ``template_tree``), and a
-    template's purity is its share of labelled pages that are blocked, smoothed
-    by ``prior`` pages of the share of all the host's pages that are blocked by
-    rules, itself smoothed so by that of all hosts. Pages without a rule are blocked where the purity reaches
-    ``reject_at``. Paths are counted by shape before anything is shuffled, so a
-    host of many pages is a few rows.
+    the tree (all of them, or those where ``learn`` holds): each host's paths
+    become templates (see ``template_tree``), and a template's purity is its
+    share of labelled pages that are blocked, smoothed by ``prior`` pages of the
+    host's own share, itself smoothed so by that of all hosts. All three count
+    labelled pages alone. Pages without a rule are blocked where the purity
+    reaches ``reject_at``; a template without a labelled page has none (null) and
+    is allowed. Paths are counted by shape before anything is shuffled, so a
+    host of many pages is a few rows; shapes of very many pages meet their
+    verdict by broadcast.
 
     Null urls, and those without ``://``, have an empty host and path, which form
     a template of their own. Repeated rows are judged one by one and count as
@@ -115,23 +136,22 @@ def judge_urls(
     """
     rules = list(rules)
     host, path = host_and_path(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
+    rows = pages.select("page_id", host.alias("host"), path.alias("path"), (F.lit(True) if learn is None else learn).alias("learnt"))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), verdict.alias("ruled"), shapes(F.col("path")).alias("shape"))
+    label = F.when(F.col("learnt"), F.col("ruled"))
     leaves = staged(
-        rows.groupBy("host", "shape").agg(
-            F.count(F.lit(1)).alias("pages"), F.count("ruled").alias("labelled"), F.count(F.when(F.col("ruled") == "block", 1)).alias("rejected")
-        ),
+        rows.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("pages"), F.count(label).alias("labelled"), F.count(F.when(label == "block", 1)).alias("rejected")),
         "leaves",
     )
-    tree = template_tree(leaves, depth, least_pages)
-    overall = leaves.agg(((F.sum("rejected") + 0.5) / (F.sum("pages") + 1)).alias("share")).first()["share"] or 0.5
-    hosts = tree.groupBy("host").agg(((F.sum("rejected") + F.lit(prior * overall)) / (F.sum("pages") + F.lit(prior))).alias("host_share"))
-    templates = tree.groupBy("host", "template").agg(F.sum("rejected").alias("rejected"), F.sum("labelled").alias("labelled")).join(hosts, "host")
-    purity = (F.col("rejected") + F.lit(prior) * F.col("host_share")) / (F.col("labelled") + F.lit(prior))
-    judged = tree.select("host", "shape", "template").join(templates.select("host", "template", purity.alias("purity")), ["host", "template"])
-    judged = staged(judged, "judged")
+    tree = template_tree(leaves, spelled, least_pages)
+    smoothed = lambda share: (F.sum("rejected") + F.lit(prior) * share) / (F.sum("labelled") + F.lit(prior))
+    sums = leaves.agg(F.sum("rejected").alias("rejected"), F.sum("labelled").alias("labelled"), F.sum("pages").alias("pages")).first()
+    overall = ((sums["rejected"] or 0) + 0.5) / ((sums["labelled"] or 0) + 1)
+    hosts = tree.groupBy("host").agg(smoothed(F.lit(overall)).alias("host_share"))
+    templates = tree.join(hosts, "host").groupBy("host", "template").agg(F.when(F.sum("labelled") > 0, smoothed(F.first("host_share"))).alias("purity"))
+    judged = staged(tree.select("host", "shape", "template", "pages").join(templates, ["host", "template"]), "judged")
     by_tree = F.when(F.col("purity") >= reject_at, F.lit("block")).otherwise(F.lit("allow"))
-    return rows.join(judged, ["host", "shape"], "left").select(
+    return join_groups(rows, judged, ["host", "shape"], sums["pages"] or 0, "pages").select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", by_tree).alias("verdict"), "template", "purity"
     )

@@ -180,7 +180,7 @@ def test_warc_sql(spark, sf_dir):
 # ---- operator 3
 
 
-def judged(url):
+def judged(url, rules=URL_RULES):
     if url is None or "://" not in url:
         host = path = ""
     else:
@@ -188,7 +188,7 @@ def judged(url):
         host = re.match("[^/?#]*", rest)[0]
         path = re.match("[^?#]*", rest[len(host) :], re.S)[0]
         host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
-    best = max((r for r in URL_RULES if _fits(host, path, r[1])), key=lambda r: len(r[1]), default=(None, None))
+    best = max((r for r in rules if _fits(host, path, r[1])), key=lambda r: len(r[1]), default=(None, None))
     return host, path, best[1], best[0]
 
 
@@ -207,7 +207,7 @@ def test_rules_match_brute_force(spark, sf_dir):
     for r in rows:
         host, path, rule, verdict = judged(urls[r.page_id])
         assert (r.host, r.path, r.rule) == (host, path, rule)
-        assert r.verdict == (verdict or ("block" if r.purity >= 0.5 else "allow"))
+        assert r.verdict == (verdict or ("block" if r.purity is not None and r.purity >= 0.5 else "allow"))
     assert judge_urls(pages.limit(0), URL_RULES).count() == 0
 
 
@@ -238,3 +238,95 @@ def test_tree_goes_down_while_pages_suffice(spark):
     rules = [("block", f"h.net/a/b/c/d/e/bad/{i}") for i in range(1, 10)]
     got = {rows[r.page_id]: r for r in judge_urls(pages, rules).collect()}
     assert {u for u, r in got.items() if r.verdict == "block"} == {u for u in rows if "/bad/" in u}
+
+
+def brute_tree(urls, rules, spelled=4, least_pages=5, z=1.96, prior=1.0):
+    """Template and purity of each url, node by node, by the definition."""
+    leaves, of_url = {}, []
+    for url in urls:
+        host, path, _, verdict = judged(url, rules)
+        shape = tuple(re.sub("[0-9]+", "{n}", re.sub("(?i)(?<![0-9a-z])(?=[a-f]*[0-9])[0-9a-f]{8,}(?![0-9a-z])", "{x}", s)) for s in re.sub("^/", "", path).split("/"))
+        own = leaves.setdefault((host, shape), [0, 0, 0])
+        for k, one in enumerate((1, verdict is not None, verdict == "block")):
+            own[k] += one
+        of_url.append((host, shape))
+    total = lambda keys: [sum(leaves[k][i] for k in keys) for i in range(3)]
+    template = {}
+
+    def split(keys, level, name):
+        for k in keys:
+            if len(k[1]) <= level:
+                template[k] = name
+        deeper = [k for k in keys if len(k[1]) > level]
+        pages, labelled, rejected = total(deeper)
+        if level >= spelled and not (pages >= least_pages and (0 < labelled < pages or 0 < rejected < labelled)):
+            template.update(dict.fromkeys(deeper, name + "/**"))
+            return
+        branches = {}
+        for k in deeper:
+            branches.setdefault(k[1][level], []).append(k)
+        bare = sorted(b for b in branches if not total(branches[b])[1])
+        known = sorted((b for b in branches if total(branches[b])[1]), key=lambda b: ((total(branches[b])[2] + 0.5) / (total(branches[b])[1] + 1), *total(branches[b])[1:], b))
+        groups, sums = [], None
+        share = lambda r, n: (r + 0.5) / (n + 1)
+        for b in known:
+            _, n, r = total(branches[b])
+            if sums is not None:
+                if (n, r) == last:  # equal counts are never apart
+                    groups[-1].append(b)
+                    sums = (sums[0] + n, sums[1] + r)
+                    continue
+                x, y = share(sums[1], sums[0]), share(r, n)
+                apart = abs(x - y) > z * (x * (1 - x) / (sums[0] + 1) + y * (1 - y) / (n + 1)) ** 0.5
+                if apart or (2 * sums[1] >= sums[0]) != (2 * r >= n):
+                    sums = None
+            if sums is None:
+                groups.append([])
+                sums = (0, 0)
+            groups[-1].append(b)
+            sums, last = (sums[0] + n, sums[1] + r), (n, r)
+        for group in groups + ([bare] if bare else []):
+            own = group[0] if len(group) == 1 else "*" if group is bare else "{%s|%d}" % (min(group), len(group))
+            split([k for b in group for k in branches[b]], level + 1, f"{name}/{own}")
+
+    for host in {h for h, _ in leaves}:
+        split([k for k in leaves if k[0] == host], 0, "")
+    everything = total(leaves)
+    overall = (everything[2] + 0.5) / (everything[1] + 1)
+    found = []
+    for key in of_url:
+        ours = total([k for k in leaves if k[0] == key[0]])
+        same = total([k for k in leaves if k[0] == key[0] and template[k] == template[key]])
+        host_share = (ours[2] + prior * overall) / (ours[1] + prior)
+        found.append((template[key], (same[2] + prior * host_share) / (same[1] + prior) if same[1] else None))
+    return found
+
+
+def test_tree_matches_brute_force(spark):
+    rng = random.Random(4)
+    urls = [None, "", "http://h0.net/", "http://h1.net/s1/s2/s3/s4/s5/s6/s1/9"]
+    for _ in range(1500):
+        parts = [rng.choice(["s1", "s2", "s3", "es", "fr", f"p{rng.choice('abcdefgh')}", str(rng.randrange(99))]) for _ in range(rng.randrange(8))]
+        urls.append(f"http://h{rng.randrange(6)}.net/" + "/".join(parts))
+    rules = [("block", "net/es/"), ("block", "h1.net/s1/s2/"), ("allow", "net/s1/"), ("block", "h2.net/s2/1"), ("allow", "h2.net/s2/"), ("block", "h3.net/s3/s3/s3/s1/s2/"), ("allow", "h4.net/es/s2")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").selectExpr("*", "1 AS pages", "2 AS template", "3 AS learnt").repartition(4)
+    expected = brute_tree(urls, rules)
+    rows = judge_urls(pages, rules).collect()
+    assert len(rows) == len(urls) and len({t for t, _ in expected}) > 30
+    for r in rows:
+        template, purity = expected[r.page_id]
+        assert r.template == template and (r.purity is None) == (purity is None) and (purity is None or abs(r.purity - purity) < 1e-9), urls[r.page_id]
+
+
+def test_tree_on_held_out_labels(spark):
+    """Pages that a rule decides, but that the tree hasn't learnt from, get the rule's verdict from their templates."""
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    held = F.pmod(F.xxhash64("page_id"), F.lit(4)) == 0
+    rows = judge_urls(pages, URL_RULES, learn=~held).where("rule IS NOT NULL").join(pages.where(held).select("page_id"), "page_id").collect()
+    told = [r for r in rows if r.purity is not None]
+    assert len(rows) > 100 and len(told) > 0.5 * len(rows)
+    assert np.mean([(r.purity >= 0.5) == (r.verdict == "block") for r in told]) > 0.99
+    ours = judge_urls(pages, URL_RULES).where("rule IS NULL").collect()
+    assert not [r.path for r in ours if r.verdict == "block" and not r.purity]
