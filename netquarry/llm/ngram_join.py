@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import blocks, staged, utf8
+from .common import blocks, join_groups, staged, utf8
 from .components import connected_components
 from .shingles import shingle_sets
 
@@ -24,6 +24,12 @@ PARITY_WORDS = 16
 #: Bits of the finer parity map: for each element of the set, rounded up to a power of two, and at most.
 FINE_BITS, MOST_FINE_BITS = 4, 1 << 16
 MOST_MATCHES = 4
+#: Entries of a list that are compared with each other in one task; longer lists are split and met part by part.
+LIST = 2_000
+#: Entries of a list that are sorted in one task for the neighbour pass.
+SORTED_LIST = 50_000
+#: Up to this size, sets that link differ in so few elements that what is left without these finds them.
+SMALL = 12
 #: Tokens by which a pair of sets is found once rather than once for each token they share.
 LOW_TOKENS = 8
 
@@ -111,7 +117,7 @@ def least_difference(x: bytes, y: bytes) -> int:
 
 
 def _profiles(texts: DataFrame, classes: np.ndarray, words: int, rows_at_once: int = 256) -> DataFrame:
-    """One row a text: its set's size, digest, parity maps, prefix and matches."""
+    """One row a text: its set's size, digest, parity maps, prefix and matches, and the whole set if it is small."""
     shared = texts.sparkSession.sparkContext.broadcast(classes)
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,12 +133,13 @@ def _profiles(texts: DataFrame, classes: np.ndarray, words: int, rows_at_once: i
                     pa.array([fine_map(s) for s in sets], pa.binary()),
                     pa.array([p.view(np.int64) for p, _ in found], pa.list_(pa.int64())),
                     pa.array([k for _, k in found], pa.int32()),
+                    pa.array([s.view(np.int64) if len(s) <= SMALL else None for s in sets], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n", "digest", "parity", "fine", "prefix", "matches"],
+                ["doc_id", "n", "digest", "parity", "fine", "prefix", "matches", "whole"],
             )
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(profile, f"doc_id {kind}, n int, digest binary, parity array<bigint>, fine binary, prefix array<bigint>, matches int")
+    return texts.mapInArrow(profile, f"doc_id {kind}, n int, digest binary, parity array<bigint>, fine binary, prefix array<bigint>, matches int, whole array<bigint>")
 
 
 def _sizes_allow(a: str, b: str) -> Column:
@@ -173,15 +180,41 @@ def _finely_allowed(pairs: DataFrame, maps: DataFrame, rows_at_once: int = 256)
     return rows.mapInArrow(allow, f"a {kind}, b {kind}")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, filter_bits: int = 1 << 23, rows_at_once: int = 256, broadcast_pairs: int = 500_000) -> DataFrame:
+def _small_pairs(small: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets of ``SMALL`` elements at most that may link, from rows (id, n, whole).
+
+    Such sets share all elements of one and all but two of the other, or all but
+    one of each. So they are found by the exclusive or of their elements' hashes
+    without none, one or two of them. Sets that are alike without one element
+    each link pairwise or not at all, thus each is held against the first alone:
+    the pairs grow with the sets, not with their square.
+    """
+    all_of = F.aggregate("whole", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+    row = lambda key, out: F.struct(key.alias("key"), (F.col("n") - out).alias("left"), F.lit(out).alias("out"))
+    one = F.transform("whole", lambda x: row(F.col("all").bitwiseXOR(x), 1))
+    tail = lambda x: F.filter("whole", lambda y: y > x)
+    two = F.flatten(F.transform("whole", lambda x: F.transform(tail(x), lambda y: row(F.col("all").bitwiseXOR(x).bitwiseXOR(y), 2))))
+    keys = small.withColumn("all", all_of).select("id", F.explode(F.concat(F.array(row(F.col("all"), 0)), one, F.when(F.col("n") >= 10, two).otherwise(F.array_except(one, one)))).alias("k"))
+    keys = staged(keys.select("id", "k.*"), "small-keys")
+    firsts = keys.groupBy("key", "left").agg(
+        F.min(F.when(F.col("out") == 0, F.col("id"))).alias("full"), F.min(F.when(F.col("out") == 1, F.col("id"))).alias("first"), F.count(F.lit(1)).alias("rows")
+    )
+    firsts = staged(firsts.where("rows > 1"), "small-firsts")
+    met = join_groups(keys, firsts, ["key", "left"], firsts.agg(F.sum("rows")).first()[0] or 0, "rows")
+    pairs = met.select("id", F.explode(F.array_compact(F.array("full", F.when(F.col("out") == 1, F.col("first"))))).alias("other")).where("id <> other")
+    return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, least_bits: int = 1 << 23, most_bits: int = 1 << 30, rows_at_once: int = 256, broadcast_pairs: int = 500_000) -> DataFrame:
     """The pairs (a, b) whose whole sets link.
 
-    Only texts in a pair are shingled again: a bitmap of fixed size picks them,
-    and the joins drop those it let through by chance. The table of pairs holds
+    Only texts in a pair are shingled again: a bitmap of 16 bits for each pair,
+    128 MB at most, picks them, and the joins drop those it let through by chance. The table of pairs holds
     ids alone; it is broadcast to the sets up to ``broadcast_pairs`` rows, so
     that sets move once, with their pair.
     """
-    spark = texts.sparkSession
+    spark, n_pairs = texts.sparkSession, pairs.count()
+    filter_bits = min(max(least_bits, 1 << (16 * n_pairs).bit_length()), most_bits)
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(filter_bits))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(place("id").alias("at")).distinct()
     bits = wanted.groupBy(F.floor(F.col("at") / 32_768).cast("int").alias("row")).agg(F.bitmap_construct_agg(F.col("at") % 32_768).alias("bits"))
@@ -203,7 +236,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, filter_bits: int =
     kind = texts.schema["doc_id"].dataType.simpleString()
     found = texts.where("doc_id IS NOT NULL").withColumn("at", place("doc_id")).mapInArrow(sets, f"id {kind}, elements binary")
     found = staged(found, "sets")
-    narrow = F.broadcast(pairs) if pairs.count() <= broadcast_pairs else pairs
+    narrow = F.broadcast(pairs) if n_pairs <= broadcast_pairs else pairs
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, rows_at_once, column=2):
@@ -240,6 +273,11 @@ def near_duplicate_components(documents: DataFrame, words: int = 5) -> DataFrame
        can't rule out, is verified. This finds all that step 3 left. A pair
        that shares some of its lowest remaining tokens, as all very similar
        ones do, is found at the lowest of these alone and needs no more matches.
+       Lists of more than ``LIST`` entries are split over tasks; two small sets
+       don't meet there, but by what is left of them without one or two
+       elements (``_small_pairs``), which takes time in proportion to their
+       number. Larger sets that all share a frequent shingle, and don't link,
+       still take time by the square of the list's length, in tasks of bounded size.
 
     Null and empty texts have no shingle and link with nothing. Repeated rows of
     an id are returned one by one. A row with a null id gets the component of its
@@ -252,13 +290,15 @@ def near_duplicate_components(documents: DataFrame, words: int = 5) -> DataFrame
     sets = (
         profiles.where("n > 0 AND doc_id IS NOT NULL")
         .groupBy("digest", "n")
-        .agg(F.min("doc_id").alias("id"), F.min_by(F.struct("parity", "fine", "prefix", "matches"), "doc_id").alias("own"))
+        .agg(F.min("doc_id").alias("id"), F.min_by(F.struct("parity", "fine", "prefix", "matches", "whole"), "doc_id").alias("own"))
         .select("id", "n", "digest", "own.*")
     )
     sets = staged(sets, "sets")
     entries = sets.select("id", "n", "matches", F.posexplode("prefix").alias("at", "token"))
-    by_token = W.partitionBy("token")
-    entries = staged(entries.withColumn("df", F.count(F.lit(1)).over(by_token)).where("df > 1").drop("df"), "entries")
+    lists = staged(entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "lists")
+    total = lists.agg(F.sum("df")).first()[0] or 0
+    entries = staged(join_groups(entries, lists, ["token"], total, "df"), "entries")
+    by_token = W.partitionBy("token", F.pmod(F.xxhash64("id"), F.ceil(F.col("df") / SORTED_LIST)))
 
     # Step 3: neighbours in the lists.
     near = None
@@ -281,32 +321,45 @@ def near_duplicate_components(documents: DataFrame, words: int = 5) -> DataFrame
     parts = connected_components(first)
 
     # Step 4: all other pairs that may link, across components.
-    entries = entries.join(parts, "id", "left").withColumn("part", F.coalesce("component_id", "id")).drop("component_id")
-    mixed_lists = entries.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("token")
-    across = staged(entries.join(mixed_lists, "token", "left_semi"), "across")
+    entries = entries.drop("df").join(parts, "id", "left").withColumn("part", F.coalesce("component_id", "id")).drop("component_id")
+    mixed_lists = entries.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("df"))
+    mixed_lists = staged(mixed_lists.where("low < high").select("token", "df"), "mixed-lists")
+    across = staged(join_groups(entries, mixed_lists, ["token"], total, "df"), "across")
     low = across.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("token")), 1, LOW_TOKENS).alias("low"))  # of one set's prefix
-    across = across.join(low, "id").join(maps.drop("n"), "id")
+    across = staged(across.join(low, "id").join(maps.drop("n"), "id"), "across-maps").withColumn("blocks", F.ceil(F.col("df") / LIST).cast("int"))
     lowest = F.array_min(F.array_intersect("x.low", "y.low"))
+    met = across.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    meets = across.where((F.col("blocks") == 1) | (F.col("n") > SMALL)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    only_once = (F.col("x.id") < F.col("y.id")) | ((F.col("x.blocks") > 1) & (F.col("x.n") <= SMALL))  # small sets don't come from the right there
     pairs = (
-        across.alias("x")
+        met.alias("x")
         .join(
-            across.alias("y"),
+            meets.alias("y"),
             (F.col("x.token") == F.col("y.token"))
-            & (F.col("x.id") < F.col("y.id"))
+            & (F.col("x.block") == F.col("y.block"))
+            & only_once
             & (F.col("x.part") != F.col("y.part"))
             & _sizes_allow("x", "y")
             & _parity_allows("x", "y")
             & F.coalesce(lowest == F.col("x.token"), _places_allow("x", "y")),
         )
-        .groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        .groupBy(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
         .agg(
             F.count(F.lit(1)).alias("shared"),
             F.first(F.when(lowest.isNull(), F.least("x.matches", "y.matches")).otherwise(1)).alias("asked"),
         )
         .where("shared >= asked")
-        .join(possible, ["a", "b"], "left_anti")
         .select("a", "b")
     )
+    long_lists = across.where("blocks > 1").select("id").distinct()
+    if not long_lists.isEmpty():
+        small = sets.where(F.col("n") <= SMALL).join(long_lists, "id", "left_semi").select("id", "n", "whole")
+        found = _small_pairs(small)
+        for side in ("a", "b"):
+            of = parts.select(F.col("id").alias(side), F.col("component_id").alias(f"part_{side}"))
+            found = found.join(of, side, "left").withColumn(f"part_{side}", F.coalesce(f"part_{side}", side))
+        pairs = pairs.unionByName(found.where("part_a <> part_b").select("a", "b")).distinct()
+    pairs = pairs.join(possible, ["a", "b"], "left_anti")
     second = _verified(staged(_finely_allowed(staged(pairs, "pairs"), fine), "pairs"), texts, words)
     parts = connected_components(first.unionByName(second))
 

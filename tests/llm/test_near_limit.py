@@ -35,3 +35,34 @@ def test_fine_maps_never_claim_too_much():
         x, y = own[:n], own[n - shared :]
         low = least_difference(fine_map(np.sort(x)), fine_map(np.sort(y)))
         assert low == least_difference(fine_map(np.sort(y)), fine_map(np.sort(x))) <= n + m - 2 * shared
+
+
+@pytest.mark.parametrize("sizes", [(6, 16), (9, 40)])
+def test_long_lists_are_whole(spark, monkeypatch, sizes):
+    """Templates that all documents share, so that every list is long: small sets, large ones and both."""
+    from netquarry.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "LIST", 5)
+    monkeypatch.setattr(ngram_join, "SORTED_LIST", 7)
+    rng = np.random.default_rng(sizes[1])
+    templates = [[f"t{k}{i}" for i in range(40)] for k in range(2)]
+    texts = []
+    for _ in range(260):
+        n = int(rng.integers(*sizes))
+        own = list(templates[int(rng.integers(2))][:n])
+        for _ in range(int(rng.integers(0, 3))):
+            at = int(rng.integers(0, 3))
+            own[-at:] = [f"o{rng.integers(6)}" for _ in range(at)]
+        if rng.random() < 0.3:
+            own = [f"p{rng.integers(4)}", *own]
+        texts.append(" ".join(own))
+    expected = brute_components(list(enumerate(texts, 1)))
+    found = near_duplicate_components(docs(spark, texts).repartition(4)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == expected
+
+
+def test_templated_documents_take_linear_time(spark):
+    """Eight of ten shingles are everyone's, which links no two: no task compares all with all."""
+    texts = [" ".join([f"t{i}" for i in range(12)] + [f"a{i}", f"b{i}"]) for i in range(12_000)]
+    found = near_duplicate_components(docs(spark, texts).repartition(8))
+    assert found.where("component_id = doc_id").count() == len(texts)
