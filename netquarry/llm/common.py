@@ -73,6 +73,13 @@ def split_by_sieve(rows: DataFrame, key: Column, keys: DataFrame, broadcast_byte
     return tested.where(~hit).drop(*own), tested.where(hit).drop(*own)
 
 
+def without(rows: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """The rows whose key, never null for those to go, isn't in the table of keys (one column); those that surely stay never move."""
+    name = keys.columns[0]
+    clear, maybe = split_by_sieve(rows, F.xxhash64(key), keys.select(F.xxhash64(name).alias("key")))
+    return clear.unionByName(maybe.join(keys, key == F.col(name), "left_anti"))
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], total: int, size: str = "group_size", most_hot: int = 100_000) -> DataFrame:
     """Rows with what their group has, so that no large group meets in one task.
 
