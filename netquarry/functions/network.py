@@ -21,7 +21,8 @@ def size_bucket(size: Column) -> Column:
 
 
 def cadence_family(seconds: Column) -> Column:
-    found = F.when(seconds.isNull(), None)
+    """The family of a mean gap; unknown without one, or if it isn't positive."""
+    found = F.when(seconds.isNull() | (seconds <= 0), "unknown")
     for limit, name in CADENCES:
         found = found.when(seconds < limit, name)
     return found.otherwise("very_slow")
@@ -33,8 +34,9 @@ def url_host(url: Column) -> Column:
 
 
 def base_domain(host: Column) -> Column:
-    """The last two labels."""
-    return F.array_join(F.slice(F.split(host, r"\."), F.greatest(-F.size(F.split(host, r"\.")), F.lit(-2)), F.lit(2)), ".")
+    """The last two labels that aren't empty."""
+    labels = F.filter(F.split(host, r"\."), lambda x: x != "")
+    return F.when(F.size(labels) <= 2, F.array_join(labels, ".")).otherwise(F.array_join(F.slice(labels, -2, 2), "."))
 
 
 def csv_safe(cell: Column) -> Column:
@@ -49,6 +51,26 @@ def ipv4_number(address: Column) -> Column:
     return F.when(address.rlike(r"^(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?!$)|$)){4}$"), number)
 
 
+def ip_scope(address: Column) -> Column:
+    """Zone of an address: loopback, link-local, multicast, internal or public, the first that fits; unknown for none or an unspecified one."""
+    own = F.lower(F.trim(address))
+    v4 = ipv4_scope(own)
+    named = {"link_local": "link-local", "private": "internal", "unspecified": "unknown", "broadcast": "public"}
+    found = v4
+    for name, other in named.items():
+        found = F.when(v4 == name, other).otherwise(found)
+    is_v6 = own.rlike("^(?=.*:.*:)[0-9a-f:]+(?:[.][0-9.]+)?(?:%[a-z0-9]+)?$")
+    v6 = (
+        F.when(own.rlike("^[0:]+1$"), "loopback")
+        .when(own.rlike("^fe[89ab][0-9a-f]:"), "link-local")
+        .when(own.startswith("ff"), "multicast")
+        .when(own.rlike("^f[cd][0-9a-f]{2}:"), "internal")
+        .when(own.rlike("^[0:]+$"), "unknown")
+        .otherwise("public")
+    )
+    return F.when(is_v6, v6).otherwise(F.coalesce(found, F.lit("unknown")))
+
+
 def ipv4_scope(address: Column) -> Column:
     """unknown, unspecified, loopback, link_local, multicast, broadcast, private or public; the first that fits."""
     n = ipv4_number(address)

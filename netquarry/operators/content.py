@@ -11,7 +11,7 @@ from ..functions.network import base_domain, url_host
 INDICATORS = {
     "emails": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
     "ipv4": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",
-    "hashes": r"\b[0-9a-f]{32,64}\b",
+    "hashes": r"\b[0-9a-fA-F]{32,64}\b",
 }
 
 

@@ -37,8 +37,9 @@ def endpoints(flows: DataFrame, src: str = "src", dst: str = "dst", size: str =
 
 
 def hierarchy(flows: DataFrame, levels: list[str], size: str = "bytes") -> DataFrame:
-    """Packets and bytes of each protocol and of those below it; null levels are totals."""
-    return flows.rollup(*levels).agg(F.count(F.lit(1)).alias("packets"), F.sum(size).alias("bytes"))
+    """Packets and bytes of each protocol and of those below it; ``total_levels`` tells how many of the last levels are summed up, so totals aren't taken for null levels."""
+    found = flows.rollup(*levels).agg(F.count(F.lit(1)).alias("packets"), F.sum(size).alias("bytes"), F.grouping_id().alias("id"))
+    return found.withColumn("total_levels", F.bit_count("id").cast("int")).drop("id")
 
 
 def fan_out(flows: DataFrame, by: list[str], target: str, least: int, name: str = "targets") -> DataFrame:

@@ -74,10 +74,10 @@ def beacon_scores(events: DataFrame, key: list[str], size: Column, least_events:
 
 
 def peaks(events: DataFrame, key: list[str], seconds: float, ts: str = "ts") -> DataFrame:
-    """The most events that each key has in any span of so many seconds, ends included, and when the first such span ends."""
+    """The most events that each key has in any span of so many seconds, ends included, and when the first such span starts."""
     span = W.partitionBy(*key).orderBy("at").rangeBetween(-int(seconds * 1_000_000), 0)
-    rows = events.select(*key, micros(ts).alias("at")).where("at IS NOT NULL").withColumn("within", F.count(F.lit(1)).over(span))
-    best = F.max(F.struct("within", (-F.col("at")).alias("before")))
+    rows = events.select(*key, micros(ts).alias("at")).where("at IS NOT NULL").withColumn("within", F.count(F.lit(1)).over(span)).withColumn("start", F.min("at").over(span))
+    best = F.max(F.struct("within", (-F.col("start")).alias("before")))
     return rows.groupBy(*key).agg(best.alias("best")).select(*key, F.col("best.within").alias("peak"), (-F.col("best.before")).alias("peak_micros"))
 
 
@@ -99,9 +99,22 @@ def changes(events: DataFrame, key: list[str], value: str, ts: str = "ts", tie:
 
 
 def paired(events: DataFrame, key: str, kind: str, asked: str, answered: str, ts: str = "ts", tie: str = "event_id") -> DataFrame:
-    """Requests and answers of a key in order: the n-th of the one with the n-th of the other; unanswered ones have a null."""
-    nth = F.row_number().over(W.partitionBy(key, kind).orderBy(ts, tie))
-    rows = events.where(F.col(kind).isin(asked, answered)).select(key, F.col(kind).alias("kind"), F.col(tie).alias("event"), nth.alias("nth"))
+    """Requests and answers of a key, first in, first out: an answer is that of the earliest request still open; unanswered ones have a null.
+
+    Answers that come while no request is open have none and are left out. An
+    answer's number is how many answers so far found a request: all of them less
+    the most by which answers were ahead of the requests before them.
+    """
+    order = W.partitionBy(key).orderBy(ts, tie)
+    so_far = order.rowsBetween(W.unboundedPreceding, 0)
+    is_answer = (F.col(kind) == answered).cast("int")
+    rows = events.where(F.col(kind).isin(asked, answered)).select(
+        key, F.col(kind).alias("kind"), F.col(tie).alias("event"), F.col(ts).alias("at"), F.sum(is_answer).over(so_far).alias("answers"), F.sum(1 - is_answer).over(so_far).alias("requests")
+    )
+    ahead = F.greatest(F.max(F.col("answers") - F.col("requests")).over(W.partitionBy(key).orderBy("at", "event").rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
+    rows = rows.withColumn("ahead", ahead)
+    used = (F.col("kind") == asked) | (F.col("ahead") == F.coalesce(F.lag("ahead").over(W.partitionBy(key).orderBy("at", "event")), F.lit(0)))
+    rows = rows.withColumn("used", used).where("used").withColumn("nth", F.when(F.col("kind") == asked, F.col("requests")).otherwise(F.col("answers") - F.col("ahead")))
     pick = lambda which: F.max(F.when(F.col("kind") == which, F.col("event")))
     return rows.groupBy(key, "nth").agg(pick(asked).alias("request"), pick(answered).alias("answer")).where("request IS NOT NULL")
 

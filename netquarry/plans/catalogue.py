@@ -99,7 +99,9 @@ ORACLE_SQL: dict[str, str] = {
     + """SELECT host, CAST(sum(o) AS BIGINT) AS packets_sent, CAST(sum(1 - o) AS BIGINT) AS packets_received,
         CAST(sum(bytes * o) AS BIGINT) AS bytes_sent, CAST(sum(bytes * (1 - o)) AS BIGINT) AS bytes_received
         FROM (SELECT src AS host, bytes, 1 AS o FROM flows UNION ALL SELECT dst, bytes, 0 FROM flows) GROUP BY host""",
-    "protocol_hierarchy": _FLOWS + "SELECT transport, app, count(*) AS packets, CAST(sum(bytes) AS BIGINT) AS bytes FROM flows GROUP BY ROLLUP (transport, app)",
+    "protocol_hierarchy": _FLOWS
+    + """SELECT transport, app, count(*) AS packets, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(grouping(transport) + grouping(app) AS INTEGER) AS total_levels
+        FROM flows GROUP BY ROLLUP (transport, app)""",
     "port_scan": _FLOWS + "SELECT src, count(DISTINCT dport) AS ports, count(*) AS packets FROM flows GROUP BY src HAVING count(DISTINCT dport) >= 50",
     "host_sweep": _FLOWS + "SELECT src, count(DISTINCT dst) AS hosts, count(*) AS packets FROM flows GROUP BY src HAVING count(DISTINCT dst) >= 25",
     "size_histogram": _FLOWS
@@ -115,7 +117,7 @@ ORACLE_SQL: dict[str, str] = {
     "intervals": """WITH gaps AS (SELECT user_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6 AS gap FROM events),
         stats AS (SELECT user_id, count(*) AS events, avg(gap) AS mean_gap, stddev_pop(gap) AS dev FROM gaps GROUP BY user_id)
         SELECT user_id, events, round(mean_gap, 3) AS mean_gap, CASE WHEN mean_gap > 0 THEN round(dev / mean_gap, 6) END AS variation,
-               CASE WHEN mean_gap IS NULL THEN NULL WHEN mean_gap < 15 THEN 'very_fast' WHEN mean_gap < 60 THEN 'fast' WHEN mean_gap < 300 THEN 'medium'
+               CASE WHEN mean_gap IS NULL OR mean_gap <= 0 THEN 'unknown' WHEN mean_gap < 15 THEN 'very_fast' WHEN mean_gap < 60 THEN 'fast' WHEN mean_gap < 300 THEN 'medium'
                     WHEN mean_gap < 1800 THEN 'slow' ELSE 'very_slow' END AS cadence FROM stats""",
     "timeline": "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS bin, event_type, count(*) AS events FROM events GROUP BY 1, 2",
     "failed_attempts": """SELECT user_id, count(CASE WHEN event_type = 'error' THEN 1 END) AS failures, count(*) AS events,
@@ -131,8 +133,9 @@ ORACLE_SQL: dict[str, str] = {
         SELECT user_id, events, round(mg, 3) AS median_gap, round(0.5e0 * CASE WHEN mg > 0 THEN 1 - least(1e0, og / mg) ELSE 0 END
             + 0.2e0 * CASE WHEN ms > 0 THEN 1 - least(1e0, os / ms) ELSE 0 END + 0.2e0 * least(1e0, duration / 3600) + 0.1e0 * least(1e0, events / 50e0), 6) AS score FROM off""",
     "peaks": """WITH rows AS (SELECT user_id, epoch_us(ts) AS micros FROM events WHERE ts IS NOT NULL),
-        counted AS (SELECT user_id, micros, count(*) OVER (PARTITION BY user_id ORDER BY micros RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS n FROM rows)
-        SELECT user_id, max(n) AS peak, arg_min(micros, (-n, micros)) AS peak_micros FROM counted GROUP BY 1""",
+        counted AS (SELECT user_id, count(*) OVER w AS n, min(micros) OVER w AS start FROM rows
+            WINDOW w AS (PARTITION BY user_id ORDER BY micros RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW))
+        SELECT user_id, max(n) AS peak, arg_min(start, (-n, start)) AS peak_micros FROM counted GROUP BY 1""",
     "burst_scores": """WITH rows AS (SELECT user_id, epoch_us(ts) AS micros FROM events WHERE ts IS NOT NULL),
         spans AS (SELECT user_id, min(micros) AS first, greatest(max(micros) - min(micros), 1) AS length FROM rows GROUP BY 1),
         bins AS (SELECT user_id, least(23, (micros - first) * 24 // length) AS bin, count(*) AS n FROM rows JOIN spans USING (user_id) GROUP BY 1, 2)
@@ -140,9 +143,12 @@ ORACLE_SQL: dict[str, str] = {
             round(0.6e0 * least(1e0, max(n) * 24e0 / sum(n) / 4) + 0.4e0 * (24 - count(*)) / 24, 6) AS score FROM bins GROUP BY 1""",
     "changes": """SELECT * FROM (SELECT user_id, event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, event_type AS after FROM events)
         WHERE before <> after""",
-    "paired_requests": """WITH n AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS nth FROM events)
-        SELECT x.user_id, x.nth, x.event_id AS request, y.event_id AS answer FROM (SELECT * FROM n WHERE event_type = 'signup') x
-        LEFT JOIN (SELECT * FROM n WHERE event_type = 'purchase') y ON x.user_id IS NOT DISTINCT FROM y.user_id AND x.nth = y.nth""",
+    "paired_requests": """WITH e AS (SELECT user_id, event_type, event_id, ts, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS a FROM events WHERE event_type IN ('signup', 'purchase')),
+        s AS (SELECT *, sum(a) OVER w AS answers, sum(1 - a) OVER w AS requests FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+        g AS (SELECT *, greatest(0, max(answers - requests) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS ahead FROM s),
+        n AS (SELECT *, coalesce(lag(ahead) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS before FROM g)
+        SELECT x.user_id, CAST(x.requests AS BIGINT) AS nth, x.event_id AS request, y.event_id AS answer FROM (SELECT * FROM n WHERE a = 0) x
+        LEFT JOIN (SELECT * FROM n WHERE a = 1 AND ahead = before) y ON x.user_id IS NOT DISTINCT FROM y.user_id AND x.requests = y.answers - y.ahead""",
     "pivoted_after": """WITH f AS (SELECT user_id, min(ts) AS start FROM events WHERE event_type = 'signup' GROUP BY 1)
         SELECT user_id, arg_min(event_id, (ts, event_id)) AS event, epoch_us(min(ts)) - epoch_us(min(start)) AS delay_micros
         FROM events JOIN f USING (user_id) WHERE event_type = 'purchase' AND ts > start GROUP BY 1""",
@@ -153,7 +159,7 @@ ORACLE_SQL: dict[str, str] = {
     "indicator_counts": r"""SELECT * FROM (SELECT doc_id,
         CAST(len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS INTEGER) AS emails,
         CAST(len(regexp_extract_all(coalesce(text, ''), '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b')) AS INTEGER) AS ipv4,
-        CAST(len(regexp_extract_all(coalesce(text, ''), '\b[0-9a-f]{32,64}\b')) AS INTEGER) AS hashes FROM documents)
+        CAST(len(regexp_extract_all(coalesce(text, ''), '\b[0-9a-fA-F]{32,64}\b')) AS INTEGER) AS hashes FROM documents)
         WHERE emails > 0 OR ipv4 > 0 OR hashes > 0""",
     "url_domains": f"""SELECT host, hits, CASE WHEN len(string_split(host, '.')) > 2 THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE host END AS domain
         FROM (SELECT {_HOST} AS host, count(*) AS hits FROM pages GROUP BY 1)""",

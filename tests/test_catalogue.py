@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from netquarry.functions.network import base_domain, cadence_family, csv_safe, ipv4_scope, size_bucket, url_host
 from netquarry.functions.rules import condition, rule
-from netquarry.plans.catalogue import ORACLE_SQL, QUERIES
+from netquarry.plans import catalogue, telemetry
 
+QUERIES, ORACLE_SQL = catalogue.QUERIES | telemetry.QUERIES, catalogue.ORACLE_SQL | telemetry.ORACLE_SQL
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SF = "/root/testdata/sf0.01"
 
@@ -48,7 +49,7 @@ def test_hosts_and_cells(spark):
     assert one(spark, base_domain, "a.b.c", "b.c", "c", "") == ["b.c", "b.c", "c", ""]
     assert one(spark, csv_safe, "=1", "  +x", "a=1", "", None) == ["'=1", "'  +x", "a=1", "", None]
     assert one(spark, lambda c: size_bucket(c.cast("int")), "0", "19", "20", "5120") == ["0-19", "0-19", "20-39", ">5119"]
-    assert one(spark, lambda c: cadence_family(c.cast("double")), "14", "15", "1800", None) == ["very_fast", "fast", "very_slow", None]
+    assert one(spark, lambda c: cadence_family(c.cast("double")), "14", "15", "1800", None, "0") == ["very_fast", "fast", "very_slow", "unknown", "unknown"]
 
 
 def test_conditions(spark):
