@@ -78,23 +78,47 @@ def retransmissions(packets: DataFrame) -> DataFrame:
     return sent.where("sent > 1")
 
 
-def reassembled(packets: DataFrame, most_bytes: int = 1 << 20) -> DataFrame:
-    """The bytes that each direction of a stream sent, in order of sequence numbers, up to ``most_bytes``.
+def placed(packets: DataFrame) -> DataFrame:
+    """Segments with payload, with their place in what their direction sent: offset, overlap with bytes sent before, gap before it.
 
-    Bytes sent again are dropped; what is missing is counted in ``gap_bytes`` and
-    closed up. Sequence numbers that wrap sort first. Rows of a direction are sorted
-    in one task, which spills; only its first ``most_bytes`` are put together.
+    Sequence numbers are unwrapped by their signed distance from the segment
+    captured before, so that streams of any length stay in order. Rows of a
+    direction are sorted in one task, which spills.
     """
     way = [*STREAM, "ab"]
-    order = W.partitionBy(*way).orderBy("tcp_seq", "pkt_no")
-    before = order.rowsBetween(W.unboundedPreceding, -1)
     size = F.octet_length("payload")
-    rows = directed(packets).where("octet_length(payload) > 0").withColumn("end", F.max(F.col("tcp_seq") + size).over(before))
-    rows = rows.withColumn("overlap", F.greatest(F.coalesce(F.col("end") - F.col("tcp_seq"), F.lit(0)), F.lit(0)))
-    rows = rows.where(F.col("overlap") < size).withColumn("gap", F.greatest(F.coalesce(F.col("tcp_seq") - F.col("end"), F.lit(0)), F.lit(0)))
-    rows = rows.withColumn("offset", F.coalesce(F.sum(size - F.col("overlap")).over(before), F.lit(0))).where(F.col("offset") < most_bytes)
-    piece = F.struct("offset", F.expr("hex(substring(payload, CAST(overlap + 1 AS INT)))").alias("part"))
+    rows = directed(packets).where("octet_length(payload) > 0")
+    captured = W.partitionBy(*way).orderBy("pkt_no")
+    apart = F.pmod(F.col("tcp_seq") - F.lag("tcp_seq").over(captured) + (1 << 31), F.lit(1 << 32)) - (1 << 31)
+    rows = rows.withColumn("apart", F.coalesce(apart, F.lit(0))).withColumn("at", F.sum("apart").over(captured.rowsBetween(W.unboundedPreceding, 0)))
+    before = W.partitionBy(*way).orderBy("at", "pkt_no").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("end", F.max(F.col("at") + size).over(before))
+    rows = rows.withColumn("overlap", F.greatest(F.coalesce(F.col("end") - F.col("at"), F.lit(0)), F.lit(0)))
+    rows = rows.where(F.col("overlap") < size).withColumn("gap", F.greatest(F.coalesce(F.col("at") - F.col("end"), F.lit(0)), F.lit(0)))
+    return rows.withColumn("offset", F.coalesce(F.sum(size - F.col("overlap")).over(before), F.lit(0)))
+
+
+def reassembled_blocks(packets: DataFrame, block_bytes: int = 1 << 20) -> DataFrame:
+    """The bytes that each direction of a stream sent, whole, in rows of ``block_bytes``: block, data, gap_bytes, gaps.
+
+    Bytes sent again are dropped. What is missing is closed up: its bytes are
+    counted in ``gap_bytes`` of the block that follows it, and ``gaps`` tells the
+    offsets where it was and how much. A segment across a boundary is cut there.
+    """
+    way = [*STREAM, "ab"]
+    rows = placed(packets).withColumn("part", F.expr("substring(payload, CAST(overlap + 1 AS INT))"))
+    last = F.col("offset") + F.octet_length("part") - 1
+    rows = rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("offset") / block_bytes), F.floor(last / block_bytes))))
+    skip = F.greatest(F.col("block") * block_bytes - F.col("offset"), F.lit(0))
+    piece = F.struct((F.col("offset") + skip).alias("place"), F.hex(F.substring("part", (skip + 1).cast("int"), (F.lit(block_bytes) - F.pmod(F.col("offset") + skip, F.lit(block_bytes))).cast("int"))).alias("part"))
     whole = F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(piece)), lambda p: p["part"]), ""))
-    found = rows.groupBy(*way).agg(F.substring(whole, 1, most_bytes).alias("data"), F.sum("gap").alias("gap_bytes"))
-    return found.select("capture", stream_id().alias("stream_id"), F.when(F.col("ab"), F.col("a")).otherwise(F.col("b")).alias("src"),
-                        F.when(F.col("ab"), F.col("a_port")).otherwise(F.col("b_port")).alias("sport"), "data", "gap_bytes")
+    first = skip == 0
+    gap = F.when(first & (F.col("gap") > 0), F.struct("offset", "gap"))
+    found = rows.groupBy(*way, "block").agg(whole.alias("data"), F.sum(F.when(first, F.col("gap")).otherwise(0)).alias("gap_bytes"), F.sort_array(F.collect_list(gap)).alias("gaps"))
+    end = lambda x, y: F.when(F.col("ab"), F.col(x)).otherwise(F.col(y))
+    return found.select("capture", stream_id().alias("stream_id"), end("a", "b").alias("src"), end("a_port", "b_port").alias("sport"), "block", "data", "gap_bytes", "gaps")
+
+
+def reassembled(packets: DataFrame, most_bytes: int = 1 << 20) -> DataFrame:
+    """The first ``most_bytes`` of each direction of a stream, and what is missing there; see ``reassembled_blocks`` for all of it."""
+    return reassembled_blocks(packets, most_bytes).where("block = 0").select("capture", "stream_id", "src", "sport", "data", "gap_bytes")

@@ -112,7 +112,7 @@ def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "documents").select("doc_id", payload.found_with_context(F.col("text"), "Secret").alias("hit"))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", payload.found_with_context(F.col("text"), "That").alias("hit"))
     return rows.where("hit IS NOT NULL").select("doc_id", F.col("hit.at").alias("place"), "hit.context")
 
 
@@ -284,8 +284,8 @@ ORACLE_SQL: dict[str, str] = {
     "tld_counts": f"SELECT string_split(h, '.')[-1] AS tld, count(*) AS hits FROM (SELECT {_HOST} AS h FROM pages) GROUP BY 1",
     "request_scores": f"""SELECT page_id, CAST(s AS INTEGER) AS score, CASE WHEN s >= 6 THEN 'high' WHEN s >= 3 THEN 'medium' ELSE 'low' END AS level
         FROM (SELECT page_id, {_RISKY} + {_NAMED} AS s FROM pages)""",
-    "payload_search": """SELECT doc_id, CAST(p AS INTEGER) AS place, substring(text, greatest(p - 20, 1), p - greatest(p - 20, 1) + 26) AS context
-        FROM (SELECT doc_id, text, strpos(lower(text), 'secret') AS p FROM documents) WHERE p > 0""",
+    "payload_search": """SELECT doc_id, CAST(p AS INTEGER) AS place, substring(text, greatest(p - 20, 1), p - greatest(p - 20, 1) + 24) AS context
+        FROM (SELECT doc_id, text, strpos(lower(text), 'that') AS p FROM documents) WHERE p > 0""",
     "ip_scopes": "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{s}', '{c}')" for a, (s, c) in ADDRESSES.items()) + ") t(address, scope, category)",
     "nation_roles": """WITH c AS (SELECT DISTINCT c_nationkey AS n FROM customer), s AS (SELECT DISTINCT s_nationkey AS n FROM supplier)
         SELECT coalesce(c.n, s.n) AS nation, CASE WHEN s.n IS NULL THEN 'clients' WHEN c.n IS NULL THEN 'servers' ELSE 'both' END AS role FROM c FULL OUTER JOIN s ON c.n = s.n""",
