@@ -1,24 +1,32 @@
 """Packets of capture files (pcap and pcapng), one row each.
 
-Spark lists and reads the files (any store it can read, one task for each batch of
-files); a small decoder runs over their bytes. A file is one row of Spark's binary
-source, thus at most 2 GB. Files that are no capture give no row, and one that is
-cut short gives those before the cut.
+Spark lists the files; a first pass finds ranges of whole records by their heads,
+a second one decodes the ranges, each a row of its own, so that files of any size
+are read by many tasks. Files that are no capture give no packet, and one that is
+cut short gives those before the cut; ``capture_errors`` tells both.
 """
 
 from __future__ import annotations
 
 import ipaddress
+import json
+import re
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Magic numbers of pcap files, as ticks a second; the byte order is tried both ways.
 PCAP_TICKS = {0xA1B2C3D4: 1_000_000, 0xA1B23C4D: 1_000_000_000}
 #: Blocks of pcapng files and its byte-order mark.
 SECTION, INTERFACE, SIMPLE, ENHANCED, ORDER_MARK = 0x0A0D0D0A, 1, 3, 6, 0x1A2B3C4D
+#: A block that claims more is damage.
+LARGEST_BLOCK = 64 << 20
+#: IPv6 extension headers that stand before the transport.
+EXTENSIONS = (0, 43, 44, 60)
 #: Link types and ethertypes that are decoded.
 ETHERNET, RAW_IP, IPV4, IPV6, ARP, VLANS = 1, 101, 0x0800, 0x86DD, 0x0806, (0x8100, 0x88A8, 0x9100)
 #: Transports by IP protocol.
@@ -33,46 +41,85 @@ _TYPES = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64(), "
 _ARROW = pa.schema([(f.split()[0], _TYPES[f.split()[1]]) for f in SCHEMA.split(", ")])
 
 
-def frames(data: bytes) -> Iterator[tuple[float, int, int, bytes]]:
-    """Time, link type, original length and bytes of each packet of a capture's bytes."""
-    if len(data) < 12:
-        return
-    yield from _pcapng(data) if struct.unpack_from("<I", data)[0] == SECTION else _pcap(data)
+@dataclass
+class Walk:
+    """Where a capture's records are: what is needed to decode from any of them on."""
 
+    kind: str  # pcap or pcapng
+    order: str
+    ticks: int
+    link: int
+    links: list[tuple[int, int]]  # of a section's interfaces: link type and ticks a second
+    at: int
+
+    def state(self) -> str:
+        return json.dumps([self.kind, self.order, self.ticks, self.link, self.links])
+
+
+class Window:
+    """A file's bytes by place, read in large pieces."""
+
+    def __init__(self, file, size: int, piece: int = 4 << 20):
+        self.file, self.size, self.piece, self.start, self.data = file, size, piece, 0, b""
+
+    def read(self, at: int, size: int) -> bytes:
+        """Up to ``size`` bytes at a place; fewer only at the file's end."""
+        if at < self.start or at + size > self.start + len(self.data):
+            self.file.seek(at)
+            self.start, self.data = at, self.file.read(min(max(size, self.piece), max(self.size - at, 0)))
+        return self.data[at - self.start : at - self.start + size]
 
-def _pcap(data: bytes) -> Iterator[tuple[float, int, int, bytes]]:
-    order = next((o for o in "<>" if struct.unpack_from(o + "I", data)[0] in PCAP_TICKS), None)
-    if order is None or len(data) < 24:
-        return
-    ticks, link, at = PCAP_TICKS[struct.unpack_from(order + "I", data)[0]], struct.unpack_from(order + "I", data, 20)[0] & 0xFFFF, 24
-    while at + 16 <= len(data):
-        seconds, part, kept, whole = struct.unpack_from(order + "4I", data, at)
-        if at + 16 + kept > len(data):
-            return
-        yield seconds + part / ticks, link, whole, data[at + 16 : at + 16 + kept]
-        at += 16 + kept
 
+def begin(source: Window) -> Walk | None:
+    """The start of a capture's records; None if it is none."""
+    head = source.read(0, 24)
+    if len(head) < 12:
+        return None
+    if struct.unpack_from("<I", head)[0] == SECTION:
+        return Walk("pcapng", "<", 1, 0, [], 0)
+    order = next((o for o in "<>" if struct.unpack_from(o + "I", head)[0] in PCAP_TICKS), None)
+    if order is None or len(head) < 24:
+        return None
+    return Walk("pcap", order, PCAP_TICKS[struct.unpack_from(order + "I", head)[0]], struct.unpack_from(order + "I", head, 20)[0] & 0xFFFF, [], 24)
 
-def _pcapng(data: bytes) -> Iterator[tuple[float, int, int, bytes]]:
-    order, at, links = "<", 0, []
-    while at + 12 <= len(data):
-        kind = struct.unpack_from(order + "I", data, at)[0]
+
+def records(source: Window, walk: Walk, end: int, whole: bool = True) -> Iterator[tuple[float | None, int, int, bytes]]:
+    """Time, link type, original length and bytes of each packet that begins before ``end``; moves the walk along.
+
+    Without ``whole`` the packets' bytes aren't read, which is enough to find their places.
+    """
+    while walk.at < end:
+        if walk.kind == "pcap":
+            head = source.read(walk.at, 16)
+            if len(head) < 16:
+                return
+            seconds, part, kept, full = struct.unpack(walk.order + "4I", head)
+            if walk.at + 16 + kept > source.size:
+                return
+            data = source.read(walk.at + 16, kept) if whole else b""
+            walk.at += 16 + kept
+            yield seconds + part / walk.ticks, walk.link, full, data
+            continue
+        head = source.read(walk.at, 12)
+        if len(head) < 12:
+            return
+        kind = struct.unpack_from(walk.order + "I", head)[0]
         if kind == SECTION:
-            order, links = "<" if struct.unpack_from("<I", data, at + 8)[0] == ORDER_MARK else ">", []
-        size = struct.unpack_from(order + "I", data, at + 4)[0]
-        if size < 12 or size % 4 or at + size > len(data):
+            walk.order, walk.links = "<" if struct.unpack_from("<I", head, 8)[0] == ORDER_MARK else ">", []
+        size = struct.unpack_from(walk.order + "I", head, 4)[0]
+        if size < 12 or size % 4 or size > LARGEST_BLOCK or walk.at + size > source.size:
             return
-        body = data[at + 8 : at + size - 4]
+        body = source.read(walk.at + 8, size - 12 if whole or kind == INTERFACE else min(size - 12, 20))
+        walk.at += size
         if kind == INTERFACE and len(body) >= 8:
-            links.append((struct.unpack_from(order + "H", body)[0], _ticks(body[8:], order)))
+            walk.links.append((struct.unpack_from(walk.order + "H", body)[0], _ticks(body[8:], walk.order)))
         elif kind == ENHANCED and len(body) >= 20:
-            port, high, low, kept, whole = struct.unpack_from(order + "5I", body)
-            if port < len(links) and 20 + kept <= len(body):
-                yield (high << 32 | low) / links[port][1], links[port][0], whole, body[20 : 20 + kept]
-        elif kind == SIMPLE and links and len(body) >= 4:
-            whole = struct.unpack_from(order + "I", body)[0]
-            yield None, links[0][0], whole, body[4 : 4 + whole]
-        at += size
+            port, high, low, kept, full = struct.unpack_from(walk.order + "5I", body)
+            if port < len(walk.links) and 20 + kept <= size - 12:
+                yield (high << 32 | low) / walk.links[port][1], walk.links[port][0], full, body[20 : 20 + kept]
+        elif kind == SIMPLE and walk.links and len(body) >= 4:
+            full = struct.unpack_from(walk.order + "I", body)[0]
+            yield None, walk.links[0][0], full, body[4 : 4 + full]
 
 
 def _ticks(options: bytes, order: str) -> int:
@@ -118,6 +165,11 @@ def decode(frame: bytes, link: int) -> dict:
             row |= {"ip_version": 6, "ttl": hops, "ip_proto": proto}
             row |= {"src": str(ipaddress.IPv6Address(packet[8:24])), "dst": str(ipaddress.IPv6Address(packet[24:40]))}
             inner = packet[40 : 40 + length]
+            while proto in EXTENSIONS and len(inner) >= 8:
+                if proto == 44 and struct.unpack_from(">H", inner, 2)[0] & 0xFFF8:
+                    return row | {"ip_proto": inner[0], "payload": inner[8:]}  # a later fragment has no ports
+                proto, inner = inner[0], inner[8 if proto == 44 else 8 * (inner[1] + 1) :]
+            row["ip_proto"] = proto
         else:
             return row
         proto = row["ip_proto"]
@@ -134,20 +186,76 @@ def decode(frame: bytes, link: int) -> dict:
     return row
 
 
-def read_captures(spark: SparkSession, path: str, pattern: str = "*.{pcap,pcapng,cap}", recursive: bool = False, rows_at_once: int = 4_096) -> DataFrame:
-    """Packets of all captures below a path; numbered from 1 in each file. ``pattern`` is a glob of file names."""
+def _open(name: str) -> Window:
+    """A file by the name that Spark lists it under."""
+    uri = re.sub("^file:/+", "file:///", name).replace("s3a://", "s3://", 1)
+    system, path = fs.FileSystem.from_uri(uri)
+    file = system.open_input_file(path)
+    return Window(file, file.size())
+
+
+def capture_ranges(spark: SparkSession, path: str, pattern: str = "*.{pcap,pcapng,cap}", recursive: bool = False, range_bytes: int = 16 << 20) -> DataFrame:
+    """Captures below a path in ranges of whole records: capture, start, end, first_pkt, state, error.
+
+    A task walks over a file's record heads, in large pieces, and holds one piece;
+    files of any size are split. What is no capture, or can't be opened, is one
+    row with an error and no range. ``pattern`` is a glob of file names.
+    """
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                rows = []
+                try:
+                    source = _open(name)
+                    own = begin(source)
+                    if own is None:
+                        rows.append((name, None, None, None, None, "not a capture"))
+                    else:
+                        start, first, state, n = own.at, 1, own.state(), 0
+                        for n, _ in enumerate(records(source, own, source.size, whole=False), 1):
+                            if own.at - start >= range_bytes:
+                                rows.append((name, start, own.at, first, state, None))
+                                start, first, state = own.at, n + 1, own.state()
+                        if own.at > start:
+                            rows.append((name, start, own.at, first, state, None))
+                        if own.at < source.size:
+                            rows.append((name, None, None, None, None, f"damaged at byte {own.at}"))
+                except OSError as problem:
+                    rows.append((name, None, None, None, None, str(problem)))
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                columns = zip(*rows, strict=True) if rows else [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["capture", "start", "end", "first_pkt", "state", "error"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
+    return files.select("path").mapInArrow(walk, "capture string, start bigint, `end` bigint, first_pkt bigint, state string, error string")
+
+
+def packets_of(ranges: DataFrame, rows_at_once: int = 4_096) -> DataFrame:
+    """The packets of capture ranges (see ``capture_ranges``), numbered from 1 in each file; ranges are dealt to tasks evenly."""
 
     def packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch.column(0), batch.column(1), strict=True):
-                rows: list[dict] = []
-                for number, (ts, link, whole, frame) in enumerate(frames(data.as_py()), 1):
-                    rows.append({"capture": name.as_py(), "pkt_no": number, "ts": ts, "caplen": len(frame), "orig_len": whole} | decode(frame, link))
+            for name, start, end, first, state in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                source, rows = _open(name), []
+                own = Walk(*json.loads(state), start)
+                for number, (ts, link, full, frame) in enumerate(records(source, own, end), first):
+                    rows.append({"capture": name, "pkt_no": number, "ts": ts, "caplen": len(frame), "orig_len": full} | decode(frame, link))
                     if len(rows) == rows_at_once:
                         yield pa.RecordBatch.from_pylist(rows, _ARROW)
                         rows = []
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
-    return files.select("path", "content").mapInArrow(packets, SCHEMA)
+    found = ranges.where("error IS NULL").select("capture", "start", "end", "first_pkt", "state")
+    return found.repartition("capture", "start").mapInArrow(packets, SCHEMA)
+
+
+def read_captures(spark: SparkSession, path: str, pattern: str = "*.{pcap,pcapng,cap}", recursive: bool = False, **options) -> DataFrame:
+    """Packets of all captures below a path; numbered from 1 in each file."""
+    return packets_of(capture_ranges(spark, path, pattern, recursive, **options))
+
+
+def capture_errors(ranges: DataFrame) -> DataFrame:
+    """Files that are no capture, can't be read or are cut short: capture, error."""
+    return ranges.where("error IS NOT NULL").select("capture", "error")

@@ -7,8 +7,8 @@ import struct
 
 import pytest
 
-from netquarry.operators.packets import reassembled, retransmissions, streams
-from netquarry.sources.captures import read_captures
+from netquarry.operators.packets import reassembled, reassembled_blocks, retransmissions, streams
+from netquarry.sources.captures import capture_errors, capture_ranges, read_captures
 
 A, B = "10.0.0.9", "192.0.2.1"
 
@@ -75,3 +75,28 @@ def test_cut_capture(spark, tmp_path):
     (tmp_path / "y.pcap").write_bytes(pcap([TALK[3][:20], TALK[3][:40], b""]))
     rows = read_captures(spark, str(tmp_path)).collect()
     assert len(rows) == 11 + 3 and streams(read_captures(spark, str(tmp_path))).count() == 2
+
+
+@pytest.mark.parametrize("data", [pcap(TALK * 50), pcapng(TALK * 50)])
+def test_ranges_give_the_same_packets(spark, tmp_path, data):
+    (tmp_path / "x.pcap").write_bytes(data)
+    (tmp_path / "cut.pcap").write_bytes(data[:-3])
+    (tmp_path / "none.pcap").write_bytes(b"nothing of the kind at all")
+    ranges = capture_ranges(spark, str(tmp_path), range_bytes=2_000)
+    assert ranges.where("error IS NULL").count() > 20
+    assert sorted(r.capture.rsplit("/", 1)[1] for r in capture_errors(ranges).collect()) == ["cut.pcap", "none.pcap"]
+    whole, parts = (sorted(map(repr, read_captures(spark, str(tmp_path), range_bytes=n).collect())) for n in (1 << 20, 700))
+    assert whole == parts and len(whole) == 2 * 600 - 1
+
+
+def test_reassembly_across_blocks_and_wraps(spark, tmp_path):
+    start = (1 << 32) - 10
+    pieces = [bytes([65 + i]) * 7 for i in range(9)]
+    sent = [tcp(A, 5000, B, 80, 24, (start + 7 * i) % (1 << 32), p) for i, p in enumerate(pieces)]
+    (tmp_path / "x.pcap").write_bytes(pcap([sent[0], sent[2], sent[1], *sent[3:5], sent[4], sent[3], *sent[6:]]))
+    packets = read_captures(spark, str(tmp_path))
+    expected = b"".join(pieces[:5] + pieces[6:])
+    for size in (5, 16, 1 << 20):
+        rows = reassembled_blocks(packets, size).orderBy("block").collect()
+        assert b"".join(bytes(r.data) for r in rows) == expected and sum(r.gap_bytes for r in rows) == 7
+        assert [(g.offset, g.gap) for r in rows for g in r.gaps] == [(35, 7)] and all(len(r.data) == size for r in rows[:-1])
