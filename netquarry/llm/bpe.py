@@ -39,7 +39,7 @@ class PrefixEncoder:
     pair of it and the last token of the prefix before it encodes to that pair.
     """
 
-    def __init__(self, vocabulary: str, cached_words: int = 500_000):
+    def __init__(self, vocabulary: str, cached_words: int = 200_000):
         spec = json.loads(vocabulary)
         model = spec["model"]
         self.word_end = model.get("end_of_word_suffix") or ""

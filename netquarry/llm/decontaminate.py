@@ -193,7 +193,7 @@ class _Numbers(dict):
         self.numbers = numbers
 
     def __missing__(self, token: str) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         word = plain_word(token)
         number = self[token] = self.numbers.get(word, 0) if word else -1

@@ -25,7 +25,7 @@ PARITY_WORDS = 16
 FINE_BITS, MOST_FINE_BITS = 4, 1 << 16
 MOST_MATCHES = 4
 #: Entries of a list that are compared with each other in one task; longer lists are split and met part by part.
-LIST = 2_000
+LIST = 8_000
 #: Entries of a list that are sorted in one task for the neighbour pass.
 SORTED_LIST = 50_000
 #: Up to this size, sets that link differ in so few elements that what is left without these finds them.
@@ -326,7 +326,8 @@ def near_duplicate_components(documents: DataFrame, words: int = 5) -> DataFrame
     mixed_lists = staged(mixed_lists.where("low < high").select("token", "df"), "mixed-lists")
     across = staged(join_groups(entries, mixed_lists, ["token"], total, "df"), "across")
     low = across.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("token")), 1, LOW_TOKENS).alias("low"))  # of one set's prefix
-    across = staged(across.join(low, "id").join(maps.drop("n"), "id"), "across-maps").withColumn("blocks", F.ceil(F.col("df") / LIST).cast("int"))
+    narrow = across.withColumn("blocks", F.ceil(F.col("df") / LIST).cast("int")).drop("df")
+    across = narrow.join(low, "id").join(maps.drop("n"), "id")
     lowest = F.array_min(F.array_intersect("x.low", "y.low"))
     met = across.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     meets = across.where((F.col("blocks") == 1) | (F.col("n") > SMALL)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -351,7 +352,7 @@ def near_duplicate_components(documents: DataFrame, words: int = 5) -> DataFrame
         .where("shared >= asked")
         .select("a", "b")
     )
-    long_lists = across.where("blocks > 1").select("id").distinct()
+    long_lists = narrow.where("blocks > 1").select("id").distinct()
     if not long_lists.isEmpty():
         small = sets.where(F.col("n") <= SMALL).join(long_lists, "id", "left_semi").select("id", "n", "whole")
         found = _small_pairs(small)
