@@ -12,7 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import blocks, text_of
+from .common import CACHES, blocks, claim_worker, text_of
 
 #: Unicode White_Space, as the vocabulary's patterns mean it; str.split() also cuts at the four code points of NOT_SPACE.
 SPACE_CLASS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -95,7 +95,7 @@ class PrefixEncoder:
     def _compatible(self, a: int, b: int) -> bool:
         known = self._apart_known.get((a, b))
         if known is None:
-            if len(self._apart_known) > 1_000_000:
+            if len(self._apart_known) > 150_000:
                 self._apart_known.clear()
             known = self._apart_known[a, b] = self._apart(a, b)
         return known
@@ -162,6 +162,7 @@ def _normal_form(text: str) -> str:
 
 
 _ENCODERS: dict[str, PrefixEncoder] = {}
+CACHES["bpe"] = _ENCODERS.clear
 
 
 def _encoder(vocabulary: str) -> PrefixEncoder:
@@ -186,6 +187,7 @@ def bpe_encode(documents: DataFrame, tokenizer_path: str, rows_at_once: int = 25
         shared = documents.sparkSession.sparkContext.broadcast(file.read())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("bpe")
         encoder = _encoder(shared.value)
         for batch in blocks(batches, rows_at_once):
             ids = [encoder.encode(t) for t in batch.column(1).to_pylist()]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -42,6 +42,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: How to empty the caches that operators keep in a Python worker, by operator.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def claim_worker(name: str) -> None:
+    """Empties what other operators left in this worker, which Spark keeps from stage to stage."""
+    for other, clear in CACHES.items():
+        if other != name:
+            clear()
+
+
 #: Bytes that a row (word, bits) takes in a broadcast table.
 SIEVE_ROW = 24
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, text_of
+from .common import CACHES, blocks, claim_worker, text_of
 
 _NO_WORD = re.compile(r"[\W_]+")
 #: Steps of the walk for each word of an item; as the pointer moves half the time, few walks pass the item's end by then.
@@ -201,6 +201,7 @@ class _Numbers(dict):
 
 
 _CACHED: list[tuple[Items, _Numbers]] = []
+CACHES["decontaminate"] = _CACHED.clear
 
 
 def _numbers(items: Items) -> _Numbers:
@@ -277,6 +278,7 @@ def find_contaminated(documents: DataFrame, benchmark: DataFrame, rows_at_once:
 
 def _search(shared, rows_at_once: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("decontaminate")
         names = ["doc_id", "item_id", "item_words", "edits", "first_word", "end_word"]
         for batch in blocks(batches, rows_at_once):
             rows = list(_found(batch.column(1).to_pylist(), shared.value))
@@ -298,6 +300,7 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, rows_at_once:
 
 def _clean(shared, rows_at_once: int, place: int):
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("decontaminate")
         for batch in blocks(batches, rows_at_once, column=place):
             keep = np.ones(batch.num_rows, bool)
             keep[[text for text, *_ in _found(batch.column(place).to_pylist(), shared.value)]] = False

@@ -12,12 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, held_out, text_of
+from .common import CACHES, blocks, held_out, text_of
 
 UNDETERMINED = "und"
 #: Different trigrams whose vectors are held at once, which bounds the memory whatever the texts: some 10 MB with 1,024 dimensions.
 CODES_AT_ONCE = 2_048
 _LETTERS: list[np.ndarray] = []
+CACHES["langid"] = _LETTERS.clear
 
 
 @dataclass(frozen=True)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import blocks, join_groups, staged, utf8
+from .common import blocks, claim_worker, join_groups, staged, utf8
 from .components import connected_components
 from .shingles import shingle_sets
 
@@ -121,6 +121,7 @@ def _profiles(texts: DataFrame, classes: np.ndarray, words: int, rows_at_once: i
     shared = texts.sparkSession.sparkContext.broadcast(classes)
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("shingles")
         for batch in blocks(batches, rows_at_once):
             sets = shingle_sets(batch.column(1).to_pylist(), words)
             found = [prefix(s, shared.value) if len(s) else (s, 0) for s in sets]

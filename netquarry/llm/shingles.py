@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .common import CACHES
+
 #: Odd multipliers of the places within a shingle.
 _PLACE = np.random.default_rng(5).integers(1 << 62, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -20,6 +22,7 @@ class WordHashes(dict):
 
 
 _HASHES = WordHashes()
+CACHES["shingles"] = _HASHES.clear
 
 
 def lower_words(text: bytes) -> list[bytes]:

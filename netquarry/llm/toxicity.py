@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, held_out, staged, text_of
+from .common import CACHES, blocks, held_out, staged, text_of
 
 WORD = re.compile(r"\w+")
 #: Step of the histograms of scores.
@@ -67,7 +67,7 @@ class _WordScores(dict):
         self.scores, self.stems, self.gap = model.scores, model.stems, model.gap
 
     def __missing__(self, word: str) -> float:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         own = self.scores.get(word)
         score = self[word] = (self.stems.get(word[:STEM], 0.0) if own is None else own) - self.gap
@@ -75,6 +75,7 @@ class _WordScores(dict):
 
 
 _CACHED: list[tuple[ToxicityModel, _WordScores]] = []
+CACHES["toxicity"] = _CACHED.clear
 
 
 def _word_scores(model: ToxicityModel) -> _WordScores:
