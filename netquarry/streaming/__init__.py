@@ -1 +1 @@
-"""Transforms of streams."""
+"""Operators over streams."""
