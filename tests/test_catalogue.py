@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from netquarry.functions.network import base_domain, cadence_family, csv_safe, ipv4_scope, size_bucket, url_host
 from netquarry.functions.rules import condition, rule
-from netquarry.plans import catalogue, telemetry, wire
+from netquarry.plans import catalogue, hosts, telemetry, wire
 
-QUERIES, ORACLE_SQL = catalogue.QUERIES | telemetry.QUERIES | wire.QUERIES, catalogue.ORACLE_SQL | telemetry.ORACLE_SQL | wire.ORACLE_SQL
+QUERIES, ORACLE_SQL = catalogue.QUERIES | telemetry.QUERIES | wire.QUERIES | hosts.QUERIES, catalogue.ORACLE_SQL | telemetry.ORACLE_SQL | wire.ORACLE_SQL | hosts.ORACLE_SQL
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SF = "/root/testdata/sf0.01"
 
