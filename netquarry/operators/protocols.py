@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.labels import CLIENTS
 from ..functions.network import base_domain, ip_scope
 from .statistics import entropy
 
@@ -49,7 +50,7 @@ def control_traffic(packets: DataFrame) -> DataFrame:
     as the source if the destination's port is an ephemeral one.
     """
     service = F.create_map(*(F.lit(x) for pair in CONTROL_PORTS.items() for x in pair))
-    to, back = F.try_element_at(service, F.col("dport")), F.when(F.col("dport") >= 49152, F.try_element_at(service, F.col("sport")))
+    to, back = F.try_element_at(service, F.col("dport")), F.when(F.col("dport") >= CLIENTS, F.try_element_at(service, F.col("sport")))
     rows = packets.where(F.col("sport").isNotNull()).select(
         "capture", F.coalesce(to, back).alias("service"), F.when(to.isNotNull(), F.col("src")).otherwise(F.col("dst")).alias("client"),
         F.when(to.isNotNull(), F.col("dst")).otherwise(F.col("src")).alias("server"), "caplen",
