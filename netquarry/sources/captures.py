@@ -195,40 +195,49 @@ def _open(name: str) -> Window:
 
 
 def capture_ranges(spark: SparkSession, path: str, pattern: str = "*.{pcap,pcapng,cap}", recursive: bool = False, range_bytes: int = 16 << 20) -> DataFrame:
-    """Captures below a path in ranges of whole records: capture, start, end, first_pkt, state, error.
+    """Captures below a path in ranges of whole records: capture, start, end, first_pkt, state, error, and the least and greatest time (low, high).
 
     A task walks over a file's record heads, in large pieces, and holds one piece;
     files of any size are split. What is no capture, or can't be opened, is one
     row with an error and no range. ``pattern`` is a glob of file names.
     """
+    schema = "capture string, start bigint, `end` bigint, first_pkt bigint, state string, error string, low double, high double"
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                rows = []
-                try:
-                    source = _open(name)
-                    own = begin(source)
-                    if own is None:
-                        rows.append((name, None, None, None, None, "not a capture"))
-                    else:
-                        start, first, state, n = own.at, 1, own.state(), 0
-                        for n, _ in enumerate(records(source, own, source.size, whole=False), 1):
-                            if own.at - start >= range_bytes:
-                                rows.append((name, start, own.at, first, state, None))
-                                start, first, state = own.at, n + 1, own.state()
-                        if own.at > start:
-                            rows.append((name, start, own.at, first, state, None))
-                        if own.at < source.size:
-                            rows.append((name, None, None, None, None, f"damaged at byte {own.at}"))
-                except OSError as problem:
-                    rows.append((name, None, None, None, None, str(problem)))
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                columns = zip(*rows, strict=True) if rows else [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["capture", "start", "end", "first_pkt", "state", "error"])
+                rows = list(_ranges(name, range_bytes))
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+                columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+                names = ["capture", "start", "end", "first_pkt", "state", "error", "low", "high"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
-    return files.select("path").mapInArrow(walk, "capture string, start bigint, `end` bigint, first_pkt bigint, state string, error string")
+    return files.select("path").mapInArrow(walk, schema)
+
+
+def _ranges(name: str, range_bytes: int) -> Iterator[tuple]:
+    """The rows of ``capture_ranges`` for one file."""
+    wrong = lambda text: (name, None, None, None, None, text, None, None)
+    try:
+        source = _open(name)
+        own = begin(source)
+        if own is None:
+            yield wrong("not a capture")
+            return
+        start, first, state, low, high = own.at, 1, own.state(), None, None
+        for n, (ts, *_) in enumerate(records(source, own, source.size, whole=False), 1):
+            if ts is not None:
+                low, high = ts if low is None else min(low, ts), ts if high is None else max(high, ts)
+            if own.at - start >= range_bytes:
+                yield name, start, own.at, first, state, None, low, high
+                start, first, state, low, high = own.at, n + 1, own.state(), None, None
+        if own.at > start:
+            yield name, start, own.at, first, state, None, low, high
+        if own.at < source.size:
+            yield wrong(f"damaged at byte {own.at}")
+    except OSError as problem:
+        yield wrong(str(problem))
 
 
 def packets_of(ranges: DataFrame, rows_at_once: int = 4_096) -> DataFrame:

@@ -6,11 +6,11 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import PLANS
 from netquarry.functions.network import base_domain, cadence_family, csv_safe, ipv4_scope, size_bucket, url_host
 from netquarry.functions.rules import condition, rule
-from netquarry.plans import catalogue, hosts, messages, telemetry, wire
 
-QUERIES, ORACLE_SQL = catalogue.QUERIES | telemetry.QUERIES | wire.QUERIES | hosts.QUERIES | messages.QUERIES, catalogue.ORACLE_SQL | telemetry.ORACLE_SQL | wire.ORACLE_SQL | hosts.ORACLE_SQL | messages.ORACLE_SQL
+QUERIES, ORACLE_SQL = ({name: own for plan in PLANS for name, own in getattr(plan, kind).items()} for kind in ("QUERIES", "ORACLE_SQL"))
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SF = "/root/testdata/sf0.01"
 
