@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import itertools
 import json
+import os
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import byte_symbols
 from .common import CACHES, blocks, claim_worker, scratch, staged, utf8
 
 #: A frame is: length of the data (8 bytes), checksum of these 8, the data, checksum of the data; little-endian.
@@ -77,29 +81,47 @@ def parsed(data: bytes) -> tuple[int | str | None, np.ndarray]:
     return doc_id, np.frombuffer(data, f"<u{width}", offset=HEAD.size + size).astype("<u4")
 
 
-class LibraryEncoder:
-    """Ids of whole texts by the tokenizers library, a word at a time.
+class LibraryEncoder(dict):
+    """Ids of whole texts by the tokenizers library, a word at a time; keeps the ids of the words it has met.
 
     The vocabulary lower-cases, cuts at white space and joins no token across
     it, nor across a full stop, comma, colon, semicolon, exclamation or question
     mark after an ASCII letter or digit, nor before a digit after one. So the
-    ids of a text are those of its parts between these places, which are kept,
-    and a long text needs no more memory than its ids.
+    ids of a text are those of its parts between these places, and a long text
+    needs no more memory than its ids. Words are forgotten when there are too many.
     """
 
-    def __init__(self, vocabulary: str, most: int = 300_000):
+    def __init__(self, vocabulary: str, most: int = 150_000):
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the threads here
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(vocabulary)
         self.library.no_truncation()
         self.library.no_padding()
+        self.tokens = self.library.model.tokenize
         self.width = 2 if self.library.get_vocab_size() < 1 << 16 else 4
-        self.most, self.known = most, {}
+        self.most = most
+        self.symbols = dict(enumerate(byte_symbols()))
         self.before_mark = re.compile(rb"(?<=[a-z0-9])(?=[.,;:!?])")
         self.before_digit = re.compile(rb"(?<=[a-z0-9])(?=[0-9])")
 
     def packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
+        return array("H" if self.width == 2 else "I", ids).tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        own = word.decode()
+        if own.isalpha() and own == own.lower() and (own.isascii() or unicodedata.is_normalized("NFC", own)):
+            # One piece in its normal form: what is left to the library is the merging of its symbols.
+            ids = [t.id for t in self.tokens(own if own.isascii() else word.decode("latin-1").translate(self.symbols))]
+        else:
+            ids = self.library.encode(own, add_special_tokens=False).ids
+        found = self.packed(ids)
+        if len(word) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = found
+        return found
 
     def encode(self, text: bytes) -> bytes:
         """The ids of UTF-8 text, ``width`` bytes each."""
@@ -108,25 +130,7 @@ class LibraryEncoder:
         words = self.before_mark.sub(b" ", text).split()
         if len(text) > 4096 * (len(words) + 1):
             words = [part for word in words for part in (self.before_digit.sub(b" ", word).split() if len(word) > 4096 else [word])]
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        new = set(words).difference(known)
-        rest, tokens = [], self.library.model.tokenize
-        for word in new:
-            if word.isalpha() and word.islower():  # ASCII letters are their own symbols
-                known[word] = self.packed([t.id for t in tokens(word.decode())])
-            else:
-                rest.append(word)
-        for start in range(0, len(rest), 1024):
-            part = rest[start : start + 1024]
-            for word, found in zip(part, self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[word] = self.packed(found.ids)
-        ids = b"".join(map(known.__getitem__, words))
-        for word in new:
-            if len(word) > 64:
-                del known[word]
-        return ids
+        return b"".join(map(self.__getitem__, words))
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
