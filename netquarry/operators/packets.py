@@ -99,9 +99,9 @@ def placed(packets: DataFrame) -> DataFrame:
 
 
 def reassembled_blocks(packets: DataFrame, block_bytes: int = 1 << 20) -> DataFrame:
-    """The bytes that each direction of a stream sent, whole, in rows of ``block_bytes``: block, data, gap_bytes, gaps.
+    """The bytes that each direction of a stream sent, whole, in rows of ``block_bytes``: block, data, gap_bytes, gaps, marks.
 
-    Bytes sent again are dropped. What is missing is closed up: its bytes are
+    ``marks`` tells at which offset each packet's part of the block begins, its time and number. Bytes sent again are dropped. What is missing is closed up: its bytes are
     counted in ``gap_bytes`` of the block that follows it, and ``gaps`` tells the
     offsets where it was and how much. A segment across a boundary is cut there.
     """
@@ -114,9 +114,12 @@ def reassembled_blocks(packets: DataFrame, block_bytes: int = 1 << 20) -> DataFr
     whole = F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(piece)), lambda p: p["part"]), ""))
     first = skip == 0
     gap = F.when(first & (F.col("gap") > 0), F.struct("offset", "gap"))
-    found = rows.groupBy(*way, "block").agg(whole.alias("data"), F.sum(F.when(first, F.col("gap")).otherwise(0)).alias("gap_bytes"), F.sort_array(F.collect_list(gap)).alias("gaps"))
+    mark = F.struct((F.col("offset") + skip).alias("offset"), "ts", "pkt_no")
+    found = rows.groupBy(*way, "block").agg(
+        whole.alias("data"), F.sum(F.when(first, F.col("gap")).otherwise(0)).alias("gap_bytes"), F.sort_array(F.collect_list(gap)).alias("gaps"), F.sort_array(F.collect_list(mark)).alias("marks")
+    )
     end = lambda x, y: F.when(F.col("ab"), F.col(x)).otherwise(F.col(y))
-    return found.select("capture", stream_id().alias("stream_id"), end("a", "b").alias("src"), end("a_port", "b_port").alias("sport"), "block", "data", "gap_bytes", "gaps")
+    return found.select("capture", stream_id().alias("stream_id"), end("a", "b").alias("src"), end("a_port", "b_port").alias("sport"), end("b", "a").alias("dst"), end("b_port", "a_port").alias("dport"), "block", "data", "gap_bytes", "gaps", "marks")
 
 
 def reassembled(packets: DataFrame, most_bytes: int = 1 << 20) -> DataFrame:
