@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry.llm.bpe import bpe_encode
-from netquarry.llm.common import held_out, staged, without
+from netquarry.llm.common import held_out, staged, utf8, without
 from netquarry.llm.decontaminate import drop_contaminated
 from netquarry.llm.exact_dedup import drop_copies
 from netquarry.llm.langid import fit_languages, keep_known_languages
@@ -25,10 +25,13 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near copies. Rows without an id, and repeated rows of one that stays, stay."""
-    dropped = near_duplicate_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("row_id"))
-    return without(rows, F.col("row_id"), staged(dropped, "dropped")).select("row.*")
+    """The document of smallest id of each group of near copies. Rows without an id, and repeated rows of one that stays, stay.
+
+    Rows of one id with different texts are told apart by a hash of the text.
+    """
+    dropped = near_duplicate_components(docs).where("doc_id <> component_id").select(F.struct("doc_id", "text_hash").alias("dropped_key")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.struct("doc_id", F.xxhash64(utf8()).alias("text_hash")).alias("row_key"))
+    return without(rows, F.col("row_key"), staged(dropped, "dropped")).select("row.*")
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

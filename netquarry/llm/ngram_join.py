@@ -28,8 +28,8 @@ MOST_MATCHES = 4
 LIST = 8_000
 #: Entries of a list that are sorted in one task for the neighbour pass.
 SORTED_LIST = 50_000
-#: Up to this size, sets that link differ in so few elements that what is left without these finds them.
-SMALL = 12
+#: Class from which on a shingle is hot: its counter stands out by more than 512.
+HOT_CLASS = 10
 #: Tokens by which a pair of sets is found once rather than once for each token they share.
 LOW_TOKENS = 8
 
@@ -76,25 +76,37 @@ def frequency_classes(sketch: np.ndarray) -> np.ndarray:
     return np.where(sketch <= chance, 0, np.ceil(np.log2(np.maximum(sketch - load, 1)))).astype(np.uint8)
 
 
-def prefix(own: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, int]:
-    """A set's first elements in the global order (rare classes first, then by hash), and the matches they must have.
+def in_global_order(own: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A set's elements in the global order (rare classes first, then by hash), and their classes."""
+    of = classes[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    order = np.lexsort((own, of))
+    return own[order], of[order]
+
+
+def prefix(order: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, int]:
+    """A set's first elements in the global order, and the matches they must have.
 
     With one match asked for, the prefix has n - least + 1 elements; each further
     one lengthens it by one. The number is that of least estimated cost: the
     entries the prefix meets, plus a verification for each candidate, which a
     further match makes rarer.
     """
-    n = len(own)
-    of = classes[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    order = own[np.lexsort((own, of))]
+    n = len(order)
     least = -(-n * NUMERATOR // DENOMINATOR)
     most = min(MOST_MATCHES, least)
-    met = np.cumsum(np.exp2(np.sort(of)[: n - least + most].astype(float)) - 1)
+    met = np.cumsum(np.exp2(of[: n - least + most].astype(float)) - 1)
     costs = [met[n - least + k - 1] * (1 + 8 / k**2) + k for k in range(1, most + 1)]
     matches = int(np.argmin(costs)) + 1
     return order[: n - least + matches], matches
 
 
+def hot_part(order: np.ndarray, of: np.ndarray, hot_class: int) -> tuple[int, np.ndarray | None]:
+    """How many of a set's elements aren't hot, and those that are, if they alone may link it with another set."""
+    rare = int((of < hot_class).sum())
+    n = len(order)
+    return rare, order[rare:] if n and DENOMINATOR * (n - rare) >= NUMERATOR * n else None
+
+
 def parity_map(own: np.ndarray, bits: int = PARITY_WORDS * 64) -> np.ndarray:
     """Bits that tell whether an odd number of elements fell there: two sets differ in at least as many elements as bits."""
     at = (own & np.uint64(bits - 1)).astype(np.int64)
@@ -116,31 +128,39 @@ def least_difference(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
-def _profiles(texts: DataFrame, classes: np.ndarray, words: int, rows_at_once: int = 256) -> DataFrame:
-    """One row a text: its set's size, digest, parity maps, prefix and matches, and the whole set if it is small."""
+def _profiles(texts: DataFrame, classes: np.ndarray, words: int, hot_class: int, rows_at_once: int = 256) -> DataFrame:
+    """One row a text: its set's size, digest, parity maps, prefix and matches, the number of rare elements, and the hot part if it may link alone."""
     shared = texts.sparkSession.sparkContext.broadcast(classes)
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim_worker("shingles")
         for batch in blocks(batches, rows_at_once):
-            sets = shingle_sets(batch.column(1).to_pylist(), words)
-            found = [prefix(s, shared.value) if len(s) else (s, 0) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(s) for s in sets], pa.int32()),
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                    pa.array([parity_map(s) for s in sets], pa.list_(pa.int64())),
-                    pa.array([fine_map(s) for s in sets], pa.binary()),
-                    pa.array([p.view(np.int64) for p, _ in found], pa.list_(pa.int64())),
-                    pa.array([k for _, k in found], pa.int32()),
-                    pa.array([s.view(np.int64) if len(s) <= SMALL else None for s in sets], pa.list_(pa.int64())),
-                ],
-                ["doc_id", "n", "digest", "parity", "fine", "prefix", "matches", "whole"],
-            )
+            rows = [_profile(own, shared.value, hot_class) for own in shingle_sets(batch.column(1).to_pylist(), words)]
+            longs = pa.list_(pa.int64())
+            kinds = [pa.int32(), pa.binary(), longs, pa.binary(), longs, pa.int32(), pa.int32(), pa.binary(), pa.int32(), longs, longs]
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "text_hash", *PROFILE])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(profile, f"doc_id {kind}, n int, digest binary, parity array<bigint>, fine binary, prefix array<bigint>, matches int, whole array<bigint>")
+    return texts.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        profile,
+        f"doc_id {kind}, text_hash bigint, n int, digest binary, parity array<bigint>, fine binary, prefix array<bigint>, matches int, "
+        "rare int, hot_digest binary, hot_n int, hot_prefix array<bigint>, hot_parity array<bigint>",
+    )
+
+
+PROFILE = ["n", "digest", "parity", "fine", "prefix", "matches", "rare", "hot_digest", "hot_n", "hot_prefix", "hot_parity"]
+
+
+def _profile(own: np.ndarray, classes: np.ndarray, hot_class: int) -> tuple:
+    order, of = in_global_order(own, classes)
+    found, matches = prefix(order, of) if len(own) else (own, 0)
+    rare, hot = hot_part(order, of, hot_class)
+    told: tuple = (None, None, None, None)
+    if hot is not None:
+        first = len(hot) - -(-len(hot) * NUMERATOR // DENOMINATOR) + 1
+        told = xxhash.xxh3_128_digest(np.sort(hot).tobytes()), len(hot), hot[:first].view(np.int64), parity_map(hot)
+    return (len(own), xxhash.xxh3_128_digest(own.tobytes()), parity_map(own), fine_map(own), found.view(np.int64), matches, rare, *told)
 
 
 def _sizes_allow(a: str, b: str) -> Column:
@@ -181,48 +201,73 @@ def _finely_allowed(pairs: DataFrame, maps: DataFrame, rows_at_once: int = 256)
     return rows.mapInArrow(allow, f"a {kind}, b {kind}")
 
 
-def _small_pairs(small: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets of ``SMALL`` elements at most that may link, from rows (id, n, whole).
-
-    Such sets share all elements of one and all but two of the other, or all but
-    one of each. So they are found by the exclusive or of their elements' hashes
-    without none, one or two of them. Sets that are alike without one element
-    each link pairwise or not at all, thus each is held against the first alone:
-    the pairs grow with the sets, not with their square.
-    """
-    all_of = F.aggregate("whole", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
-    row = lambda key, out: F.struct(key.alias("key"), (F.col("n") - out).alias("left"), F.lit(out).alias("out"))
-    one = F.transform("whole", lambda x: row(F.col("all").bitwiseXOR(x), 1))
-    tail = lambda x: F.filter("whole", lambda y: y > x)
-    two = F.flatten(F.transform("whole", lambda x: F.transform(tail(x), lambda y: row(F.col("all").bitwiseXOR(x).bitwiseXOR(y), 2))))
-    keys = small.withColumn("all", all_of).select("id", F.explode(F.concat(F.array(row(F.col("all"), 0)), one, F.when(F.col("n") >= 10, two).otherwise(F.array_except(one, one)))).alias("k"))
-    keys = staged(keys.select("id", "k.*"), "small-keys")
-    firsts = keys.groupBy("key", "left").agg(
-        F.min(F.when(F.col("out") == 0, F.col("id"))).alias("full"), F.min(F.when(F.col("out") == 1, F.col("id"))).alias("first"), F.count(F.lit(1)).alias("rows")
-    )
-    firsts = staged(firsts.where("rows > 1"), "small-firsts")
-    met = join_groups(keys, firsts, ["key", "left"], firsts.agg(F.sum("rows")).first()[0] or 0, "rows")
-    pairs = met.select("id", F.explode(F.array_compact(F.array("full", F.when(F.col("out") == 1, F.col("first"))))).alias("other")).where("id <> other")
-    return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+def _most_sizes(shared: Column) -> Column:
+    """The largest sum of two sets' sizes that so many shared elements link."""
+    return F.floor(F.lit(NUMERATOR + DENOMINATOR) * shared / F.lit(NUMERATOR)).cast("int")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, least_bits: int = 1 << 23, most_bits: int = 1 << 30, rows_at_once: int = 256, broadcast_pairs: int = 500_000) -> DataFrame:
-    """The pairs (a, b) whose whole sets link.
+def _hot_links(sets: DataFrame, parts: DataFrame, texts: DataFrame, classes: np.ndarray, words: int, hot_class: int) -> DataFrame:
+    """Links (a, b) by hot elements alone that join all sets which hot elements alone link, from rows (id, doc_id, n, hot_digest, hot_n, hot_prefix, hot_parity).
 
-    Only texts in a pair are shingled again: a bitmap of 16 bits for each pair,
-    128 MB at most, picks them, and the joins drop those it let through by chance. The table of pairs holds
-    ids alone; it is broadcast to the sets up to ``broadcast_pairs`` rows, so
-    that sets move once, with their pair.
+    Sets with the same hot part are one group, however many; what two groups
+    share links their sets up to a sum of sizes. So each set is held against one
+    set only: the smallest of the group with which it may be largest (of its own
+    group, or of one of those that share enough with it). The smallest sets of
+    the groups are held against each other. Links so grow with the sets; what is
+    compared are groups.
+    """
+    own = sets.where("hot_digest IS NOT NULL").join(parts, "id", "left").withColumn("part", F.coalesce("component_id", "id")).drop("component_id")
+    own = staged(own.select("id", "doc_id", "n", "part", "hot_digest", "hot_n", "hot_prefix", "hot_parity"), "hot-sets")
+    groups = own.groupBy(F.col("hot_digest").alias("g"), F.col("hot_n").alias("n")).agg(
+        F.min(F.struct("n", "id", "doc_id")).alias("least"), F.count(F.lit(1)).alias("sets"), F.min("part").alias("low"), F.max("part").alias("high"),
+        F.first("hot_prefix").alias("prefix"), F.first("hot_parity").alias("parity"),
+    )
+    groups = staged(groups, "hot-groups")
+    entries = groups.select("g", "n", F.lit(1).alias("matches"), F.col("least.n").alias("least_n"), "low", "high", "parity", F.posexplode("prefix").alias("at", "token"))
+    x, y = entries.alias("x"), entries.alias("y")
+    apart = ~((F.col("x.low") == F.col("x.high")) & (F.col("x.low") == F.col("y.low")) & (F.col("y.low") == F.col("y.high")))
+    may = F.col("x.least_n") + F.col("y.least_n") <= _most_sizes(F.least("x.n", "y.n"))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.g") < F.col("y.g")) & _sizes_allow("x", "y") & _places_allow("x", "y") & apart & may & _parity_allows("x", "y"))
+    pairs = met.select(F.col("x.g").alias("g"), F.col("y.g").alias("h")).distinct()
+    leasts = groups.select("g", "n", "least")
+    pairs = staged(pairs.join(leasts.select("g", F.col("least").alias("one")), "g").join(leasts.select(F.col("g").alias("h"), F.col("least").alias("two")), "h"), "hot-pairs")
+    if pairs.isEmpty():
+        common = pairs.select("g", "h", "one", "two", F.lit(0).alias("shared"))
+    else:
+        ids = pairs.select(F.col("one.id").alias("a"), F.col("two.id").alias("b"), F.col("one.doc_id").alias("a_doc"), F.col("two.doc_id").alias("b_doc"))
+        counted = _counted(ids.distinct(), texts, words, (classes, hot_class)).select("a", "b", "common")
+        common = pairs.join(counted, (F.col("one.id") == F.col("a")) & (F.col("two.id") == F.col("b"))).select("g", "h", "one", "two", F.col("common").alias("shared"))
+    common = staged(common, "hot-common")
+    most = _most_sizes(F.col("shared"))
+    between = common.where(F.col("one.n") + F.col("two.n") <= most).select(F.col("one.id").alias("a"), F.col("two.id").alias("b"))
+    reach = lambda g, to: common.select(F.col(g).alias("g"), (most - F.col(f"{to}.n")).alias("most_n"), F.col(f"{to}.id").alias("to"))
+    reaches = groups.select("g", (_most_sizes(F.col("n")) - F.col("least.n")).alias("most_n"), F.col("least.id").alias("to")).unionByName(reach("g", "two")).unionByName(reach("h", "one"))
+    best = reaches.groupBy("g").agg(F.max(F.struct("most_n", "to")).alias("best")).join(groups.select("g", "sets"), "g")
+    best = staged(best.select(F.col("g").alias("hot_digest"), "best.*", "sets"), "hot-best")
+    members = join_groups(own.select("id", "n", "hot_digest"), best, ["hot_digest"], own.count(), "sets").where("n <= most_n AND id <> to")
+    return between.unionByName(members.select(F.col("id").alias("a"), F.col("to").alias("b")))
+
+
+def _counted(pairs: DataFrame, texts: DataFrame, words: int, hot: tuple[np.ndarray, int] | None = None, least_bits: int = 1 << 23, most_bits: int = 1 << 30, rows_at_once: int = 256, broadcast_pairs: int = 500_000) -> DataFrame:
+    """Pairs (a, b, a_doc, b_doc) of sets with n_a, n_b and common, counted on the whole sets, or on their hot parts.
+
+    Sets are known by their digest; a text with that of ``a`` is that of the
+    document ``a_doc``. Only texts in a pair are shingled again: a bitmap of 16
+    bits for each pair, 128 MB at most, picks them, and the joins drop those it
+    let through by chance. The table of pairs holds digests alone; it is
+    broadcast to the sets up to ``broadcast_pairs`` rows, so that sets move once, with their pair.
     """
     spark, n_pairs = texts.sparkSession, pairs.count()
     filter_bits = min(max(least_bits, 1 << (16 * n_pairs).bit_length()), most_bits)
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(filter_bits))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(place("id").alias("at")).distinct()
+    wanted = pairs.select(F.explode(F.array("a_doc", "b_doc")).alias("id")).select(place("id").alias("at")).distinct()
     bits = wanted.groupBy(F.floor(F.col("at") / 32_768).cast("int").alias("row")).agg(F.bitmap_construct_agg(F.col("at") % 32_768).alias("bits"))
     bitmap = np.zeros(filter_bits // 8, np.uint8)
     for r in bits.collect():  # at most filter_bits / 32768 rows
         bitmap[r["row"] * 4_096 : (r["row"] + 1) * 4_096] = np.frombuffer(r["bits"], np.uint8)
     shared = spark.sparkContext.broadcast(bitmap)
+    classes = spark.sparkContext.broadcast(hot[0]) if hot else None
+    hot_class = hot[1] if hot else None
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def chosen() -> Iterator[pa.RecordBatch]:
@@ -232,31 +277,41 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, least_bits: int =
 
         for batch in blocks(chosen(), rows_at_once):
             found = shingle_sets(batch.column(1).to_pylist(), words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in found], pa.binary())], ["id", "elements"])
+            kept = found if classes is None else [own[classes.value[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] >= hot_class] for own in found]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()), pa.array([s.tobytes() for s in kept], pa.binary())], ["id", "elements"]
+            )
 
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    found = texts.where("doc_id IS NOT NULL").withColumn("at", place("doc_id")).mapInArrow(sets, f"id {kind}, elements binary")
+    found = texts.where("doc_id IS NOT NULL").withColumn("at", place("doc_id")).mapInArrow(sets, "id binary, elements binary")
     found = staged(found, "sets")
-    narrow = F.broadcast(pairs) if n_pairs <= broadcast_pairs else pairs
+    narrow = pairs.select("a", "b")
+    narrow = F.broadcast(narrow) if n_pairs <= broadcast_pairs else narrow
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, rows_at_once, column=2):
-            keep = []
+            sizes = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = np.sort(np.concatenate([x, y]), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(DENOMINATOR * common >= NUMERATOR * (len(x) + len(y) - common))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                sizes.append((len(x), len(y), int((both[1:] == both[:-1]).sum())))
+            columns = zip(*sizes, strict=True) if sizes else [[]] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in columns)], ["a", "b", "n_a", "n_b", "common"])
 
     joined = found.select(F.col("id").alias("a"), F.col("elements").alias("x")).join(narrow, "a").join(
         found.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b"
     )
-    return joined.select("a", "b", "x", "y").mapInArrow(link, f"a {kind}, b {kind}").distinct()
+    return joined.select("a", "b", "x", "y").mapInArrow(count, "a binary, b binary, n_a bigint, n_b bigint, common bigint").distinct()
 
 
-def near_duplicate_components(documents: DataFrame, words: int = 5) -> DataFrame:
-    """Link documents whose shingle sets have a Jaccard similarity of 0.8 or more: doc_id, n_shingles, component_id.
+def _verified(pairs: DataFrame, docs_of: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets link; ``docs_of`` has a document for each set (id, doc_id)."""
+    of = lambda side: docs_of.select(F.col("id").alias(side), F.col("doc_id").alias(f"{side}_doc"))
+    whole = staged(pairs.join(of("a"), "a").join(of("b"), "b"), "pairs-of-documents")
+    return _counted(whole, texts, words).where(F.col("common") * DENOMINATOR >= (F.col("n_a") + F.col("n_b") - F.col("common")) * NUMERATOR).select("a", "b")
+
+
+def near_duplicate_components(documents: DataFrame, words: int = 5, hot_class: int = HOT_CLASS) -> DataFrame:
+    """Link documents whose shingle sets have a Jaccard similarity of 0.8 or more: doc_id, n_shingles, component_id, text_hash.
 
     Words are cut at space and 0x09 to 0x0D with A-Z lower-cased. The links
     returned are whole: no cap, no sampling.
@@ -274,28 +329,30 @@ def near_duplicate_components(documents: DataFrame, words: int = 5) -> DataFrame
        can't rule out, is verified. This finds all that step 3 left. A pair
        that shares some of its lowest remaining tokens, as all very similar
        ones do, is found at the lowest of these alone and needs no more matches.
-       Lists of more than ``LIST`` entries are split over tasks; two small sets
-       don't meet there, but by what is left of them without one or two
-       elements (``_small_pairs``), which takes time in proportion to their
-       number. Larger sets that all share a frequent shingle, and don't link,
-       still take time by the square of the list's length, in tasks of bounded size.
+       Hot shingles, those of ``hot_class`` or more, have no list here: a pair
+       either shares a rarer one in its prefixes, or what it shares is all hot.
+       Such pairs are joined by groups of the same hot part (``_hot_links``),
+       so that documents of a template, which share most of it and differ too
+       much to link, are never held against each other. Lists of more than
+       ``LIST`` entries are split over tasks. What is left that may take time by
+       a square are different hot parts that share hot shingles.
 
     Null and empty texts have no shingle and link with nothing. Repeated rows of
-    an id are returned one by one. A row with a null id gets the component of its
-    class, null if all of it are null. Other columns are ignored.
+    an id are returned one by one; where their texts differ, each has the
+    component of its own text. A row with a null id gets the component of its
+    class, null if all of it are null. Other columns are ignored. ``text_hash``
+    (xxhash64 of the text in UTF-8) tells rows of one id apart.
     """
     texts = documents.select("doc_id", utf8().alias("text"))
     sketch = frequency_sketch(texts, lambda own: np.concatenate([np.empty(0, np.uint64), *shingle_sets(own, words)]))
     classes = frequency_classes(sketch)
-    profiles = staged(_profiles(texts, classes, words), "profiles")
-    sets = (
-        profiles.where("n > 0 AND doc_id IS NOT NULL")
-        .groupBy("digest", "n")
-        .agg(F.min("doc_id").alias("id"), F.min_by(F.struct("parity", "fine", "prefix", "matches", "whole"), "doc_id").alias("own"))
-        .select("id", "n", "digest", "own.*")
-    )
-    sets = staged(sets, "sets")
-    entries = sets.select("id", "n", "matches", F.posexplode("prefix").alias("at", "token"))
+    profiles = staged(_profiles(texts, classes, words, hot_class), "profiles")
+    own = F.struct(*(c for c in PROFILE if c not in ("n", "digest")))
+    sets = profiles.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest", "n").agg(F.min("doc_id").alias("doc_id"), F.min_by(own, "doc_id").alias("own"))
+    sets = staged(sets.select(F.col("digest").alias("id"), "doc_id", "n", "own.*"), "sets")
+    docs_of = sets.select("id", "doc_id")
+    asked = F.when(F.size("prefix") > F.col("rare"), 1).otherwise(F.col("matches"))  # of entries without those of hot shingles
+    entries = sets.select("id", "n", "matches", asked.alias("asked"), "rare", F.posexplode("prefix").alias("at", "token"))
     lists = staged(entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "lists")
     total = lists.agg(F.sum("df")).first()[0] or 0
     entries = staged(join_groups(entries, lists, ["token"], total, "df"), "entries")
@@ -318,11 +375,16 @@ def near_duplicate_components(documents: DataFrame, words: int = 5) -> DataFrame
     )
     possible = staged(possible, "near")
     fine = sets.select("id", "n", "fine")
-    first = staged(_verified(staged(_finely_allowed(possible, fine), "near"), texts, words), "first-links")
+    first = staged(_verified(staged(_finely_allowed(possible, fine), "near"), docs_of, texts, words), "first-links")
     parts = connected_components(first)
 
-    # Step 4: all other pairs that may link, across components.
-    entries = entries.drop("df").join(parts, "id", "left").withColumn("part", F.coalesce("component_id", "id")).drop("component_id")
+    # Step 4: all other pairs that may link, across components; first those that share hot shingles alone.
+    by_hot = staged(_hot_links(sets, parts, texts, classes, words, hot_class), "hot-links")
+    if not by_hot.isEmpty():
+        first = staged(first.unionByName(by_hot), "first-links")
+        parts = connected_components(first)
+    entries = entries.where("at < rare").withColumn("matches", F.col("asked")).drop("df", "asked", "rare")
+    entries = entries.join(parts, "id", "left").withColumn("part", F.coalesce("component_id", "id")).drop("component_id")
     mixed_lists = entries.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("df"))
     mixed_lists = staged(mixed_lists.where("low < high").select("token", "df"), "mixed-lists")
     across = staged(join_groups(entries, mixed_lists, ["token"], total, "df"), "across")
@@ -331,21 +393,20 @@ def near_duplicate_components(documents: DataFrame, words: int = 5) -> DataFrame
     across = narrow.join(low, "id").join(maps.drop("n"), "id")
     lowest = F.array_min(F.array_intersect("x.low", "y.low"))
     met = across.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    meets = across.where((F.col("blocks") == 1) | (F.col("n") > SMALL)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    only_once = (F.col("x.id") < F.col("y.id")) | ((F.col("x.blocks") > 1) & (F.col("x.n") <= SMALL))  # small sets don't come from the right there
+    meets = across.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = (
         met.alias("x")
         .join(
             meets.alias("y"),
             (F.col("x.token") == F.col("y.token"))
             & (F.col("x.block") == F.col("y.block"))
-            & only_once
+            & (F.col("x.id") < F.col("y.id"))
             & (F.col("x.part") != F.col("y.part"))
             & _sizes_allow("x", "y")
             & _parity_allows("x", "y")
             & F.coalesce(lowest == F.col("x.token"), _places_allow("x", "y")),
         )
-        .groupBy(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+        .groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         .agg(
             F.count(F.lit(1)).alias("shared"),
             F.first(F.when(lowest.isNull(), F.least("x.matches", "y.matches")).otherwise(1)).alias("asked"),
@@ -353,19 +414,16 @@ def near_duplicate_components(documents: DataFrame, words: int = 5) -> DataFrame
         .where("shared >= asked")
         .select("a", "b")
     )
-    long_lists = narrow.where("blocks > 1").select("id").distinct()
-    if not long_lists.isEmpty():
-        small = sets.where(F.col("n") <= SMALL).join(long_lists, "id", "left_semi").select("id", "n", "whole")
-        found = _small_pairs(small)
-        for side in ("a", "b"):
-            of = parts.select(F.col("id").alias(side), F.col("component_id").alias(f"part_{side}"))
-            found = found.join(of, side, "left").withColumn(f"part_{side}", F.coalesce(f"part_{side}", side))
-        pairs = pairs.unionByName(found.where("part_a <> part_b").select("a", "b")).distinct()
     pairs = pairs.join(possible, ["a", "b"], "left_anti")
-    second = _verified(staged(_finely_allowed(staged(pairs, "pairs"), fine), "pairs"), texts, words)
+    second = _verified(staged(_finely_allowed(staged(pairs, "pairs"), fine), "pairs"), docs_of, texts, words)
     parts = connected_components(first.unionByName(second))
 
-    classes_of = staged(sets.select("digest", "n", "id").join(parts, "id", "left").select("digest", "n", F.coalesce("component_id", "id").alias("class_id")), "classes")
-    return profiles.select("doc_id", "n", "digest").join(classes_of, ["digest", "n"], "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("component_id")
+    # Digests tell the sets apart so far; a component's name is its smallest document.
+    linked = staged(parts.join(docs_of, "id"), "linked")
+    named = staged(linked.groupBy("component_id").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("sets")), "named")
+    renamed = join_groups(linked.select("id", "component_id"), named, ["component_id"], linked.count(), "sets").select("id", "class_id")
+    alone = docs_of.join(parts, "id", "left_anti").select("id", F.col("doc_id").alias("class_id"))
+    classes_of = staged(renamed.unionByName(alone).withColumnRenamed("id", "digest"), "classes")
+    return profiles.select("doc_id", "text_hash", "n", "digest").join(classes_of, "digest", "left").select(
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("component_id"), "text_hash"
     )

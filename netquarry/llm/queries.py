@@ -62,7 +62,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_components(_table(spark, sf_dir, "documents"))
+    return near_duplicate_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,8 @@ def test_fine_maps_never_claim_too_much():
 
 
 @pytest.mark.parametrize("sizes", [(6, 16), (9, 40)])
-def test_long_lists_are_whole(spark, monkeypatch, sizes):
+@pytest.mark.parametrize("hot_class", [1, 5, 10])
+def test_long_lists_are_whole(spark, monkeypatch, sizes, hot_class):
     """Templates that all documents share, so that every list is long: small sets, large ones and both."""
     from netquarry.llm import ngram_join
 
@@ -57,12 +58,40 @@ def test_long_lists_are_whole(spark, monkeypatch, sizes):
             own = [f"p{rng.integers(4)}", *own]
         texts.append(" ".join(own))
     expected = brute_components(list(enumerate(texts, 1)))
-    found = near_duplicate_components(docs(spark, texts).repartition(4)).collect()
+    found = near_duplicate_components(docs(spark, texts).repartition(4), hot_class=hot_class).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == expected
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_links_by_hot_shingles_alone(spark, monkeypatch, seed):
+    """Documents of shared blocks and a few words of their own, about the limit; most of what links them is hot."""
+    from netquarry.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "SORTED_LIST", 3)
+    rng = np.random.default_rng(seed)
+    blocks = [[f"b{k}x{i}" for i in range(int(rng.integers(6, 30)))] for k in range(5)]
+    texts = []
+    for n in range(300):
+        own = [w for k in rng.choice(5, int(rng.integers(1, 4)), replace=False) for w in blocks[k]]
+        own = own[int(rng.integers(0, 3)) : len(own) - int(rng.integers(0, 3))]
+        texts.append(" ".join([*own, *(f"u{n}y{i}" for i in range(int(rng.integers(0, 9))))]))
+    expected = brute_components(list(enumerate(texts, 1)))
+    assert 20 < len({c for _, c in expected.values()}) < 300
+    found = near_duplicate_components(docs(spark, texts).repartition(4), hot_class=4).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == expected
 
 
-def test_templated_documents_take_linear_time(spark):
-    """Eight of ten shingles are everyone's, which links no two: no task compares all with all."""
-    texts = [" ".join([f"t{i}" for i in range(12)] + [f"a{i}", f"b{i}"]) for i in range(12_000)]
+@pytest.mark.parametrize(("shared", "own"), [(12, 2), (18, 2), (57, 8)])
+def test_templated_documents_take_linear_time(spark, shared, own):
+    """Most of their shingles are everyone's, which links no two: no task compares all with all."""
+    texts = [" ".join([*(f"t{i}" for i in range(shared)), *(f"a{k}b{i}" for k in range(own))]) for i in range(12_000)]
     found = near_duplicate_components(docs(spark, texts).repartition(8))
     assert found.where("component_id = doc_id").count() == len(texts)
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(30))
+    rows = spark.createDataFrame([(1, text), (2, text + " more"), (2, other), (3, other + " x"), (3, text + " more")], "doc_id long, text string")
+    found = {(r.doc_id, r.n_shingles): r.component_id for r in near_duplicate_components(rows).collect()}
+    assert found == {(1, 56): 1, (2, 57): 1, (2, 26): 2, (3, 27): 2, (3, 57): 1}
