@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .common import CACHES, blocks, claim_worker, text_of
 
 _NO_WORD = re.compile(r"[\W_]+")
+#: Characters of scripts that set no spaces between words (Thai, Lao, Burmese, Khmer, kana, Han); each counts as a word.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 #: Steps of the walk for each word of an item; as the pointer moves half the time, few walks pass the item's end by then.
 STRETCH = 1.5
 
@@ -29,6 +31,13 @@ def plain_word(token: str) -> str:
     return lowered if lowered.isalnum() else _NO_WORD.sub("", lowered)
 
 
+def tokens_of(text: str) -> list[str]:
+    """The parts of a text between white space; characters of scripts without spaces stand alone."""
+    if not text.isascii() and _UNSPACED.search(text):
+        text = _UNSPACED.sub(r" \g<0> ", text)
+    return text.split()
+
+
 @dataclass
 class Items:
     """A block of benchmark items as arrays of word numbers from 1, by length in words, with their LSH tables."""
@@ -216,7 +225,7 @@ def _found(texts: list[str | None], items: Items) -> Iterator[tuple[int, object,
     gap = np.zeros(items.longest, np.int32)
     parts, spans, at = [], [], 0
     for text in texts:
-        tokens = text.split() if text else []
+        tokens = tokens_of(text) if text else []
         own = np.fromiter(map(numbers.__getitem__, tokens), np.int32, len(tokens))
         own = own[own >= 0]
         parts += [own, gap]
@@ -238,7 +247,7 @@ def item_blocks(
     repetitions = max(1, math.ceil(math.log(1 - recall) / math.log(1 - agreement**sampled)))
     block, held = Items({}, {}, share, repetitions, sampled, seed), 0
     for row in benchmark.select("item_id", "text").where("text IS NOT NULL").toLocalIterator():
-        words = [w for w in map(plain_word, row["text"].split()) if w]
+        words = [w for w in map(plain_word, tokens_of(row["text"])) if w]
         if not words:
             continue
         if held > block_bytes:
@@ -256,7 +265,8 @@ def find_contaminated(documents: DataFrame, benchmark: DataFrame, rows_at_once:
 
     An item occurs if some part of the text is within ``share`` (0.2) of the
     item's words in insertions, deletions and replacements of words; words are
-    compared without case and signs. Only documents with an item have rows, one
+    compared without case and signs, and each character of a script without
+    spaces is a word. Only documents with an item have rows, one
     for each item: its place of fewest edits, as words of the text. Items are
     broadcast in blocks of bounded size, a pass over the texts for each; texts are
     never shuffled. Copies with no edit are always found, whatever their length,

@@ -25,12 +25,8 @@ ENCODINGS = (
     ("[0-9A-Za-z]+", lambda c: c, "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     (".*", lambda c: c, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 )
-#: The same as parts of one pattern that consumes them, each with its least length.
-BASE_PARTS = (
-    r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8,}+""",
-    "AKIA[A-Z0-9]{12,}+",
-    "[0-9a-f]{32,}+",
-)
+#: Characters of the base-64 alphabets, whose stretches go to the battery.
+STRETCH = "[A-Za-z0-9+/_=-]"
 #: Matches whose places are summed up at once.
 BLOCK = 256
 #: Steps of a p-value's logarithm in the histogram that sets the threshold, and the bin of the smallest.
@@ -78,6 +74,22 @@ def _matches(text: Column, pattern: str, group: int, least: int, keep_text: bool
     return F.when(text.rlike(pattern), _bound(_bound(pieces, in_blocks), shifted)).otherwise(F.array().cast(kind))
 
 
+def _masked(text: Column, pattern: str, group: int, least: int) -> Column:
+    """The text with spaces in the place of the matches that ``_matches`` reports; those it drops stay as they are."""
+    pieces = F.arrays_zip(
+        F.split(text, pattern, -1).alias("before"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"),
+    )
+
+    def part(piece: Column) -> Column:
+        match = F.coalesce(piece["match"], F.lit(""))
+        good = F.coalesce(F.char_length(piece["value"]) >= least, F.lit(False))
+        return F.concat(piece["before"], F.when(good, F.repeat(F.lit(" "), F.char_length(match))).otherwise(match))
+
+    return F.when(text.rlike(pattern), F.array_join(F.transform(pieces, part), "")).otherwise(text)
+
+
 def _upper_tail(z: Column) -> Column:
     """The chance that a standard normal variable is above z, z not negative (absolute error below 1e-7)."""
     t = 1 / (1 + F.lit(0.2316419) * z)
@@ -170,9 +182,9 @@ def find_secrets(documents: DataFrame, least_random: int = 20, false_discovery:
     """Secrets in whole texts: doc_id and spans as (start, kind, end), sorted; kind is a place in ``KINDS``.
 
     Three kinds are fixed patterns. The fourth, random, are stretches of
-    ``least_random`` characters or more of the base-64 alphabets, cut where one
-    of the others begins or ends, that the randomness battery doesn't take for
-    ordinary text. The battery's p-values, over all documents,
+    ``least_random`` characters or more of the base-64 alphabets, without the
+    places of the others, that the randomness battery doesn't take for ordinary
+    text. The battery's p-values, over all documents,
     are held against the false-discovery rate aimed at by the step-up rule, each
     weighted by the length of its string, as long ones tell more: of those taken
     for ordinary text at most that share is random. The threshold comes from a
@@ -190,9 +202,10 @@ def find_secrets(documents: DataFrame, least_random: int = 20, false_discovery:
             for kind, (_, pattern, group, least) in enumerate(PATTERNS)
         )
     )
-    parts = "|".join(BASE_PARTS)
-    stretches = _matches(text, f"{parts}|((?:(?!{parts})[A-Za-z0-9+/_=-]){{{least_random},}}+)", 1, least_random, keep_text=True)
-    own = own.select("doc_id", base.alias("base"), stretches.alias("stretches"))
+    own = own.select("doc_id", base.alias("base"), text)
+    for _, pattern, group, least in PATTERNS:
+        own = own.withColumn("text", _masked(text, pattern, group, least))
+    own = own.select("doc_id", "base", _matches(text, f"{STRETCH}{{{least_random},}}+", 0, least_random, keep_text=True).alias("stretches"))
     free = F.filter("stretches", lambda x: F.char_length(F.rtrim(x["token"], F.lit("="))) > 1)
     tested = staged(own.select("doc_id", "base", _tested(free).alias("tested")), "tested")
 
