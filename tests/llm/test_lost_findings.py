@@ -25,7 +25,7 @@ def test_strings_behind_dropped_matches_are_found(spark):
     rows = [
         (1, "password=token:" + random_string(rng, 40), [("random", 15, 55)]),
         (2, "api_key:secret='" + random_string(rng, 40), [("random", 16, 56)]),
-        (3, "password=abcdefghij " + random_string(rng, 30), [("assign", 0, 19), ("random", 20, 50)]),
+        (3, "password=abcdefghij " + random_string(rng, 64), [("assign", 0, 19), ("random", 20, 84)]),
         (4, "\U0001f600 " + random_string(rng, 40), [("random", 2, 42)]),
     ]
     ordinary = [(k, "".join(rng.choice("etaoin") for _ in range(30)), []) for k in range(10, 60)]
