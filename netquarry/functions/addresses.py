@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,22 +14,34 @@ from .network import ipv4_number
 MAPPED, MAPPED_BITS = "0" * 20 + "ffff", 96
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed, and written in the plan, once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def address_key(address: Column) -> Column:
     """128 bits as 32 hexadecimal digits, which order as the addresses do; null for what is no address. Zones (%eth0) are left out."""
-    own = F.regexp_replace(F.lower(F.trim(address)), "%.*$", "")
-    tail = F.regexp_extract(own, r"([0-9.]+)$", 1)
-    number = ipv4_number(tail)
-    pair = F.concat(F.lower(F.hex(F.shiftright(number, 16))), F.lit(":"), F.lower(F.hex(number.bitwiseAND(0xFFFF))))
-    v6 = F.when(tail.contains("."), F.concat(F.regexp_replace(own, r"[0-9.]+$", ""), pair)).otherwise(own)
-    halves = F.split(v6, "::", -1)
-    groups = lambda half: F.filter(F.split(half, ":"), lambda x: x != "")
-    left, right = groups(F.get(halves, F.lit(0))), groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
-    missing = F.when(F.size(halves) == 2, F.greatest(8 - F.size(left) - F.size(right), F.lit(0))).otherwise(0)
-    whole = F.concat(left, F.array_repeat(F.lit("0"), missing), right)
-    sound = (F.size(whole) == 8) & (F.size(halves) <= 2) & F.forall(whole, lambda x: x.rlike("^[0-9a-f]{1,4}$")) & ~v6.rlike(":::|^:[^:]|[^:]:$")
-    found = F.when(sound, F.array_join(F.transform(whole, lambda x: F.lpad(x, 4, "0")), ""))
-    v4 = F.concat(F.lit(MAPPED), F.lpad(F.lower(F.hex(ipv4_number(own))), 8, "0"))
-    return F.when(own.contains(":"), found).otherwise(v4)
+
+    def with_hex_tail(own: Column) -> Column:
+        """The IPv6 address with a dotted end written as two groups."""
+        pair = lambda n: F.concat(F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(0xFFFF))))
+        tail = ipv4_number(F.regexp_extract(own, r"([0-9.]+)$", 1))
+        return F.when(own.contains("."), F.concat(F.regexp_replace(own, r"[0-9.]+$", ""), _bound(tail, pair))).otherwise(own)
+
+    def groups(v6: Column) -> Column:
+        """The eight groups of an IPv6 address, those that :: leaves out filled in."""
+        some = lambda half: F.filter(F.split(half, ":"), lambda x: x != "")
+        filled = lambda left, right: F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - F.size(left) - F.size(right), F.lit(0))), right)
+        halves = lambda h: F.when(F.size(h) == 2, _bound(some(h[0]), lambda left: _bound(some(h[1]), lambda right: filled(left, right)))).when(F.size(h) == 1, some(h[0]))
+        return F.when(~v6.rlike(":::|^:[^:]|[^:]:$"), _bound(F.split(v6, "::", -1), halves))
+
+    def joined(whole: Column) -> Column:
+        sound = (F.size(whole) == 8) & F.forall(whole, lambda x: x.rlike("^[0-9a-f]{1,4}$"))
+        return F.when(sound, F.array_join(F.transform(whole, lambda x: F.lpad(x, 4, "0")), ""))
+
+    v6 = lambda own: _bound(_bound(with_hex_tail(own), groups), joined)
+    v4 = lambda own: F.concat(F.lit(MAPPED), F.lpad(F.lower(F.hex(ipv4_number(own))), 8, "0"))
+    return _bound(F.regexp_replace(F.lower(F.trim(address)), "%.*$", ""), lambda own: F.when(own.contains(":"), v6(own)).otherwise(v4(own)))
 
 
 def prefix_of(network: str) -> tuple[str, int]:
@@ -39,14 +52,14 @@ def prefix_of(network: str) -> tuple[str, int]:
     return f"{int(own.network_address):032x}", own.prefixlen
 
 
-def leading_bits(key: Column, bits: int | Column) -> Column:
-    """The key with all but its leading bits set to zero; a string of 32 digits again."""
-    bits = F.lit(bits) if isinstance(bits, int) else bits
-    digits = F.floor(bits / 4).cast("int")
-    part = F.conv(F.substring(key, digits + 1, F.lit(1)), 16, 10).cast("int")
-    rest = F.pmod(bits, F.lit(4))
-    kept = F.lower(F.hex(part - F.pmod(part, F.pow(F.lit(2), 4 - rest).cast("int"))))
-    return F.rpad(F.concat(F.substring(key, F.lit(1), digits), F.when(rest > 0, kept).otherwise("")), 32, "0")
+def leading_bits(key: Column, bits: int) -> Column:
+    """The key with all but so many leading bits set to zero; 32 digits again."""
+    digits, rest = divmod(bits, 4)
+    head = F.substring(key, 1, digits)
+    if rest:
+        step = 1 << (4 - rest)
+        head = F.concat(head, F.translate(F.substring(key, digits + 1, 1), "0123456789abcdef", "".join(f"{n - n % step:x}" for n in range(16))))
+    return F.rpad(head, 32, "0")
 
 
 def within(address: Column, network: str) -> Column:

@@ -25,9 +25,9 @@ def bursts(changes: DataFrame, key: str, least: int, seconds: float) -> DataFram
 
 
 def oscillations(changes: DataFrame, key: str, seconds: float, tie: str = "event_id") -> DataFrame:
-    """The first time that a key's new value is again that of two changes before, within so many seconds."""
+    """The first time that a key's new value is again that of two changes before, within so many seconds; rows (at, old, new) that change nothing don't count."""
     order = W.partitionBy(key).orderBy("at", tie)
-    rows = changes.select(key, "at", "new", F.lag("new", 2).over(order).alias("earlier"), F.lag("at", 2).over(order).alias("earlier_at"))
+    rows = changes.where("old <> new").select(key, "at", "new", F.lag("new", 2).over(order).alias("earlier"), F.lag("at", 2).over(order).alias("earlier_at"))
     hits = rows.where((F.col("new") == F.col("earlier")) & (F.col("at") - F.col("earlier_at")).between(0, int(seconds * 1_000_000)))
     return hits.groupBy(key).agg(F.min("at").alias("at_micros"))
 

@@ -47,11 +47,21 @@ def techniques(findings: DataFrame, rules: list[dict], text: str) -> DataFrame:
     return findings.withColumns({"technique": best["technique"], "score": -best["less"]})
 
 
-def signal(level: Column, evidence: Column, peers: Column, count: Column, valued: Column, noisy: Column) -> Column:
-    """How much a finding tells: its severity's base, a point each for evidence, peers, count and a valued kind, less two if its kind is noisy."""
-    points = [(evidence >= 2).cast("int"), (peers >= 3).cast("int"), (count >= 5).cast("int"), valued.cast("int"), -2 * noisy.cast("int")]
-    bare = (severity(level) == "warning") & (evidence == 0) & (peers <= 1) & (count < 5)
-    return reduce(add, points, by_value(severity(level), SIGNAL_BASES, 0)) - bare.cast("int")
+def signal(level: Column, evidence: Column, peers: Column, count: Column, valued: Column, noisy: Column, doubtful: Column, recon: Column) -> Column:
+    """How much a finding tells: its severity's base; a point each for evidence, peers, count and a valued kind; two less if its kind is noisy.
+
+    A warning has one less if its kind is doubtful and little is behind it, and
+    one less if nothing is; reconnaissance has one more if it is wide.
+    """
+    warning = severity(level) == "warning"
+    few = doubtful & (evidence <= 1) & (peers <= 2)
+    bare = (evidence == 0) & (peers <= 1) & (count < 5)
+    wide = recon & ((count >= 10) | (peers >= 5))
+    points = [
+        (evidence >= 2).cast("int"), (peers >= 3).cast("int"), (count >= 5).cast("int"), valued.cast("int"), -2 * noisy.cast("int"),
+        -(warning & few).cast("int"), -(warning & bare).cast("int"), wide.cast("int"),
+    ]
+    return reduce(add, points, by_value(severity(level), SIGNAL_BASES, 0))
 
 
 def host_scores(findings: DataFrame, host: str, level: str, kind: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.labels import CLIENTS
@@ -19,25 +20,35 @@ MODBUS_WRITES = (5, 6, 15, 16, 22, 23)
 
 
 def dns_exchanges(messages: DataFrame) -> DataFrame:
-    """Queries with their first answer: client, server, txid, qname, asked_ts, answered_ts, rcode; answers without a query have no asked_ts."""
-    query = F.struct(F.col("src").alias("client"), F.col("sport").alias("port"), F.col("dst").alias("server"))
-    answer = F.struct(F.col("dst").alias("client"), F.col("dport").alias("port"), F.col("src").alias("server"))
-    rows = messages.select("capture", F.when(F.col("is_response"), answer).otherwise(query).alias("ends"), "txid", "qname", "is_response", "ts", "rcode")
-    first = lambda c, when: F.min(F.when(when, F.col(c)))
-    found = rows.groupBy("capture", "ends", "txid", "qname").agg(
-        first("ts", ~F.col("is_response")).alias("asked_ts"), first("ts", F.col("is_response")).alias("answered_ts"), F.min_by("rcode", F.when(F.col("is_response"), F.col("ts"))).alias("rcode")
+    """Queries with their answers: client, server, txid, qname, asked_ts, answered_ts, rcode.
+
+    Of a client, server and number one query is open at a time: a new one takes
+    the place of the last, and an answer closes it. Answers while none is open
+    have no asked_ts; those of number 0 are left out, as multicast ones have it.
+    """
+    is_response = F.col("is_response")
+    rows = messages.select(
+        "capture", F.when(is_response, F.col("dst")).otherwise(F.col("src")).alias("client"), F.when(is_response, F.col("src")).otherwise(F.col("dst")).alias("server"),
+        "txid", "qname", "is_response", "ts", "rcode", "pkt_no",
+    )
+    order = W.partitionBy("capture", "client", "server", "txid").orderBy("ts", "pkt_no")
+    row = rows.withColumns({"last": F.lag("is_response").over(order), "next": F.lead(F.struct("is_response", "ts", "rcode")).over(order)})
+    answered = F.col("next.is_response")
+    asked = row.where("NOT is_response").select(
+        "capture", "client", "server", "txid", "qname", F.col("ts").alias("asked_ts"), F.when(answered, F.col("next.ts")).alias("answered_ts"), F.when(answered, F.col("next.rcode")).alias("rcode")
     )
-    return found.select("capture", "ends.*", "txid", "qname", "asked_ts", "answered_ts", "rcode")
+    orphans = row.where("is_response AND coalesce(last, TRUE) AND txid <> 0")
+    return asked.unionByName(orphans.select("capture", "client", "server", "txid", "qname", F.lit(None).cast(messages.schema["ts"].dataType).alias("asked_ts"), F.col("ts").alias("answered_ts"), "rcode"))
 
 
 def dns_clients(messages: DataFrame, least: int = 20, least_unique: float = 0.75, long_label: int = 35, high_entropy: float = 3.6) -> DataFrame:
     """Clients' names, and whether they look like a tunnel: many, mostly different, with long or random labels."""
     label = F.substring_index("qname", ".", 1)
     asked = messages.where("NOT is_response AND qname IS NOT NULL").select(F.col("src").alias("client"), "qname", label.alias("label"))
-    names = asked.groupBy("client", "qname", "label").agg(F.count(F.lit(1)).alias("n"))
+    names = asked.groupBy("client", "qname", "label").agg(F.count(F.lit(1)).alias("n")).withColumn("label_entropy", entropy("label"))
     found = names.groupBy("client").agg(
         F.sum("n").alias("queries"), F.count(F.lit(1)).alias("names"), F.count_distinct(base_domain(F.col("qname"))).alias("domains"),
-        F.avg(entropy(F.col("label"))).alias("label_entropy"), F.max(F.char_length("label")).alias("longest_label"),
+        F.avg("label_entropy").alias("label_entropy"), F.max(F.char_length("label")).alias("longest_label"),
     )
     tunnel = (F.col("queries") >= least) & (F.col("names") >= least_unique * F.col("queries")) & ((F.col("longest_label") >= long_label) | (F.col("label_entropy") >= high_entropy))
     return found.withColumn("tunnel", tunnel)

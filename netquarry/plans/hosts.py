@@ -11,13 +11,6 @@ from ..functions import labels
 from ..operators import sessions, timing
 from .catalogue import _FLOWS, _flows, _table
 
-#: Examples of the queries weak_keys, mac_forms and masquerades, each with what is expected.
-KEYS = [("RSA", 1024, True), ("RSA", 2048, False), ("DSA", 1024, True), ("ECPublicKey", 192, True), ("ECDSA", 256, False), ("Ed25519", 256, False), ("other", 512, True), ("other", 1024, False), ("RSA", 0, False)]
-MACS = [("00-1A-2B-3C-4D-5E", "00:1a:2b:3c:4d:5e"), (" 001A.2B3C.4D5E ", "00:1a:2b:3c:4d:5e"), ("FF:FF:FF:FF:FF:FF", "ff:ff:ff:ff:ff:ff"), ("00:1a:2b", None), ("none", None)]
-FILES = [
-    ("image.gif", "EXE/DLL", True), ("setup.exe", "EXE/DLL", False), ("a.tar.JPG", "elf", True), ("lib.so", "ELF", False), ("noextension", "ELF", False), ("x.gif", "PNG", False),
-    ("a.docx", "ZIP/Office", False), ("dir.d/readme", "ELF", False), ("dir.d/read.me", "ELF", True),
-]
 _AS_OF = "1995-06-17"
 
 
@@ -84,14 +77,33 @@ def _newcomers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.newcomers(year(1996), year(1995), "o_custkey")
 
 
-def _examples(spark: SparkSession, rows: list[tuple], names: list[str], types: list[str], found: Callable[..., Column], name: str) -> DataFrame:
-    df = spark.createDataFrame([r[: len(names)] for r in rows], ", ".join(f"{n} {t}" for n, t in zip(names, types)))
-    return df.withColumn(name, found(*map(F.col, names)))
+def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as public keys of six kinds and eight sizes."""
+    kind = F.element_at(F.array(*map(F.lit, ("RSA", "DSA", "ECPublicKey", "ECDSA", "Ed25519", "other"))), (F.col("p_partkey") % 6 + 1).cast("int"))
+    bits = F.element_at(F.array(*map(F.lit, (0, 192, 255, 256, 512, 1_024, 2_048, 4_096))), (F.col("p_size") % 8 + 1).cast("int"))
+    return _table(spark, sf_dir, "part").groupBy(kind.alias("kind"), bits.alias("bits"), labels.weak_key(kind, bits).alias("weak")).agg(F.count(F.lit(1)).alias("keys"))
 
 
-def _values(rows: list[tuple], names: list[str]) -> str:
-    cell = lambda v: "NULL" if v is None else repr(v) if not isinstance(v, bool) else str(v).lower()
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) t({', '.join(names)})"
+def _macs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as hardware addresses in five forms, one of them cut short."""
+    digits = F.lpad(F.hex(F.col("c_custkey") * 7_919), 12, "0")
+    pairs = lambda sign: F.regexp_replace(digits, "(..)(?=.)", f"$1{sign}")
+    form = F.when(F.col("c_custkey") % 5 == 0, pairs("-")).when(F.col("c_custkey") % 5 == 1, F.lower(pairs(":"))).when(F.col("c_custkey") % 5 == 2, F.concat(F.lit(" "), F.regexp_replace(digits, "(....)(?=.)", "$1."), F.lit(" ")))
+    given = form.when(F.col("c_custkey") % 5 == 3, digits).otherwise(F.substring(digits, 2, 11))
+    return _table(spark, sf_dir, "customer").select("c_custkey", labels.mac_address(given).alias("mac"))
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as files of seven names and four kinds of contents."""
+    name = F.element_at(F.array(*map(F.lit, ("image.gif", "setup.exe", "a.tar.JPG", "lib.so", "noextension", "dir.d/readme", "dir.d/read.me"))), (F.col("p_partkey") % 7 + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, ("EXE/DLL", "elf", "PNG", "ZIP/Office"))), (F.col("p_size") % 4 + 1).cast("int"))
+    return _table(spark, sf_dir, "part").groupBy(name.alias("name"), kind.alias("file_type"), labels.masquerade(name, kind).alias("masquerade")).agg(F.count(F.lit(1)).alias("files"))
+
+
+def _grease(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items' numbers as TLS numbers in lists by order, of which the reserved ones are left out."""
+    rows = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list((F.col("l_partkey") * 2_570 % 65_536).cast("int")).alias("values"))
+    return rows.groupBy(F.size("values").alias("given"), F.size(labels.without_grease(F.col("values"))).alias("kept")).agg(F.count(F.lit(1)).alias("lists"))
 
 
 def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,14 +127,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "service_names": lambda s, d: _ports(s, d).select(labels.service_name(F.col("sport") % 900, F.col("dport") % 900).alias("service")).groupBy("service").agg(F.count(F.lit(1)).alias("packets")),
     "system_hints": lambda s, d: sessions.commonest(_flows(s, d).withColumn("ttl", F.col("bytes") * 5), "src", "ttl").select("src", labels.system_hint(F.col("ttl")).alias("hint")),
     "attack_stages": lambda s, d: _table(s, d, "documents").groupBy(labels.attack_stage(F.col("text")).alias("stage")).agg(F.count(F.lit(1)).alias("texts")),
-    "weak_keys": lambda s, d: _examples(s, KEYS, ["kind", "bits"], ["string", "int"], labels.weak_key, "weak"),
-    "mac_forms": lambda s, d: _examples(s, MACS, ["given"], ["string"], labels.mac_address, "mac"),
-    "masquerades": lambda s, d: _examples(s, FILES, ["name", "file_type"], ["string", "string"], labels.masquerade, "masquerade"),
+    "weak_keys": _keys,
+    "mac_forms": _macs,
+    "masquerades": _files,
     "certificate_validities": _validities,
     "content_checks": _contents,
     "encoded_runs": lambda s, d: _table(s, d, "documents").select("doc_id", labels.encoded_runs(F.col("text"), 20).alias("runs")).where("runs > 0"),
     "classical_decodes": _decoded,
-    "grease_values": lambda s, d: s.range(65536).groupBy((F.col("id") % 256).cast("int").alias("low")).agg(F.size(labels.without_grease(F.collect_list(F.col("id").cast("int")))).alias("kept")),
+    "grease_values": _grease,
     "upload_sessions": lambda s, d: sessions.uploads(_sessions(s, d), 50),
     "response_heavy_sessions": lambda s, d: sessions.response_heavy(_sessions(s, d), 50),
     "control_ratios": lambda s, d: _rounded(sessions.control_ratios(_events(s, d), "user_id", F.col("event_type").isin("purchase", "signup"), 20, 0.3), "ratio"),
@@ -165,16 +177,21 @@ ORACLE_SQL: dict[str, str] = {
     + """, c AS (SELECT src, bytes * 5 AS ttl, count(*) AS n FROM flows GROUP BY 1, 2), m AS (SELECT src, arg_min(ttl, (-n, ttl)) AS ttl FROM c GROUP BY 1)
         SELECT src, CASE WHEN ttl <= 0 THEN '-' ELSE CASE WHEN ttl <= 64 THEN 'Linux/Unix-like' WHEN ttl <= 128 THEN 'Windows-like' ELSE 'Network/embedded device' END || ' (TTL~' || ttl || ')' END AS hint FROM m""",
     "attack_stages": f"SELECT CASE {_STAGES} ELSE 'other' END AS stage, count(*) AS texts FROM (SELECT lower(coalesce(text, '')) AS t FROM documents) GROUP BY 1",
-    "weak_keys": _values(KEYS, ["kind", "bits", "weak"]),
-    "mac_forms": _values(MACS, ["given", "mac"]),
-    "masquerades": _values(FILES, ["name", "file_type", "masquerade"]),
+    "weak_keys": """SELECT kind, bits, bits > 0 AND bits < CASE kind WHEN 'RSA' THEN 2048 WHEN 'DSA' THEN 2048 WHEN 'ECPublicKey' THEN 256 WHEN 'ECDSA' THEN 256 WHEN 'Ed25519' THEN 0 ELSE 1024 END AS weak, count(*) AS keys
+        FROM (SELECT (['RSA', 'DSA', 'ECPublicKey', 'ECDSA', 'Ed25519', 'other'])[p_partkey % 6 + 1] AS kind, ([0, 192, 255, 256, 512, 1024, 2048, 4096])[p_size % 8 + 1]::INTEGER AS bits FROM part) GROUP BY ALL""",
+    "mac_forms": """SELECT c_custkey, CASE WHEN c_custkey % 5 < 4 THEN d[1:2] || ':' || d[3:4] || ':' || d[5:6] || ':' || d[7:8] || ':' || d[9:10] || ':' || d[11:12] END AS mac
+        FROM (SELECT c_custkey, lower(lpad(to_hex(c_custkey * 7919), 12, '0')) AS d FROM customer)""",
+    "masquerades": """SELECT name, file_type, file_type IN ('EXE/DLL', 'elf') AND name IN ('image.gif', 'a.tar.JPG', 'dir.d/read.me') AS masquerade, count(*) AS files
+        FROM (SELECT (['image.gif', 'setup.exe', 'a.tar.JPG', 'lib.so', 'noextension', 'dir.d/readme', 'dir.d/read.me'])[p_partkey % 7 + 1] AS name, (['EXE/DLL', 'elf', 'PNG', 'ZIP/Office'])[p_size % 4 + 1] AS file_type FROM part) GROUP BY ALL""",
     "certificate_validities": f"""SELECT CASE WHEN a IS NULL OR b IS NULL THEN 'unknown' WHEN a > b THEN 'inverted' WHEN a > DATE '{_AS_OF}' THEN 'not_yet_valid' WHEN b < DATE '{_AS_OF}' THEN 'expired' ELSE 'valid' END AS state,
         count(*) AS certificates, min(b - a) AS shortest, max(b - a) AS longest FROM (SELECT CAST(o_orderdate AS DATE) AS a, CAST(l_shipdate AS DATE) AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY 1""",
     "content_checks": r"""SELECT page_id, printable, false AS dense, printable < 0.999 AS entropy_counts FROM (SELECT page_id,
         CASE WHEN strlen(html) > 0 THEN round(length(regexp_replace(html, '[^\x20-\x7E\t\r\n]', '', 'g')) / strlen(html), 9) ELSE 0e0 END AS printable FROM pages)""",
     "encoded_runs": "SELECT * FROM (SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9+/]{20,}={0,2}')) AS INTEGER) AS runs FROM documents) WHERE runs > 0",
     "classical_decodes": f"SELECT doc_id, {_MOVED(13)} AS rot13, {_MOVED(23)} AS caesar, sha256(translate(coalesce(text, ''), '{_UP + _LOW}', '{_UP[::-1] + _LOW[::-1]}')) AS atbash FROM documents",
-    "grease_values": "SELECT CAST(range AS INTEGER) AS low, CASE WHEN range % 16 = 10 THEN 255 ELSE 256 END AS kept FROM range(256)",
+    "grease_values": """SELECT given, kept, count(*) AS lists FROM (
+            SELECT l_orderkey, count(*)::INTEGER AS given, count(CASE WHEN v NOT IN (2570, 6682, 10794, 14906, 19018, 23130, 27242, 31354, 35466, 39578, 43690, 47802, 51914, 56026, 60138, 64250) THEN 1 END)::INTEGER AS kept
+            FROM (SELECT l_orderkey, l_partkey * 2570 % 65536 AS v FROM lineitem) GROUP BY 1) GROUP BY 1, 2""",
     "upload_sessions": _SESSIONS + "SELECT * FROM sessions WHERE sent >= 50 AND sent > 3 * received",
     "response_heavy_sessions": _SESSIONS + "SELECT * FROM sessions WHERE received > 50 AND received > 5 * sent",
     "control_ratios": """SELECT * FROM (SELECT user_id, count(CASE WHEN event_type IN ('purchase', 'signup') THEN 1 END) AS controls, count(*) AS messages,

@@ -69,7 +69,7 @@ _NORMAL = "lower(trim(coalesce(level, '')))"
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _made(spark, sf_dir).groupBy("host", "kind", "level").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("text").alias("evidence"))
-    score = findings.signal(F.col("level"), F.col("evidence"), F.col("n"), F.col("n"), F.col("kind") == "error", F.col("kind") == "view")
+    score = findings.signal(F.col("level"), F.col("evidence"), F.col("n"), F.col("n"), F.col("kind") == "error", F.col("kind") == "view", F.col("kind") == "purchase", F.col("kind") == "signup")
     return rows.select("host", "kind", score.cast("int").alias("signal"))
 
 
@@ -81,17 +81,14 @@ def _risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("host", score.cast("int").alias("risk"))
 
 
-def _ips(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(a,) for a in ADDRESSES], "address string")
-
-
-#: Addresses of the query ip_scopes, each with its zone and category.
-ADDRESSES = {
-    "10.0.0.1": ("internal", "private"), "172.16.5.4": ("internal", "private"), "192.168.1.1": ("internal", "private"), "8.8.8.8": ("public", "public"),
-    "127.0.0.1": ("loopback", "loopback"), "169.254.3.4": ("link-local", "link_local"), "224.0.0.251": ("multicast", "multicast"), "0.0.0.0": ("unknown", "unspecified"),
-    "::1": ("loopback", "unknown"), "fe80::1": ("link-local", "unknown"), "ff02::fb": ("multicast", "unknown"), "fd00::12": ("internal", "unknown"),
-    "2001:4860:4860::8888": ("public", "unknown"), "::": ("unknown", "unknown"), "nonsense": ("unknown", "unknown"),
-}
+def _ips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events' numbers as addresses of many networks, every seventh in IPv6, with how many each zone and category has."""
+    n = F.col("event_id")
+    first = F.element_at(F.array(*map(F.lit, ("10.0", "172.16", "172.32", "192.168", "192.169", "127.9", "169.254", "224.0", "239.255", "240.1", "8.8", "0.0", "300.1"))), (n % 13 + 1).cast("int"))
+    last = F.element_at(F.array(*map(F.lit, ("::1", "fe80::7", "ff02::fb", "fd00::12", "2001:4860::8888", "::", "nonsense"))), (n % 77 / 11 + 1).cast("int"))
+    address = F.when(n % 7 == 0, last).otherwise(F.concat_ws(".", first, (n / 256 % 256).cast("int"), n % 256))
+    rows = _events(spark, sf_dir).select(address.alias("address"))
+    return rows.groupBy(ip_scope(F.col("address")).alias("scope"), ipv4_scope(F.col("address")).alias("category")).agg(F.count(F.lit(1)).alias("addresses"), F.min("address").alias("least"))
 
 
 def _merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "control_intensity": lambda s, d: _rounded(control.intensity(_events(s, d), "user_id", 86_400), "per_minute", digits=9),
     "value_changes": _changes,
     "burst_changes": lambda s, d: control.bursts(_changes(s, d), "user_id", 6, 86_400),
-    "oscillations": lambda s, d: control.oscillations(_events(s, d).select("user_id", "event_id", micros("ts").alias("at"), F.length("event_type").alias("new")), "user_id", 86_400),
+    "oscillations": lambda s, d: control.oscillations(control.value_changes(_events(s, d).withColumn("length", F.length("event_type")), "user_id", "length"), "user_id", 86_400),
     "rapid_changes": lambda s, d: _rounded(control.rapid_changes(_changes(s, d), "user_id", 7_200, floor=1.0, times=1.5), "step"),
     "large_jumps": lambda s, d: _rounded(control.large_jumps(_changes(s, d), "user_id", floor=20.0, times=3.0), "step"),
     "value_outliers": lambda s, d: _rounded(control.outliers(_changes(s, d), "user_id", times=1.5), "median"),
@@ -162,7 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tld_counts": lambda s, d: _table(s, d, "pages").groupBy(payload.top_level_domain(url_host(F.col("url"))).alias("tld")).agg(F.count(F.lit(1)).alias("hits")),
     "request_scores": lambda s, d: _table(s, d, "pages").select("page_id", payload.request_score(F.col("url")).cast("int").alias("score"), payload.risk_level(payload.request_score(F.col("url"))).alias("level")),
     "payload_search": _search,
-    "ip_scopes": lambda s, d: _ips(s).select("address", ip_scope(F.col("address")).alias("scope"), ipv4_scope(F.col("address")).alias("category")),
+    "ip_scopes": _ips,
     "nation_roles": _nations,
 }
 
@@ -238,8 +235,8 @@ ORACLE_SQL: dict[str, str] = {
     "value_changes": f"WITH {_CHANGES} SELECT user_id, event_id, micros AS at, old, new FROM changes",
     "burst_changes": f"""WITH {_CHANGES}, c AS (SELECT user_id, micros, count(*) OVER (PARTITION BY user_id ORDER BY micros RANGE BETWEEN CURRENT ROW AND 86400000000 FOLLOWING) AS n FROM changes)
         SELECT user_id, min(micros) AS start_micros, arg_min(n, micros) AS changes FROM c WHERE n >= 6 GROUP BY 1""",
-    "oscillations": """WITH r AS (SELECT user_id, epoch_us(ts) AS micros, length(event_type) AS v, lag(length(event_type), 2) OVER w AS e, lag(epoch_us(ts), 2) OVER w AS em FROM events
-            WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+    "oscillations": """WITH o AS (SELECT user_id, event_id, ts, length(event_type) AS v, lag(length(event_type)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old FROM events),
+        r AS (SELECT user_id, epoch_us(ts) AS micros, v, lag(v, 2) OVER w AS e, lag(epoch_us(ts), 2) OVER w AS em FROM o WHERE v <> old WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
         SELECT user_id, min(micros) AS at_micros FROM r WHERE v = e AND micros - em BETWEEN 0 AND 86400000000 GROUP BY 1""",
     "rapid_changes": _STEPS
     + """ SELECT user_id, event_id, round(step, 6) AS step, waited FROM steps JOIN usual USING (user_id) WHERE waited BETWEEN 0 AND 7200000000 AND step >= greatest(1e0, 1.5e0 * usual)""",
@@ -263,7 +260,8 @@ ORACLE_SQL: dict[str, str] = {
     "signal_scores": _MADE
     + f""", r AS (SELECT host, kind, level, count(*) AS n, count(DISTINCT text) AS evidence FROM made GROUP BY 1, 2, 3)
         SELECT host, kind, CAST(CASE {_NORMAL} WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'warning' THEN 2 ELSE 0 END + (evidence >= 2)::INT + (n >= 3)::INT + (n >= 5)::INT
-            + (kind = 'error')::INT - 2 * (kind = 'view')::INT - ({_NORMAL} = 'warning' AND evidence = 0 AND n <= 1 AND n < 5)::INT AS INTEGER) AS signal FROM r""",
+            + (kind = 'error')::INT - 2 * (kind = 'view')::INT - ({_NORMAL} = 'warning' AND evidence = 0 AND n <= 1 AND n < 5)::INT
+            - ({_NORMAL} = 'warning' AND kind = 'purchase' AND evidence <= 1 AND n <= 2)::INT + (kind = 'signup' AND (n >= 10 OR n >= 5))::INT AS INTEGER) AS signal FROM r""",
     "host_scores": _MADE
     + f""", w AS (SELECT *, {_NORMAL} AS s, CASE {_NORMAL} WHEN 'critical' THEN 8 WHEN 'high' THEN 5 WHEN 'warning' THEN 3 ELSE 1 END AS w FROM made)
         SELECT host, CAST(sum(w) AS BIGINT) AS score, count(*) AS findings, count(DISTINCT kind) AS kinds, arg_max(s, (w, s)) AS worst FROM w GROUP BY 1""",
@@ -286,7 +284,15 @@ ORACLE_SQL: dict[str, str] = {
         FROM (SELECT page_id, {_RISKY} + {_NAMED} AS s FROM pages)""",
     "payload_search": """SELECT doc_id, CAST(p AS INTEGER) AS place, substring(text, greatest(p - 20, 1), p - greatest(p - 20, 1) + 24) AS context
         FROM (SELECT doc_id, text, strpos(lower(text), 'that') AS p FROM documents) WHERE p > 0""",
-    "ip_scopes": "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{s}', '{c}')" for a, (s, c) in ADDRESSES.items()) + ") t(address, scope, category)",
+    "ip_scopes": """WITH a AS (SELECT event_id % 7 = 0 AS six, event_id % 77 // 11 AS s, event_id % 13 AS f, event_id FROM events),
+        b AS (SELECT CASE WHEN six THEN (['::1', 'fe80::7', 'ff02::fb', 'fd00::12', '2001:4860::8888', '::', 'nonsense'])[s + 1]
+                     ELSE (['10.0', '172.16', '172.32', '192.168', '192.169', '127.9', '169.254', '224.0', '239.255', '240.1', '8.8', '0.0', '300.1'])[f + 1] || '.' || (event_id // 256 % 256) || '.' || (event_id % 256) END AS address,
+                CASE WHEN six THEN (['loopback', 'link-local', 'multicast', 'internal', 'public', 'unknown', 'unknown'])[s + 1]
+                     WHEN f = 11 AND event_id % 65536 = 0 THEN 'unknown'
+                     ELSE (['internal', 'internal', 'public', 'internal', 'public', 'loopback', 'link-local', 'multicast', 'multicast', 'public', 'public', 'public', 'unknown'])[f + 1] END AS scope,
+                CASE WHEN six THEN 'unknown' WHEN f = 11 AND event_id % 65536 = 0 THEN 'unspecified'
+                     ELSE (['private', 'private', 'public', 'private', 'public', 'loopback', 'link_local', 'multicast', 'multicast', 'public', 'public', 'public', 'unknown'])[f + 1] END AS category FROM a)
+        SELECT scope, category, count(*) AS addresses, min(address) AS least FROM b GROUP BY 1, 2""",
     "nation_roles": """WITH c AS (SELECT DISTINCT c_nationkey AS n FROM customer), s AS (SELECT DISTINCT s_nationkey AS n FROM supplier)
         SELECT coalesce(c.n, s.n) AS nation, CASE WHEN s.n IS NULL THEN 'clients' WHEN c.n IS NULL THEN 'servers' ELSE 'both' END AS role FROM c FULL OUTER JOIN s ON c.n = s.n""",
 }

@@ -41,25 +41,31 @@ def _http(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dns_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A query for each page's host, and for every other page an answer with a code."""
+    """A query for each page's host under one of 40 numbers. Every other one is answered with a code; answers to every tenth from 3 on come before the query."""
     labels = F.transform(F.split("host", r"\."), lambda x: F.concat(_hex(F.octet_length(x), 2), F.hex(x)))
     name = F.concat(F.array_join(labels, ""), F.lit("0000010001"))
-    txid = F.pmod("page_id", F.lit(65_536))
+    txid, number = F.pmod("page_id", F.lit(40)), F.col("page_id") * 2
     pages = _hosts(spark, sf_dir)
-    asked = _packets(pages, ts=F.col("page_id").cast("double"), transport=F.lit("UDP"), dport=F.lit(53), payload=F.unhex(F.concat(_hex(txid, 4), F.lit("01000001000000000000"), name)))
+    asked = _packets(
+        pages, pkt_no=number, ts=F.col("page_id").cast("double"), transport=F.lit("UDP"), dport=F.lit(53), sport=(40_000 + F.col("page_id") % 7).cast("int"),
+        payload=F.unhex(F.concat(_hex(txid, 4), F.lit("01000001000000000000"), name)),
+    )
     flags = F.concat(F.lit("818"), F.hex(F.pmod("page_id", F.lit(4))))
+    early = F.col("page_id") % 10 == 3
     answered = _packets(
-        pages.where("page_id % 2 = 0"), ts=F.col("page_id") + F.lit(0.5), transport=F.lit("UDP"), src=F.lit("10.0.0.2"), sport=F.lit(53), dst=F.lit("10.0.0.1"), dport=F.lit(40_000),
-        payload=F.unhex(F.concat(_hex(txid, 4), flags, F.lit("0001000100000000"), name)),
+        pages.where((F.col("page_id") % 2 == 0) | early), pkt_no=number + 1, ts=F.col("page_id") + F.when(early, -0.25).otherwise(0.5), transport=F.lit("UDP"), src=F.lit("10.0.0.2"), sport=F.lit(53),
+        dst=F.lit("10.0.0.1"), dport=F.lit(40_000), payload=F.unhex(F.concat(_hex(txid, 4), flags, F.lit("0001000100000000"), name)),
     )
     return extracts.dns(asked.unionByName(answered))
 
 
 def _dns(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = protocols.dns_exchanges(_dns_messages(spark, sf_dir))
+    both = F.col("asked_ts").isNotNull() & F.col("answered_ts").isNotNull()
     return found.groupBy("qname").agg(
-        F.count("asked_ts").alias("asked"), F.count("answered_ts").alias("answered"), F.count(F.when(F.col("rcode") == 2, 1)).alias("failed"), F.max(F.col("answered_ts") - F.col("asked_ts")).alias("slowest")
-    )
+        F.count("asked_ts").alias("asked"), F.count(F.when(both, 1)).alias("answered"), F.count(F.when(F.col("asked_ts").isNull(), 1)).alias("orphans"),
+        F.count(F.when(both & (F.col("rcode") == 2), 1)).alias("failed"), F.max(F.when(both, F.col("answered_ts") - F.col("asked_ts"))).alias("slowest"),
+    )
 
 
 def _dns_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,8 +134,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "http_requests": rf"""SELECT page_id, 'GET' AS method, CASE WHEN p = '' THEN '/' ELSE p END || CASE WHEN q = '' THEN '' ELSE '?' || q END AS uri, host, 'made/1' AS user_agent, page_id AS content_length
         FROM (SELECT page_id, {_HOST} AS host, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS p, regexp_extract(url, '\?([^#]*)', 1) AS q FROM pages)""",
-    "dns_exchanges": f"""SELECT qname, count(*) AS asked, count(CASE WHEN page_id % 2 = 0 THEN 1 END) AS answered, count(CASE WHEN page_id % 4 = 2 THEN 1 END) AS failed,
-        max(CASE WHEN page_id % 2 = 0 THEN 0.5e0 END) AS slowest FROM (SELECT page_id, {_HOST} AS qname FROM pages) GROUP BY 1""",
+    "dns_exchanges": f"""WITH p AS (SELECT page_id, {_HOST} AS qname FROM pages),
+        m AS (SELECT page_id % 40 AS txid, page_id::DOUBLE AS t, FALSE AS answer, qname, NULL AS rcode FROM p
+              UNION ALL SELECT page_id % 40, page_id + CASE WHEN page_id % 10 = 3 THEN -0.25e0 ELSE 0.5e0 END, TRUE, qname, page_id % 4 FROM p WHERE page_id % 2 = 0 OR page_id % 10 = 3),
+        o AS (SELECT *, lag(answer) OVER w AS before, lead(answer) OVER w AS next, lead(t) OVER w AS next_at, lead(rcode) OVER w AS next_code FROM m WINDOW w AS (PARTITION BY txid ORDER BY t))
+        SELECT qname, count(CASE WHEN NOT answer THEN 1 END) AS asked, count(CASE WHEN NOT answer AND next THEN 1 END) AS answered,
+               count(CASE WHEN answer AND coalesce(before, TRUE) AND txid <> 0 THEN 1 END) AS orphans, count(CASE WHEN NOT answer AND next AND next_code = 2 THEN 1 END) AS failed,
+               max(CASE WHEN NOT answer AND next THEN next_at - t END) AS slowest
+        FROM o WHERE NOT answer OR (coalesce(before, TRUE) AND txid <> 0) GROUP BY 1""",
     "dns_clients": f"""SELECT '10.0.0.1' AS client, count(*) AS queries, count(DISTINCT h) AS names, count(DISTINCT array_to_string(string_split(h, '.')[-2:], '.')) AS domains,
         max(length(string_split(h, '.')[1])) AS longest_label, count(*) >= 20 AND count(DISTINCT h) >= 0.01 * count(*) AND max(length(string_split(h, '.')[1])) >= 4 AS tunnel
         FROM (SELECT {_HOST} AS h FROM pages)""",
