@@ -101,7 +101,7 @@ def plausibility(value: str) -> float:
     spaces = sum(c.isspace() for c in sample) / len(sample)
     vowels = sum(c in "aeiouyAEIOUYäöüáéíóúàèâêîôû" for c in sample) / max(letters, 1)
     usual = sum(c in "etaoinsrhdluETAOINSRHDLU" for c in sample) / max(letters, 1)
-    score = 4 * printable + 2 * letters / len(sample) + 6 * usual - 12 * abs(vowels - 0.38) - 20 * abs(min(spaces, 0.17) - 0.17)
+    score = 4 * printable + 2 * letters / len(sample) + 12 * usual - 12 * abs(vowels - 0.38) - 20 * abs(min(spaces, 0.17) - 0.17)
     return score + (6 if MARKED.search(sample) else 0)
 
 
