@@ -23,7 +23,7 @@ def oracle():
     return c
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", ORACLE_SQL)
 def test_query_matches_sql(spark, oracle, name):
     expected = oracle.sql(ORACLE_SQL[name])
     names = [d[0] for d in expected.description]
