@@ -223,12 +223,16 @@ def _hot_links(sets: DataFrame, parts: DataFrame, texts: DataFrame, classes: np.
         F.first("hot_prefix").alias("prefix"), F.first("hot_parity").alias("parity"),
     )
     groups = staged(groups, "hot-groups")
-    entries = groups.select("g", "n", F.lit(1).alias("matches"), F.col("least.n").alias("least_n"), "low", "high", "parity", F.posexplode("prefix").alias("at", "token"))
-    x, y = entries.alias("x"), entries.alias("y")
-    apart = ~((F.col("x.low") == F.col("x.high")) & (F.col("x.low") == F.col("y.low")) & (F.col("y.low") == F.col("y.high")))
+    part = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("g"))  # groups within one component needn't meet
+    entries = groups.select("g", "n", F.lit(1).alias("matches"), F.col("least.n").alias("least_n"), part.alias("part"), "parity", F.posexplode("prefix").alias("at", "token"))
+    by_part = entries.groupBy("token", "part").agg(F.count(F.lit(1)).alias("own"))
+    lists = by_part.groupBy("token").agg(F.max_by("part", F.struct("own", "part")).alias("main"), F.min("part").alias("first"), F.max("part").alias("last"), F.sum("own").alias("df"))
+    lists = staged(lists.where("first < last").select("token", "main", "df"), "hot-lists")
+    entries = staged(join_groups(entries, lists, ["token"], lists.agg(F.sum("df")).first()[0] or 0, "df"), "hot-entries")
+    x, y = entries.where("part <> main").alias("x"), entries.alias("y")  # so the largest component of a list doesn't meet itself
     may = F.col("x.least_n") + F.col("y.least_n") <= _most_sizes(F.least("x.n", "y.n"))
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.g") < F.col("y.g")) & _sizes_allow("x", "y") & _places_allow("x", "y") & apart & may & _parity_allows("x", "y"))
-    pairs = met.select(F.col("x.g").alias("g"), F.col("y.g").alias("h")).distinct()
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") != F.col("y.part")) & _sizes_allow("x", "y") & may & _places_allow("x", "y") & _parity_allows("x", "y"))
+    pairs = met.select(F.least("x.g", "y.g").alias("g"), F.greatest("x.g", "y.g").alias("h")).distinct()
     leasts = groups.select("g", "n", "least")
     pairs = staged(pairs.join(leasts.select("g", F.col("least").alias("one")), "g").join(leasts.select(F.col("g").alias("h"), F.col("least").alias("two")), "h"), "hot-pairs")
     if pairs.isEmpty():
@@ -380,9 +384,6 @@ def near_duplicate_components(documents: DataFrame, words: int = 5, hot_class: i
 
     # Step 4: all other pairs that may link, across components; first those that share hot shingles alone.
     by_hot = staged(_hot_links(sets, parts, texts, classes, words, hot_class), "hot-links")
-    if not by_hot.isEmpty():
-        first = staged(first.unionByName(by_hot), "first-links")
-        parts = connected_components(first)
     entries = entries.where("at < rare").withColumn("matches", F.col("asked")).drop("df", "asked", "rare")
     entries = entries.join(parts, "id", "left").withColumn("part", F.coalesce("component_id", "id")).drop("component_id")
     mixed_lists = entries.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("df"))
@@ -416,7 +417,7 @@ def near_duplicate_components(documents: DataFrame, words: int = 5, hot_class: i
     )
     pairs = pairs.join(possible, ["a", "b"], "left_anti")
     second = _verified(staged(_finely_allowed(staged(pairs, "pairs"), fine), "pairs"), docs_of, texts, words)
-    parts = connected_components(first.unionByName(second))
+    parts = connected_components(first.unionByName(by_hot).unionByName(second))
 
     # Digests tell the sets apart so far; a component's name is its smallest document.
     linked = staged(parts.join(docs_of, "id"), "linked")
