@@ -57,9 +57,9 @@ def url_path(url: Column) -> Column:
 
 
 def top_level_domain(host: Column) -> Column:
-    """The last label that isn't empty, in lower case; empty if there is none."""
+    """The last label that isn't empty, in lower case; - if there is none."""
     labels = F.filter(F.split(F.lower(F.coalesce(host, F.lit(""))), r"\."), lambda x: x != "")
-    return F.coalesce(F.try_element_at(labels, F.lit(-1)), F.lit(""))
+    return F.coalesce(F.try_element_at(labels, F.lit(-1)), F.lit("-"))
 
 
 def request_score(url: Column) -> Column:

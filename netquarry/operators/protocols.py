@@ -45,7 +45,7 @@ def dns_clients(messages: DataFrame, least: int = 20, least_unique: float = 0.75
     """Clients' names, and whether they look like a tunnel: many, mostly different, with long or random labels."""
     label = F.substring_index("qname", ".", 1)
     asked = messages.where("NOT is_response AND qname IS NOT NULL").select(F.col("src").alias("client"), "qname", label.alias("label"))
-    names = asked.groupBy("client", "qname", "label").agg(F.count(F.lit(1)).alias("n")).withColumn("label_entropy", entropy("label"))
+    names = asked.groupBy("client", "qname", "label").agg(F.count(F.lit(1)).alias("n")).withColumn("label_entropy", entropy(F.col("label")))
     found = names.groupBy("client").agg(
         F.sum("n").alias("queries"), F.count(F.lit(1)).alias("names"), F.count_distinct(base_domain(F.col("qname"))).alias("domains"),
         F.avg("label_entropy").alias("label_entropy"), F.max(F.char_length("label")).alias("longest_label"),

@@ -64,18 +64,22 @@ def regular(
     return found.withColumn("regular", F.coalesce(steady & (F.col("events") >= least_events) & (F.col("positive") >= least_events - 1), F.lit(False)))
 
 
-@F.pandas_udf("double")
-def entropy(text: pd.Series) -> pd.Series:
+def _bits(own: str | None) -> float:
+    """Shannon entropy of a text's characters in bits; 0 if it is empty or null."""
+    if not own:
+        return 0.0
+    counts = np.unique(np.frombuffer(own.encode("utf-32-le"), "<u4"), return_counts=True)[1]
+    shares = counts / counts.sum()
+    return abs(float(-(shares * np.log2(shares)).sum()))
+
+
+def entropy(text: Column) -> Column:
     """Shannon entropy of a text's characters in bits, 0 if it is empty or null; each row alone, in time by its length."""
 
-    def bits(own: str | None) -> float:
-        if not own:
-            return 0.0
-        counts = np.unique(np.frombuffer(own.encode("utf-32-le"), "<u4"), return_counts=True)[1]
-        shares = counts / counts.sum()
-        return abs(float(-(shares * np.log2(shares)).sum()))
+    def of_batch(texts: pd.Series) -> pd.Series:
+        return texts.map(_bits)
 
-    return text.map(bits, na_action=None)
+    return F.pandas_udf(of_batch, "double")(text)
 
 
 def binned(events: DataFrame, bins: int, ts: str = "ts") -> DataFrame:

@@ -23,11 +23,6 @@ def intervals(events: DataFrame, key: list[str], ts: str = "ts", tie: str = "eve
     )
 
 
-def beacons(events: DataFrame, key: list[str], least_events: int = 20, most_variation: float = 0.25, ts: str = "ts") -> DataFrame:
-    """Keys whose gaps are regular."""
-    return intervals(events, key, ts).where((F.col("events") >= least_events) & (F.col("variation") <= most_variation))
-
-
 def timeline(events: DataFrame, unit: str, kind: str = "event_type", ts: str = "ts") -> DataFrame:
     """Events by kind in bins of a calendar unit."""
     return events.groupBy(F.date_trunc(unit, ts).cast("timestamp_ntz").alias("bin"), kind).agg(F.count(F.lit(1)).alias("events"))

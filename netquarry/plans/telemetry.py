@@ -127,7 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_horizontal": lambda s, d: scans.probed(_flows(s, d), ["src", "dport"], "dst", 2, "hosts"),
     "scanner_sources": lambda s, d: scans.scanner_sources(_flows(s, d), most_ports=5, targets=50, few_targets=40, probes=48, ports=44, syns=42, few_ports=40),
     "unanswered_probes": _unanswered,
-    "handshake_states": lambda s, d: scans.handshakes(_events(s, d).withColumn("month", F.date_trunc("week", "ts").cast("timestamp_ntz")), ["user_id", "month"], "event_type", "signup", "view", "click", "error"),
+    "handshake_states": lambda s, d: scans.handshakes(_events(s, d).withColumn("week", F.date_trunc("week", "ts").cast("timestamp_ntz")), ["user_id", "week"], "event_type", "signup", "view", "click", "error"),
     "orphan_answers": lambda s, d: scans.orphan_answers(_events(s, d), "user_id", "event_type", "signup", "purchase"),
     "fan_in_out": lambda s, d: scans.fan_in_out(_flows(s, d)),
     "traffic_concentration": lambda s, d: _rounded(scans.concentration(_flows(s, d), 0.05), "share"),
@@ -208,9 +208,9 @@ ORACLE_SQL: dict[str, str] = {
             FROM s JOIN w USING (src)) WHERE reason IS NOT NULL""",
     "unanswered_probes": """SELECT o_custkey AS src, count(*) AS probes, count(a.id) AS answered, round(count(a.id) / count(*), 6) AS ratio
         FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_returnflag = 'A') a ON o_orderkey = a.id GROUP BY 1""",
-    "handshake_states": """WITH t AS (SELECT user_id, CAST(date_trunc('week', ts) AS TIMESTAMP) AS month, min(CASE WHEN event_type = 'signup' THEN ts END) AS syn, max(CASE WHEN event_type = 'view' THEN ts END) AS sa,
+    "handshake_states": """WITH t AS (SELECT user_id, CAST(date_trunc('week', ts) AS TIMESTAMP) AS week, min(CASE WHEN event_type = 'signup' THEN ts END) AS syn, max(CASE WHEN event_type = 'view' THEN ts END) AS sa,
             max(CASE WHEN event_type = 'click' THEN ts END) AS ack, max(CASE WHEN event_type = 'error' THEN ts END) AS rst FROM events GROUP BY 1, 2)
-        SELECT user_id, month, CASE WHEN sa > syn AND ack > sa THEN 'established' WHEN sa > syn THEN 'half-open' WHEN rst > syn THEN 'refused'
+        SELECT user_id, week, CASE WHEN sa > syn AND ack > sa THEN 'established' WHEN sa > syn THEN 'half-open' WHEN rst > syn THEN 'refused'
             WHEN syn IS NOT NULL THEN 'syn-only' ELSE 'no-handshake' END AS state FROM t""",
     "orphan_answers": """SELECT user_id, event_id FROM events e WHERE event_type = 'purchase'
         AND NOT EXISTS (SELECT 1 FROM events r WHERE r.user_id = e.user_id AND r.event_type = 'signup' AND r.ts < e.ts)""",
@@ -279,7 +279,7 @@ ORACLE_SQL: dict[str, str] = {
     "secret_key_values": r"""SELECT * FROM (SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)(password|passwd|secret|token|api_?key)[ ]*[:=][ ]*[^ \t\r\n]{6,}')) AS INTEGER) AS hits FROM documents) WHERE hits > 0""",
     "file_types": "SELECT CASE WHEN starts_with(html, '<!DOCTYPE html') OR starts_with(html, '<html') THEN 'HTML' ELSE 'BINARY' END AS file_type, count(*) AS files FROM pages GROUP BY 1",
     "url_parts": rf"""SELECT page_id, {_HOST} AS host, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS path, regexp_extract(url, '\?([^#]*)', 1) AS query FROM pages""",
-    "tld_counts": f"SELECT string_split(h, '.')[-1] AS tld, count(*) AS hits FROM (SELECT {_HOST} AS h FROM pages) GROUP BY 1",
+    "tld_counts": f"SELECT coalesce(nullif(string_split(h, '.')[-1], ''), '-') AS tld, count(*) AS hits FROM (SELECT {_HOST} AS h FROM pages) GROUP BY 1",
     "request_scores": f"""SELECT page_id, CAST(s AS INTEGER) AS score, CASE WHEN s >= 6 THEN 'high' WHEN s >= 3 THEN 'medium' ELSE 'low' END AS level
         FROM (SELECT page_id, {_RISKY} + {_NAMED} AS s FROM pages)""",
     "payload_search": """SELECT doc_id, CAST(p AS INTEGER) AS place, substring(text, greatest(p - 20, 1), p - greatest(p - 20, 1) + 24) AS context
