@@ -268,3 +268,96 @@ def read_captures(spark: SparkSession, path: str, pattern: str = "*.{pcap,pcapng
 def capture_errors(ranges: DataFrame) -> DataFrame:
     """Files that are no capture, can't be read or are cut short: capture, error."""
     return ranges.where("error IS NOT NULL").select("capture", "error")
+
+
+#: Options of pcapng blocks that are told, by block, with how they are read.
+OPTIONS = {
+    SECTION: {2: ("hardware", "text"), 3: ("os", "text"), 4: ("application", "text")},
+    INTERFACE: {2: ("name", "text"), 3: ("description", "text"), 6: ("mac", "mac"), 8: ("speed", "number"), 11: ("filter", "filter"), 12: ("os", "text")},
+    5: {4: ("received", "number"), 5: ("dropped", "number")},
+}
+STATISTICS = 5
+INTERFACES = (
+    "capture string, kind string, section int, interface int, link_type int, snaplen bigint, name string, description string, mac string, speed bigint, filter string, "
+    "hardware string, os string, application string, received bigint, dropped bigint"
+)
+
+
+def _options(data: bytes, order: str, kind: int) -> dict:
+    """The known options in a block's end; those before damage."""
+    found, at = {}, 0
+    while at + 4 <= len(data):
+        code, size = struct.unpack_from(order + "2H", data, at)
+        value = data[at + 4 : at + 4 + size]
+        if code == 0 or len(value) < size:
+            break
+        if code in OPTIONS[kind]:
+            name, how = OPTIONS[kind][code]
+            if how == "number":
+                found[name] = int.from_bytes(value, "little" if order == "<" else "big") & (1 << 63) - 1
+            else:
+                found[name] = value.hex(":") if how == "mac" else value[how == "filter" :].decode("utf-8", "replace").rstrip("\0")
+        at += 4 + size + -size % 4
+    return found
+
+
+def _described(name: str) -> Iterator[dict]:
+    """The sections and interfaces of one capture; a pcap file is a section with one interface."""
+    try:
+        source = _open(name)
+        own = begin(source)
+    except OSError:
+        return
+    if own is None:
+        return
+    if own.kind == "pcap":
+        yield {"capture": name, "kind": "pcap", "section": 1, "interface": 0, "link_type": own.link, "snaplen": struct.unpack_from(own.order + "I", source.read(0, 24), 16)[0]}
+        return
+    section, of_section, links, counted = 0, {}, [], {}
+
+    def told() -> Iterator[dict]:
+        for n, link in enumerate(links or [{}]):
+            yield {"capture": name, "kind": "pcapng", "section": section, "interface": n if links else None} | of_section | link | counted.get(n, {})
+
+    while own.at < source.size:
+        head = source.read(own.at, 12)
+        if len(head) < 12:
+            break
+        kind = struct.unpack_from(own.order + "I", head)[0]
+        if kind == SECTION:
+            if section:
+                yield from told()
+            own.order = "<" if struct.unpack_from("<I", head, 8)[0] == ORDER_MARK else ">"
+            section, links, counted = section + 1, [], {}
+        size = struct.unpack_from(own.order + "I", head, 4)[0]
+        if size < 12 or size % 4 or size > LARGEST_BLOCK or own.at + size > source.size:
+            break
+        body = source.read(own.at + 8, size - 12) if kind in OPTIONS else b""
+        own.at += size
+        if kind == SECTION:
+            of_section = _options(body[16:], own.order, SECTION)
+        elif kind == INTERFACE and len(body) >= 8:
+            links.append({"link_type": struct.unpack_from(own.order + "H", body)[0], "snaplen": struct.unpack_from(own.order + "I", body, 4)[0]} | _options(body[8:], own.order, INTERFACE))
+        elif kind == STATISTICS and len(body) >= 12:
+            counted[struct.unpack_from(own.order + "I", body)[0]] = _options(body[12:], own.order, STATISTICS)
+    if section:
+        yield from told()
+
+
+def capture_interfaces(spark: SparkSession, path: str, pattern: str = "*.{pcap,pcapng,cap}", recursive: bool = False) -> DataFrame:
+    """The interfaces of captures with what their blocks tell: ``INTERFACES``; one row a section without any. An interface's own system stands before its section's.
+
+    A task walks over a file's block heads; packets aren't read. What is no capture gives no row.
+    """
+    names = [f.split()[0] for f in INTERFACES.split(", ")]
+    types = pa.schema([(f.split()[0], _TYPES[f.split()[1]]) for f in INTERFACES.split(", ")])
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                rows = [{n: row.get(n) for n in names} for row in _described(name)]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, types)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
+    return files.select("path").mapInArrow(describe, INTERFACES)
