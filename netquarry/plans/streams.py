@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import framing
 from ..operators.packets import reassembled_blocks
+from ..operators.requests import request_risks
 from ..sources.protocols import MODBUS_COLUMNS, extract, modbus_message
 from ..sources.tls import handshakes
 from .catalogue import _HOST, _table
@@ -72,6 +73,26 @@ def _exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _risks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as requests of eight kinds on one connection each, some of them attacks; their scores."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", F.octet_length(F.coalesce("html", F.lit(""))).alias("size"))
+    n, crlf = F.col("page_id"), F.lit("\r\n")
+    target = F.element_at(F.array(*map(F.lit, (
+        "/a/b", "/login?user=x&password=y", "/q?id=1;&x=sleep(9)", "/../../etc/passwd", "/go?to=http://127.0.0.1/x", "/up", "/api?Token=", "/run",
+    ))), (n % 8 + 1).cast("int"))
+    body = F.when(n % 8 == 5, F.repeat(F.lit("Ab1"), 100)).when(n % 8 == 7, "x=1;/bin/sh&secret=s").otherwise("")
+    agent = F.when(n % 3 == 0, "sqlmap/1.0").otherwise("made/1")
+    kind = F.when(n % 8 == 7, "application/x-www-form-urlencoded").otherwise("text/plain")
+    method = F.when(n % 8 == 5, "POST").when(n % 8 == 7, "PUT").when(n % 11 == 0, "TRACE").otherwise("GET")
+    request = _text(method, F.lit(" "), target, F.lit(" HTTP/1.1\r\nUser-Agent: "), agent, F.lit("\r\nContent-Type: "), kind, F.lit("\r\nX-Page: "), n, F.lit("\r\nContent-Length: "), F.length(body), crlf, crlf, body)
+    rows = pages.select(
+        F.lit("made").alias("capture"), F.lit("10.0.0.1").alias("src"), (1_024 + n % 60_000).cast("int").alias("sport"), F.when(n % 2 == 0, "10.0.0.2").otherwise("8.8.8.8").alias("dst"), F.lit(80).alias("dport"),
+        n.alias("nth"), request.alias("hex"),
+    )
+    found = request_risks(framing.http_messages(_blocks(rows, 31)).where("kind = 'request'"))
+    return found.select(F.col("headers")["x-page"].cast("bigint").alias("page_id"), "score", "level", F.array_join("reasons", " ").alias("reasons"))
+
+
 def _hellos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hello for each page, of one of three cipher lists; every second is sent in records of 40 bytes."""
     pages = _hosts(spark, sf_dir)
@@ -112,7 +133,7 @@ def _modbus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.col("src").alias("client"), "function").agg(F.count(F.lit(1)).alias("messages"), F.sum("transaction").alias("transactions"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"http_exchanges": _exchanges, "tls_hellos_in_records": _hellos, "modbus_in_streams": _modbus}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"http_exchanges": _exchanges, "web_request_risks": _risks, "tls_hellos_in_records": _hellos, "modbus_in_streams": _modbus}
 
 ORACLE_SQL: dict[str, str] = {
     "http_exchanges": """
@@ -121,6 +142,15 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id % 7 = 0 OR page_id % 5 = 0 THEN 0 ELSE octet_length(encode(coalesce(html, ''))) END AS received,
                sha256(CASE WHEN page_id % 7 = 0 OR page_id % 5 = 0 THEN '' ELSE coalesce(html, '') END) AS sha256, TRUE AS complete, 8080 AS server_port
         FROM pages""",
+    "web_request_risks": """
+        WITH p AS (SELECT page_id, page_id % 8 AS k, page_id % 3 = 0 AS tool, page_id % 11 = 0 AND page_id % 8 NOT IN (5, 7) AS trace, page_id % 2 = 1 AS public FROM pages),
+        r AS (SELECT page_id, trace, public AND k = 5 AS post, k, tool, [
+                CASE WHEN trace THEN 'uncommon_method' END, CASE WHEN k = 5 AND public THEN 'post_to_public' END, CASE WHEN k = 2 THEN 'sql' END, CASE WHEN k = 3 THEN 'traversal' END,
+                CASE WHEN k = 7 THEN 'command' END, CASE WHEN k = 4 THEN 'internal_target' END, CASE WHEN tool THEN 'tool' END, CASE WHEN k = 1 OR k = 7 THEN 'credential_parameter' END, CASE WHEN k = 4 THEN 'internal_parameter' END,
+                CASE WHEN k = 7 THEN 'credential_in_body' END, CASE WHEN k = 5 THEN 'long_base64' END] AS reasons,
+                CASE WHEN trace THEN 2 ELSE 0 END + CASE WHEN k = 5 AND public THEN 1 ELSE 0 END + CASE WHEN tool THEN 2 ELSE 0 END
+                + CASE k WHEN 1 THEN CASE WHEN trace THEN 1 ELSE 3 END WHEN 2 THEN 3 WHEN 3 THEN 3 WHEN 4 THEN 5 WHEN 5 THEN 2 WHEN 7 THEN 5 ELSE 0 END AS score FROM p)
+        SELECT page_id, score::INTEGER AS score, CASE WHEN score >= 6 THEN 'high' WHEN score >= 3 THEN 'medium' ELSE 'low' END AS level, coalesce(array_to_string(reasons, ' '), '') AS reasons FROM r""",
     "tls_hellos_in_records": f"""
         SELECT 't13d0205h2_' || substr(sha256('130' || (1 + page_id % 3) || ',c02b'), 1, 12) || '_' || substr(sha256('000a,000d,002b_0403,0804'), 1, 12) AS ja4, 'h2' AS alpn, 772 AS version,
                count(*) AS hellos, count(DISTINCT page_id % 50) AS clients, count(DISTINCT {_HOST}) AS names FROM pages GROUP BY 1""",
