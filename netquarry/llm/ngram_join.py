@@ -185,7 +185,7 @@ def _parity_allows(a: str, b: str) -> Column:
 
 
 def _finely_allowed(pairs: DataFrame, maps: DataFrame, rows_at_once: int = 256) -> DataFrame:
-    """The pairs (a, b) whose sets the fine maps don't prove to differ too much; ``maps`` has id, n and fine."""
+    """The pairs (a, b) whose sets the fine maps don't prove to differ too much, with a document of each (a_doc, b_doc); ``maps`` has id, doc_id, n and fine."""
 
     def allow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, rows_at_once, column=4):
@@ -193,12 +193,12 @@ def _finely_allowed(pairs: DataFrame, maps: DataFrame, rows_at_once: int = 256)
             for n, m, x, y in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
                 least = -(-NUMERATOR * (n + m) // (DENOMINATOR + NUMERATOR))
                 keep.append(least_difference(x, y) <= n + m - 2 * least)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select([0, 1, 6, 7]).filter(pa.array(keep, pa.bool_()))
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    own = lambda side: maps.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("fine").alias(f"fine_{side}"))
-    rows = pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "n_a", "n_b", "fine_a", "fine_b")
-    return rows.mapInArrow(allow, f"a {kind}, b {kind}")
+    kind, of_doc = pairs.schema["a"].dataType.simpleString(), maps.schema["doc_id"].dataType.simpleString()
+    own = lambda side: maps.select(*(F.col(c).alias(name) for c, name in (("id", side), ("n", f"n_{side}"), ("fine", f"fine_{side}"), ("doc_id", f"{side}_doc"))))
+    rows = pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "n_a", "n_b", "fine_a", "fine_b", "a_doc", "b_doc")
+    return rows.mapInArrow(allow, f"a {kind}, b {kind}, a_doc {of_doc}, b_doc {of_doc}")
 
 
 def _most_sizes(shared: Column) -> Column:
@@ -307,11 +307,9 @@ def _counted(pairs: DataFrame, texts: DataFrame, words: int, hot: tuple[np.ndarr
     return joined.select("a", "b", "x", "y").mapInArrow(count, "a binary, b binary, n_a bigint, n_b bigint, common bigint").distinct()
 
 
-def _verified(pairs: DataFrame, docs_of: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets link; ``docs_of`` has a document for each set (id, doc_id)."""
-    of = lambda side: docs_of.select(F.col("id").alias(side), F.col("doc_id").alias(f"{side}_doc"))
-    whole = staged(pairs.join(of("a"), "a").join(of("b"), "b"), "pairs-of-documents")
-    return _counted(whole, texts, words).where(F.col("common") * DENOMINATOR >= (F.col("n_a") + F.col("n_b") - F.col("common")) * NUMERATOR).select("a", "b")
+def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b, a_doc, b_doc) whose whole sets link."""
+    return _counted(pairs, texts, words).where(F.col("common") * DENOMINATOR >= (F.col("n_a") + F.col("n_b") - F.col("common")) * NUMERATOR).select("a", "b")
 
 
 def near_duplicate_components(documents: DataFrame, words: int = 5, hot_class: int = HOT_CLASS) -> DataFrame:
@@ -355,8 +353,8 @@ def near_duplicate_components(documents: DataFrame, words: int = 5, hot_class: i
     sets = profiles.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest", "n").agg(F.min("doc_id").alias("doc_id"), F.min_by(own, "doc_id").alias("own"))
     sets = staged(sets.select(F.col("digest").alias("id"), "doc_id", "n", "own.*"), "sets")
     docs_of = sets.select("id", "doc_id")
-    asked = F.when(F.size("prefix") > F.col("rare"), 1).otherwise(F.col("matches"))  # of entries without those of hot shingles
-    entries = sets.select("id", "n", "matches", asked.alias("asked"), "rare", F.posexplode("prefix").alias("at", "token"))
+    hot = F.greatest(F.size("prefix") - F.col("rare"), F.lit(0))  # entries of hot shingles in the prefix
+    entries = sets.select("id", "n", "matches", hot.alias("hot"), "rare", F.posexplode("prefix").alias("at", "token"))
     lists = staged(entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "lists")
     total = lists.agg(F.sum("df")).first()[0] or 0
     entries = staged(join_groups(entries, lists, ["token"], total, "df"), "entries")
@@ -378,13 +376,13 @@ def near_duplicate_components(documents: DataFrame, words: int = 5, hot_class: i
         .select("a", "b")
     )
     possible = staged(possible, "near")
-    fine = sets.select("id", "n", "fine")
-    first = staged(_verified(staged(_finely_allowed(possible, fine), "near"), docs_of, texts, words), "first-links")
+    fine = sets.select("id", "doc_id", "n", "fine")
+    first = staged(_verified(staged(_finely_allowed(possible, fine), "near"), texts, words), "first-links")
     parts = connected_components(first)
 
     # Step 4: all other pairs that may link, across components; first those that share hot shingles alone.
     by_hot = staged(_hot_links(sets, parts, texts, classes, words, hot_class), "hot-links")
-    entries = entries.where("at < rare").withColumn("matches", F.col("asked")).drop("df", "asked", "rare")
+    entries = entries.where("at < rare").drop("df", "rare")
     entries = entries.join(parts, "id", "left").withColumn("part", F.coalesce("component_id", "id")).drop("component_id")
     mixed_lists = entries.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("df"))
     mixed_lists = staged(mixed_lists.where("low < high").select("token", "df"), "mixed-lists")
@@ -410,13 +408,13 @@ def near_duplicate_components(documents: DataFrame, words: int = 5, hot_class: i
         .groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         .agg(
             F.count(F.lit(1)).alias("shared"),
-            F.first(F.when(lowest.isNull(), F.least("x.matches", "y.matches")).otherwise(1)).alias("asked"),
+            F.first(F.when(lowest.isNull(), F.least("x.matches", "y.matches") - F.least("x.hot", "y.hot")).otherwise(1)).alias("asked"),  # of the matches asked for so many may be hot
         )
         .where("shared >= asked")
         .select("a", "b")
     )
     pairs = pairs.join(possible, ["a", "b"], "left_anti")
-    second = _verified(staged(_finely_allowed(staged(pairs, "pairs"), fine), "pairs"), docs_of, texts, words)
+    second = _verified(staged(_finely_allowed(staged(pairs, "pairs"), fine), "pairs"), texts, words)
     parts = connected_components(first.unionByName(by_hot).unionByName(second))
 
     # Digests tell the sets apart so far; a component's name is its smallest document.
