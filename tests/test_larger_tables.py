@@ -33,6 +33,6 @@ def matches(spark, folder, plan, name):
 
 
 @pytest.mark.parametrize("step", [64_000, 20_000_000, 3_000_000_000])
-@pytest.mark.parametrize("name", ["capture_filter"])
+@pytest.mark.parametrize("name", captured.QUERIES)
 def test_users_beyond_an_octet(spark, many_users, name, step):
     matches(spark, many_users(step), captured, name)
