@@ -39,9 +39,9 @@ def _functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _unselected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Operations that no selection of the same outstation came before since the last operation, by outstation."""
+    """Operations that no selection of the same host came before since the last operation, by outstation; a number may belong to stations at several hosts."""
     sent = _frames(spark, sf_dir).where("from_master").withColumn("at", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, offset)"))
-    found = unprepared(sent, ["outstation"], [Step("function = 'select'")], Step("function = 'operate'", unless="function = 'operate'"), ts="at", tie="offset")
+    found = unprepared(sent, ["dst", "outstation"], [Step("function = 'select'")], Step("function = 'operate'", unless="function = 'operate'"), ts="at", tie="offset")
     return found.groupBy("outstation").agg(F.count(F.lit(1)).alias("operations"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from netquarry.plans import captured
+from netquarry.plans import captured, plants
 
 
 @pytest.fixture(scope="module")
@@ -36,3 +36,7 @@ def matches(spark, folder, plan, name):
 @pytest.mark.parametrize("name", captured.QUERIES)
 def test_users_beyond_an_octet(spark, many_users, name, step):
     matches(spark, many_users(step), captured, name)
+
+
+def test_users_of_one_outstation(spark, many_users):
+    matches(spark, many_users(60_000), plants, "dnp3_unselected_operations")
