@@ -30,6 +30,8 @@ LIST = 8_000
 SORTED_LIST = 50_000
 #: Class from which on a shingle is hot: its counter stands out by more than 512.
 HOT_CLASS = 10
+#: Groups before it in a list that a group of equal hot parts is held against first.
+NEIGHBOURS = 6
 #: Tokens by which a pair of sets is found once rather than once for each token they share.
 LOW_TOKENS = 8
 
@@ -177,11 +179,14 @@ def _places_allow(a: str, b: str) -> Column:
     return (col(a, "at") < col(a, "n") - least + matches) & (col(b, "at") < col(b, "n") - least + matches)
 
 
+def _differing_bits(a: str, b: str) -> Column:
+    return sum((F.bit_count(F.col(f"{a}.parity")[i].bitwiseXOR(F.col(f"{b}.parity")[i])) for i in range(PARITY_WORDS)), F.lit(0))
+
+
 def _parity_allows(a: str, b: str) -> Column:
     """False only if the parity maps prove that two sets differ in too many elements."""
-    differ = sum((F.bit_count(F.col(f"{a}.parity")[i].bitwiseXOR(F.col(f"{b}.parity")[i])) for i in range(PARITY_WORDS)), F.lit(0))
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return differ <= n + m - 2 * _least_shared(n, m)
+    return _differing_bits(a, b) <= n + m - 2 * _least_shared(n, m)
 
 
 def _finely_allowed(pairs: DataFrame, maps: DataFrame, rows_at_once: int = 256) -> DataFrame:
@@ -206,7 +211,25 @@ def _most_sizes(shared: Column) -> Column:
     return F.floor(F.lit(NUMERATOR + DENOMINATOR) * shared / F.lit(NUMERATOR)).cast("int")
 
 
-def _hot_links(sets: DataFrame, parts: DataFrame, texts: DataFrame, classes: np.ndarray, words: int, hot_class: int) -> DataFrame:
+def _hot_parts_may(a: str, b: str) -> Column:
+    """Whether the smallest sets of two groups may link by their hot parts, of sizes n, whose parity maps bound what they share."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    shared = F.floor((n + m - _differing_bits(a, b)) / 2)
+    return _sizes_allow(a, b) & _places_allow(a, b) & (F.col(f"{a}.least_n") + F.col(f"{b}.least_n") <= _most_sizes(F.least(n, m, shared)))
+
+
+def _shared(pairs: DataFrame, groups: DataFrame, texts: DataFrame, classes: np.ndarray, words: int, hot_class: int) -> DataFrame:
+    """Pairs (g, h) of groups with their smallest sets (one, two) and the number of hot elements that they share."""
+    leasts = groups.select("g", "least")
+    pairs = staged(pairs.join(leasts.select("g", F.col("least").alias("one")), "g").join(leasts.select(F.col("g").alias("h"), F.col("least").alias("two")), "h"), "hot-pairs")
+    if pairs.isEmpty():
+        return pairs.select("g", "h", "one", "two", F.lit(0).cast("bigint").alias("shared"))
+    ids = pairs.select(F.col("one.id").alias("a"), F.col("two.id").alias("b"), F.col("one.doc_id").alias("a_doc"), F.col("two.doc_id").alias("b_doc"))
+    counted = _counted(ids.distinct(), texts, words, (classes, hot_class)).select("a", "b", "common")
+    return pairs.join(counted, (F.col("one.id") == F.col("a")) & (F.col("two.id") == F.col("b"))).select("g", "h", "one", "two", F.col("common").alias("shared"))
+
+
+def _hot_links(sets: DataFrame, parts: DataFrame, texts: DataFrame, classes: np.ndarray, words_of: int, hot_class: int) -> DataFrame:
     """Links (a, b) by hot elements alone that join all sets which hot elements alone link, from rows (id, doc_id, n, hot_digest, hot_n, hot_prefix, hot_parity).
 
     Sets with the same hot part are one group, however many; what two groups
@@ -214,7 +237,10 @@ def _hot_links(sets: DataFrame, parts: DataFrame, texts: DataFrame, classes: np.
     set only: the smallest of the group with which it may be largest (of its own
     group, or of one of those that share enough with it). The smallest sets of
     the groups are held against each other. Links so grow with the sets; what is
-    compared are groups.
+    compared are groups. First those are that stand beside each other in lists
+    in the order of some words of their parity maps, which joins a large number
+    of similar groups by linearly many pairs; then those of different components.
+    Groups with sets of several components keep a part of their own.
     """
     own = sets.where("hot_digest IS NOT NULL").join(parts, "id", "left").withColumn("part", F.coalesce("component_id", "id")).drop("component_id")
     own = staged(own.select("id", "doc_id", "n", "part", "hot_digest", "hot_n", "hot_prefix", "hot_parity"), "hot-sets")
@@ -224,24 +250,34 @@ def _hot_links(sets: DataFrame, parts: DataFrame, texts: DataFrame, classes: np.
     )
     groups = staged(groups, "hot-groups")
     part = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("g"))  # groups within one component needn't meet
-    entries = groups.select("g", "n", F.lit(1).alias("matches"), F.col("least.n").alias("least_n"), part.alias("part"), "parity", F.posexplode("prefix").alias("at", "token"))
-    by_part = entries.groupBy("token", "part").agg(F.count(F.lit(1)).alias("own"))
-    lists = by_part.groupBy("token").agg(F.max_by("part", F.struct("own", "part")).alias("main"), F.min("part").alias("first"), F.max("part").alias("last"), F.sum("own").alias("df"))
-    lists = staged(lists.where("first < last").select("token", "main", "df"), "hot-lists")
+    entries = groups.select("g", "n", F.lit(1).alias("matches"), F.col("least.n").alias("least_n"), part.alias("part"), (F.col("low") == F.col("high")).alias("sure"), "parity", F.posexplode("prefix").alias("at", "token"))
+
+    def listed_parts(entries: DataFrame) -> DataFrame:
+        """Tokens that entries of different components have: the component of most of them, and how many entries."""
+        by_part = entries.groupBy("token", "part").agg(F.count(F.lit(1)).alias("own"))
+        lists = by_part.groupBy("token").agg(F.max_by("part", F.struct("own", "part")).alias("main"), F.min("part").alias("first"), F.max("part").alias("last"), F.sum("own").alias("df"))
+        return staged(lists.where("first < last").select("token", "main", "df"), "hot-lists")
+
+    lists = listed_parts(entries)
+    entries = staged(join_groups(entries, lists, ["token"], lists.agg(F.sum("df")).first()[0] or 0, "df"), "hot-entries")
+    mine = F.struct("g", "n", "at", "matches", "least_n", "part", "parity", "sure")
+    words = [F.col("parity")[F.pmod(F.col("token") + k, F.lit(PARITY_WORDS)).cast("int")] for k in range(3)]
+    listed = W.partitionBy("token", F.pmod(F.xxhash64("g"), F.ceil(F.col("df") / SORTED_LIST))).orderBy(*words, "g")
+    beside = entries.select(mine.alias("x"), F.array(*(F.lag(mine, k).over(listed) for k in range(1, NEIGHBOURS + 1))).alias("ys"))
+    beside = beside.select("x", F.explode("ys").alias("y")).where("y IS NOT NULL AND x.part <> y.part AND x.sure AND y.sure")
+    beside = staged(beside.where(_hot_parts_may("x", "y")).select(F.least("x.g", "y.g").alias("g"), F.greatest("x.g", "y.g").alias("h")).distinct(), "hot-near")
+    near = _shared(beside, groups, texts, classes, words_of, hot_class)
+    near = staged(near.where(F.col("one.n") + F.col("two.n") <= _most_sizes(F.col("shared"))), "hot-near-links")
+    of_group = groups.select("g", part.alias("part"))
+    joined = near.join(of_group.select("g", F.col("part").alias("a")), "g").join(of_group.select(F.col("g").alias("h"), F.col("part").alias("b")), "h")
+    wider = connected_components(joined.select("a", "b")).select(F.col("id").alias("part"), F.col("component_id").alias("wider"))
+    entries = entries.drop("main", "df").join(wider, "part", "left").withColumn("part", F.coalesce("wider", "part")).drop("wider")
+    lists = listed_parts(entries)
     entries = staged(join_groups(entries, lists, ["token"], lists.agg(F.sum("df")).first()[0] or 0, "df"), "hot-entries")
     x, y = entries.where("part <> main").alias("x"), entries.alias("y")  # so the largest component of a list doesn't meet itself
-    may = F.col("x.least_n") + F.col("y.least_n") <= _most_sizes(F.least("x.n", "y.n"))
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") != F.col("y.part")) & _sizes_allow("x", "y") & may & _places_allow("x", "y") & _parity_allows("x", "y"))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") != F.col("y.part")) & _hot_parts_may("x", "y"))
     pairs = met.select(F.least("x.g", "y.g").alias("g"), F.greatest("x.g", "y.g").alias("h")).distinct()
-    leasts = groups.select("g", "n", "least")
-    pairs = staged(pairs.join(leasts.select("g", F.col("least").alias("one")), "g").join(leasts.select(F.col("g").alias("h"), F.col("least").alias("two")), "h"), "hot-pairs")
-    if pairs.isEmpty():
-        common = pairs.select("g", "h", "one", "two", F.lit(0).alias("shared"))
-    else:
-        ids = pairs.select(F.col("one.id").alias("a"), F.col("two.id").alias("b"), F.col("one.doc_id").alias("a_doc"), F.col("two.doc_id").alias("b_doc"))
-        counted = _counted(ids.distinct(), texts, words, (classes, hot_class)).select("a", "b", "common")
-        common = pairs.join(counted, (F.col("one.id") == F.col("a")) & (F.col("two.id") == F.col("b"))).select("g", "h", "one", "two", F.col("common").alias("shared"))
-    common = staged(common, "hot-common")
+    common = staged(_shared(staged(pairs, "hot-pairs"), groups, texts, classes, words_of, hot_class), "hot-common")
     most = _most_sizes(F.col("shared"))
     between = common.where(F.col("one.n") + F.col("two.n") <= most).select(F.col("one.id").alias("a"), F.col("two.id").alias("b"))
     reach = lambda g, to: common.select(F.col(g).alias("g"), (most - F.col(f"{to}.n")).alias("most_n"), F.col(f"{to}.id").alias("to"))
@@ -249,7 +285,7 @@ def _hot_links(sets: DataFrame, parts: DataFrame, texts: DataFrame, classes: np.
     best = reaches.groupBy("g").agg(F.max(F.struct("most_n", "to")).alias("best")).join(groups.select("g", "sets"), "g")
     best = staged(best.select(F.col("g").alias("hot_digest"), "best.*", "sets"), "hot-best")
     members = join_groups(own.select("id", "n", "hot_digest"), best, ["hot_digest"], own.count(), "sets").where("n <= most_n AND id <> to")
-    return between.unionByName(members.select(F.col("id").alias("a"), F.col("to").alias("b")))
+    return between.unionByName(near.select(F.col("one.id").alias("a"), F.col("two.id").alias("b"))).unionByName(members.select(F.col("id").alias("a"), F.col("to").alias("b")))
 
 
 def _counted(pairs: DataFrame, texts: DataFrame, words: int, hot: tuple[np.ndarray, int] | None = None, least_bits: int = 1 << 23, most_bits: int = 1 << 30, rows_at_once: int = 256, broadcast_pairs: int = 500_000) -> DataFrame:
@@ -274,6 +310,8 @@ def _counted(pairs: DataFrame, texts: DataFrame, words: int, hot: tuple[np.ndarr
     hot_class = hot[1] if hot else None
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_worker("shingles")
+
         def chosen() -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 at = whole.column(2).to_numpy()
@@ -391,28 +429,21 @@ def near_duplicate_components(documents: DataFrame, words: int = 5, hot_class: i
     narrow = across.withColumn("blocks", F.ceil(F.col("df") / LIST).cast("int")).drop("df")
     across = narrow.join(low, "id").join(maps.drop("n"), "id")
     lowest = F.array_min(F.array_intersect("x.low", "y.low"))
-    met = across.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    meets = across.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = (
-        met.alias("x")
-        .join(
-            meets.alias("y"),
-            (F.col("x.token") == F.col("y.token"))
-            & (F.col("x.block") == F.col("y.block"))
-            & (F.col("x.id") < F.col("y.id"))
-            & (F.col("x.part") != F.col("y.part"))
-            & _sizes_allow("x", "y")
-            & _parity_allows("x", "y")
-            & F.coalesce(lowest == F.col("x.token"), _places_allow("x", "y")),
-        )
-        .groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        .agg(
-            F.count(F.lit(1)).alias("shared"),
-            F.first(F.when(lowest.isNull(), F.least("x.matches", "y.matches") - F.least("x.hot", "y.hot")).otherwise(1)).alias("asked"),  # of the matches asked for so many may be hot
-        )
-        .where("shared >= asked")
-        .select("a", "b")
-    )
+
+    def met(x: DataFrame, y: DataFrame, on: Column) -> DataFrame:
+        may = (F.col("x.id") < F.col("y.id")) & (F.col("x.part") != F.col("y.part")) & _sizes_allow("x", "y") & _parity_allows("x", "y")
+        rows = x.alias("x").join(y.alias("y"), on & may & F.coalesce(lowest == F.col("x.token"), _places_allow("x", "y")))
+        asked = F.when(lowest.isNull(), F.least("x.matches", "y.matches") - F.least("x.hot", "y.hot")).otherwise(1)  # of the matches asked for so many may be hot
+        return rows.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), asked.alias("asked"))
+
+    short = across.where("blocks = 1").drop("blocks")  # both sides of the join are the same rows, which so are shuffled once
+    pairs = met(short, short, F.col("x.token") == F.col("y.token"))
+    if not mixed_lists.where(F.col("df") > LIST).isEmpty():
+        long = across.where("blocks > 1")
+        one = long.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        all_of = long.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        pairs = pairs.unionByName(met(one, all_of, (F.col("x.token") == F.col("y.token")) & (F.col("x.block") == F.col("y.block"))))
+    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("asked").alias("asked")).where("shared >= asked").select("a", "b")
     pairs = pairs.join(possible, ["a", "b"], "left_anti")
     second = _verified(staged(_finely_allowed(staged(pairs, "pairs"), fine), "pairs"), texts, words)
     parts = connected_components(first.unionByName(by_hot).unionByName(second))

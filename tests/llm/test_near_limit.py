@@ -95,3 +95,21 @@ def test_rows_of_one_id_with_different_texts(spark):
     rows = spark.createDataFrame([(1, text), (2, text + " more"), (2, other), (3, other + " x"), (3, text + " more")], "doc_id long, text string")
     found = {(r.doc_id, r.n_shingles): r.component_id for r in near_duplicate_components(rows).collect()}
     assert found == {(1, 56): 1, (2, 57): 1, (2, 26): 2, (3, 27): 2, (3, 57): 1}
+
+
+def test_a_large_family_meets_by_few_pairs(spark, monkeypatch):
+    """Near copies of one text, of which about one pair in twenty links, as their hot parts do: one component, by pairs that grow with the documents."""
+    from netquarry.llm import ngram_join
+
+    rng = np.random.default_rng(7)
+    base, texts = [f"w{i}" for i in range(150)], []
+    for n in range(700):
+        own = list(base)
+        for at in rng.choice(150, rng.integers(2, 5), replace=False):
+            own[at] = f"x{n}-{at}"
+        texts.append(" ".join(own))
+    expected, counted, verified = brute_components(list(enumerate(texts, 1))), ngram_join._counted, []
+    monkeypatch.setattr(ngram_join, "_counted", lambda pairs, *own: (verified.append(pairs.count()), counted(pairs, *own))[1])
+    found = near_duplicate_components(docs(spark, texts).repartition(4)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == expected
+    assert sum(verified) < 10 * len(texts), verified
