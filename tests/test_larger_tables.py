@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from netquarry.plans import captured, plants
+from netquarry.plans import captured, catalogue, plants
 
 
 @pytest.fixture(scope="module")
@@ -40,3 +41,10 @@ def test_users_beyond_an_octet(spark, many_users, name, step):
 
 def test_users_of_one_outstation(spark, many_users):
     matches(spark, many_users(60_000), plants, "dnp3_unselected_operations")
+
+
+def test_tasks_of_flows_hold_so_many_lines(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(catalogue, "TASK_LINES", 100)
+    flows = catalogue._flows(spark, sf_dir)
+    held = flows.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in held) == flows.count() and len(held) > 40 and max(r["count"] for r in held) < 300
