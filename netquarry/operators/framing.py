@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from hashlib import sha256
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -270,6 +271,19 @@ def _ways(blocks: DataFrame) -> DataFrame:
     return blocks.select(*WAY, "block", "data", "gaps", "marks").repartition("capture", "stream_id").sortWithinPartitions(*keys)
 
 
+def blocks_of(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` blocks, and of about ``size`` bytes unless one block is longer."""
+    for batch in batches:
+        start, held = 0, 0
+        for at, own in enumerate(pc.binary_length(batch.column("data")).to_pylist()):
+            if at > start and (at - start >= rows or held + (own or 0) > size):
+                yield batch.slice(start, at - start)
+                start, held = at, 0
+            held += own or 0
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
 def read_ways(blocks: DataFrame, framer: Callable[[tuple, dict], object], columns: str, row: Callable[[object], tuple]) -> DataFrame:
     """Messages of all directions: the columns of a direction, offset, ts and pkt_no of a message's first byte, and ``columns``.
 
@@ -287,26 +301,28 @@ def read_ways(blocks: DataFrame, framer: Callable[[tuple, dict], object], column
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream = way = reader = places = None
-        before, made, held = None, [], 0
+        before, own, made, held = None, (), [], 0
+        sized = [n for n, kind in enumerate(types) if kind == pa.binary()]
 
         def take(found: Iterator) -> None:
             nonlocal held
             for offset, message in found:
                 values = row(message)
-                made.append((*(way[WAY.index(n)] for n in own_names), offset, *places.at(offset), *values))
-                held += sum(len(v) for v in values if isinstance(v, bytes))
+                made.append((*own, offset, *places.at(offset), *values))
+                for n in sized:
+                    held += len(values[n] or b"")
 
         def packed() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), lead + types, strict=True)], [*own_names, "offset", "ts", "pkt_no", *names])
 
-        for batch in batches:
-            for at in range(batch.num_rows):
-                *ends, _, data, gaps, marks = (c[at].as_py() for c in batch.columns)
+        for batch in blocks_of(batches):
+            for *ends, _, data, gaps, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if ends != way:
                     if reader is not None:
                         take(reader.finish())
                     before = reader if stream == ends[:2] else None
                     stream, way, reader, places, read_to = ends[:2], ends, framer(tuple(ends), before), Places(), 0
+                    own = tuple(way[WAY.index(n)] for n in own_names)
                 places.add(marks, reader.oldest())
                 done = 0
                 for gap in gaps or ():

@@ -186,3 +186,15 @@ def test_gap_and_time_of_messages(spark, tmp_path):
     rows = http_messages(reassembled_blocks(read_captures(spark, str(tmp_path)), 20)).orderBy("offset").collect()
     assert [(r.uri, r.complete, bytes(r.body), int(r.ts), r.pkt_no) for r in rows] == [("/u", False, b"abchij", 100, 1), ("/v", True, b"", 101, 2)]
     assert http_messages(reassembled_blocks(read_captures(spark, str(tmp_path))).where(F.lit(False))).count() == 0
+
+
+def test_slices_of_blocks_keep_all_in_order():
+    import pyarrow as pa
+
+    from netquarry.operators.framing import blocks_of
+
+    data = [b"x" * n for n in (5, 300, 2, 2, 2, 0, 1_000, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(data)], ["block", "data"])
+    found = list(blocks_of([batch, batch], rows=3, size=400))
+    assert [n for own in found for n in own.column(0).to_pylist()] == [*range(8)] * 2
+    assert all(own.num_rows <= 3 and (own.num_rows == 1 or own.column(1).nbytes <= 500) for own in found)
