@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import blocks, claim_worker, join_groups, staged, utf8
+from .common import blocks, claim_worker, join_groups, small_batches, split_by_sieve, staged, utf8
 from .components import connected_components
 from .shingles import shingle_sets
 
@@ -26,6 +26,8 @@ FINE_BITS, MOST_FINE_BITS = 4, 1 << 16
 MOST_MATCHES = 4
 #: Entries of a list that are compared with each other in one task; longer lists are split and met part by part.
 LIST = 8_000
+#: Entries of a list up to which all its pairs meet in the neighbour pass, so that none is left for later.
+SHORT_LIST = 4
 #: Entries of a list that are sorted in one task for the neighbour pass.
 SORTED_LIST = 50_000
 #: Class from which on a shingle is hot: its counter stands out by more than 512.
@@ -363,7 +365,8 @@ def near_duplicate_components(documents: DataFrame, words: int = 5, hot_class: i
        no one else are dropped.
     3. Neighbours in each entry's list (by size, and in a random order) are
        verified and joined into components, so that a large group of near copies
-       collapses by linearly many pairs.
+       collapses by linearly many pairs. Of lists of ``SHORT_LIST`` entries, which
+       are most of them, all pairs are; step 4 can leave these lists out.
     4. Every pair of classes from different components that still has the
        matches asked for within its own prefixes, and that the parity maps
        can't rule out, is verified. This finds all that step 3 left. A pair
@@ -383,6 +386,7 @@ def near_duplicate_components(documents: DataFrame, words: int = 5, hot_class: i
     class, null if all of it are null. Other columns are ignored. ``text_hash``
     (xxhash64 of the text in UTF-8) tells rows of one id apart.
     """
+    small_batches(documents.sparkSession)
     texts = documents.select("doc_id", utf8().alias("text"))
     sketch = frequency_sketch(texts, lambda own: np.concatenate([np.empty(0, np.uint64), *shingle_sets(own, words)]))
     classes = frequency_classes(sketch)
@@ -395,16 +399,17 @@ def near_duplicate_components(documents: DataFrame, words: int = 5, hot_class: i
     entries = sets.select("id", "n", "matches", hot.alias("hot"), "rare", F.posexplode("prefix").alias("at", "token"))
     lists = staged(entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "lists")
     total = lists.agg(F.sum("df")).first()[0] or 0
+    _, entries = split_by_sieve(entries, F.xxhash64("token"), lists.select(F.xxhash64("token").alias("key")), 64 << 20)  # most entries have no list, and so don't move
     entries = staged(join_groups(entries, lists, ["token"], total, "df"), "entries")
     by_token = W.partitionBy("token", F.pmod(F.xxhash64("id"), F.ceil(F.col("df") / SORTED_LIST)))
 
     # Step 3: neighbours in the lists.
-    near = None
-    for order in (["n", "id"], [F.xxhash64("id"), "id"]):
-        mine = F.struct("id", "n", "at", "matches")
-        row = entries.select(mine.alias("x"), F.lag(mine).over(by_token.orderBy(*order)).alias("y")).where("y IS NOT NULL").where(_sizes_allow("x", "y") & _places_allow("x", "y"))
-        row = row.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        near = row if near is None else near.unionByName(row)
+    mine = F.struct("id", "n", "at", "matches")
+    by_size, at_random = by_token.orderBy("n", "id"), by_token.orderBy(F.xxhash64("id"), "id")
+    others = [F.lag(mine).over(by_size), F.when(F.col("df") > SHORT_LIST, F.lag(mine).over(at_random))]
+    others += [F.when(F.col("df") <= SHORT_LIST, F.lag(mine, k).over(by_size)) for k in range(2, SHORT_LIST)]  # so all pairs of a short list meet here
+    near = entries.select(mine.alias("x"), F.array(*others).alias("ys")).select("x", F.explode("ys").alias("y")).where("y IS NOT NULL").where(_sizes_allow("x", "y") & _places_allow("x", "y"))
+    near = near.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
     maps = sets.select("id", "n", "parity")
     possible = (
         near.distinct()
@@ -420,7 +425,7 @@ def near_duplicate_components(documents: DataFrame, words: int = 5, hot_class: i
 
     # Step 4: all other pairs that may link, across components; first those that share hot shingles alone.
     by_hot = staged(_hot_links(sets, parts, texts, classes, words, hot_class), "hot-links")
-    entries = entries.where("at < rare").drop("df", "rare")
+    entries = entries.where((F.col("at") < F.col("rare")) & (F.col("df") > SHORT_LIST)).drop("df", "rare")
     entries = entries.join(parts, "id", "left").withColumn("part", F.coalesce("component_id", "id")).drop("component_id")
     mixed_lists = entries.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("df"))
     mixed_lists = staged(mixed_lists.where("low < high").select("token", "df"), "mixed-lists")
