@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -12,7 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import CACHES, blocks, claim_worker, text_of
+from .common import CACHES, blocks, claim_worker, small_batches, text_of
 
 #: Unicode White_Space, as the vocabulary's patterns mean it; str.split() also cuts at the four code points of NOT_SPACE.
 SPACE_CLASS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -20,6 +22,8 @@ NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Contractions that the vocabulary's split pattern cuts off as pieces.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 PIECE = "|".join(CONTRACTIONS) + r"|\p{L}+|\p{N}|[^" + SPACE_CLASS + r"\p{L}\p{N}]+"
+#: A mark after a letter or digit: there a piece always ends, so what stands before it may be looked up without it.
+MARK = r"[.,;:!?](?<=[a-z0-9ß-öø-ÿ].)"
 #: Added to the last code point of a word, which so is another symbol than the same one within a word.
 WORD_END_OFFSET = 0x20000
 
@@ -71,10 +75,11 @@ class PrefixEncoder:
                 reached.add(i)
             self.suffixes.add_word(symbol, (i, len(symbol)))
         self.suffixes.make_automaton()
-        self._apart_known: dict[tuple[int, int], bool] = {}
-        self.of_byte = byte_symbols()
+        self._apart_known = _Pairs(self, cached_words)
+        self.of_byte = dict(enumerate(byte_symbols()))
         self.piece = regex.compile(PIECE)
         self.spaced = regex.compile(f"[^{SPACE_CLASS}]+")
+        self.mark = re.compile(MARK)
         self.special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.words = _Words(self, cached_words)
 
@@ -92,73 +97,84 @@ class PrefixEncoder:
             else:  # a merge across of the same rank stands further left and comes first
                 before, b = rb + 1, self.parts[b][0]
 
-    def _compatible(self, a: int, b: int) -> bool:
-        known = self._apart_known.get((a, b))
-        if known is None:
-            if len(self._apart_known) > 150_000:
-                self._apart_known.clear()
-            known = self._apart_known[a, b] = self._apart(a, b)
-        return known
-
     def piece_ids(self, piece: str) -> list[int]:
         """The token ids of one piece, by back-pointers from the last token of the whole."""
-        of = self.of_byte
-        text = "".join([of[b] for b in piece.encode()])
+        text = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.of_byte)
         if self.word_end:
             text = text[:-1] + chr(ord(text[-1]) + WORD_END_OFFSET)
-        last: list[tuple[int, int] | None] = [None] * (len(text) + 1)
-        compatible = self._compatible
+        tokens, starts = [-1] * (len(text) + 1), [0] * (len(text) + 1)
+        apart = self._apart_known
         for at, (token, size) in self.suffixes.iter(text):
-            end, start = at + 1, at + 1 - size
-            if last[end] is None and (start == 0 or (last[start] is not None and compatible(last[start][0], token))):
-                last[end] = (token, start)
+            end = at + 1
+            if tokens[end] < 0:
+                start = end - size
+                if start == 0 or (tokens[start] >= 0 and apart[tokens[start] << 32 | token]):
+                    tokens[end], starts[end] = token, start
         found, end = [], len(text)
         while end:
-            token, end = last[end]
-            found.append(token)
+            found.append(tokens[end])
+            end = starts[end]
         return found[::-1]
 
-    def word_ids(self, word: str) -> list[int]:
+    def word_ids(self, word: str) -> bytes:
         """The ids of a stretch without white space: special tokens as they stand, then pieces of the normal form."""
-        found: list[int] = []
-        for part in self.special.split(word) if self.special else [word]:
-            if part in self.added:
-                found.append(self.added[part])
-            elif part:
-                plain = part if part.isascii() else _normal_form(part)
-                for piece in self.piece.findall(plain.lower()):
-                    found += self.piece_ids(piece)
-        return found
+        parts = self.special.split(word) if self.special else [word]
+        return b"".join([self._id(p) if p in self.added else self.words[_lowered(unicodedata.normalize("NFC", p))] for p in parts if p])
+
+    def _id(self, special: str) -> bytes:
+        return array("I", [self.added[special]]).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        words = self.spaced.findall(text) if any(c in text for c in NOT_SPACE) else text.split()
-        return b"".join(map(self.words.__getitem__, words))
+        if any(t in text for t in self.added) or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
+            return b"".join(map(self.word_ids, self._split(text)))
+        return b"".join(map(self.words.__getitem__, self._split(self.mark.sub(r" \g<0>", _lowered(text)))))
+
+    def _split(self, text: str) -> list[str]:
+        return self.spaced.findall(text) if any(c in text for c in NOT_SPACE) else text.split()
 
     def decode(self, ids: bytes) -> str:
         """The tokens joined by spaces, as the vocabulary has no decoder of its own."""
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-class _Words(dict):
-    """Encoded words, forgotten when there are too many."""
+class _Kept(dict):
+    """What was made of keys, and before that what was kept of those made earlier: half is forgotten when there is too much."""
 
     def __init__(self, encoder: PrefixEncoder, most: int):
         super().__init__()
-        self.encoder, self.most = encoder, most
+        self.encoder, self.most, self.earlier = encoder, most // 2, {}
+
+    def keep(self, key, value):
+        if len(self) >= self.most:
+            self.earlier = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class _Words(_Kept):
+    """Ids of stretches in their normal form without white space and special tokens."""
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encoder.word_ids(word), "<u4").tobytes()
-        if len(word) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = ids
-        return ids
+        ids = self.earlier.get(word)
+        if ids is None:
+            of = self.encoder.piece_ids
+            ids = array("I", [i for piece in self.encoder.piece.findall(word) for i in of(piece)]).tobytes()
+        return self.keep(word, ids) if len(word) <= 64 else ids
+
+
+class _Pairs(_Kept):
+    """Whether the tokens of a pair (the left one's id in the upper bits) stay apart."""
+
+    def __missing__(self, pair: int) -> bool:
+        known = self.earlier.get(pair)
+        return self.keep(pair, self.encoder._apart(pair >> 32, pair & 0xFFFFFFFF) if known is None else known)
 
 
-def _normal_form(text: str) -> str:
-    """NFC, with each capital sigma lowered alone, where str.lower() looks at its place in the word."""
-    return unicodedata.normalize("NFC", text).replace("Σ", "σ")
+def _lowered(text: str) -> str:
+    """Lower case, with each capital sigma lowered alone, where str.lower() looks at its place in the word."""
+    return text.lower() if text.isascii() else text.replace("Σ", "σ").lower()
 
 
 _ENCODERS: dict[str, PrefixEncoder] = {}
@@ -183,6 +199,7 @@ def bpe_encode(documents: DataFrame, tokenizer_path: str, rows_at_once: int = 25
     broadcast. Rows are never shuffled, and no text is cut; a worker holds the
     ids of about a megabyte of texts, or of one longer text, at once.
     """
+    small_batches(documents.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as file:
         shared = documents.sparkSession.sparkContext.broadcast(file.read())
 
