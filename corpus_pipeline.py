@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry.llm.bpe import bpe_encode
-from netquarry.llm.common import held_out, staged, utf8, without
+from netquarry.llm.common import held_out, small_batches, staged, utf8, without
 from netquarry.llm.decontaminate import drop_contaminated
 from netquarry.llm.exact_dedup import drop_copies
 from netquarry.llm.langid import fit_languages, keep_known_languages
@@ -16,6 +16,7 @@ from netquarry.llm.queries import tokenizer_path
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows; null, letterless and foreign texts go."""
+    small_batches(spark)
     return keep_known_languages(docs, fit_languages(docs.where(~held_out())))
 
 
