@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_symbols
-from .common import CACHES, blocks, claim_worker, scratch, staged, utf8
+from .common import CACHES, blocks, claim_worker, scratch, small_batches, staged, utf8
 
 #: A frame is: length of the data (8 bytes), checksum of these 8, the data, checksum of the data; little-endian.
 LENGTH, CHECK = struct.Struct("<Q"), struct.Struct("<I")
@@ -85,13 +85,14 @@ class LibraryEncoder(dict):
     """Ids of whole texts by the tokenizers library, a word at a time; keeps the ids of the words it has met.
 
     The vocabulary lower-cases, cuts at white space and joins no token across
-    it, nor across a full stop, comma, colon, semicolon, exclamation or question
-    mark after an ASCII letter or digit, nor before a digit after one. So the
+    it, nor across an ASCII sign after an ASCII letter or digit (three signs that
+    special tokens hold are left out), nor before a digit after one. So the
     ids of a text are those of its parts between these places, and a long text
-    needs no more memory than its ids. Words are forgotten when there are too many.
+    needs no more memory than its ids. Of more than ``most`` words half are
+    forgotten: those not met since the half before was.
     """
 
-    def __init__(self, vocabulary: str, most: int = 150_000):
+    def __init__(self, vocabulary: str, most: int = 400_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the threads here
         from tokenizers import Tokenizer
@@ -101,33 +102,39 @@ class LibraryEncoder(dict):
         self.library.no_padding()
         self.tokens = self.library.model.tokenize
         self.width = 2 if self.library.get_vocab_size() < 1 << 16 else 4
-        self.most = most
+        self.most, self.earlier = most // 2, {}
         self.symbols = dict(enumerate(byte_symbols()))
-        self.before_mark = re.compile(rb"(?<=[a-z0-9])(?=[.,;:!?])")
+        self.sign = re.compile(rb"[!-/:;=?@\[-`{}~](?<=[a-z0-9].)")
         self.before_digit = re.compile(rb"(?<=[a-z0-9])(?=[0-9])")
 
     def packed(self, ids: list[int]) -> bytes:
         return array("H" if self.width == 2 else "I", ids).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        own = word.decode()
-        if own.isalpha() and own == own.lower() and (own.isascii() or unicodedata.is_normalized("NFC", own)):
-            # One piece in its normal form: what is left to the library is the merging of its symbols.
-            ids = [t.id for t in self.tokens(own if own.isascii() else word.decode("latin-1").translate(self.symbols))]
-        else:
-            ids = self.library.encode(own, add_special_tokens=False).ids
-        found = self.packed(ids)
+        found = self.earlier.get(word)
+        if found is None:
+            found = self.packed(self._ids(word))
         if len(word) <= 64:
             if len(self) >= self.most:
+                self.earlier = dict(self)
                 self.clear()
             self[word] = found
         return found
 
+    def _ids(self, word: bytes) -> list[int]:
+        # One piece in its normal form: what is left to the library is the merging of its symbols.
+        if word.isalpha() and word.islower():  # ASCII letters alone
+            return [t.id for t in self.tokens(word.decode())]
+        own = word.decode()
+        if own.isalpha() and own == own.lower() and unicodedata.is_normalized("NFC", own):
+            return [t.id for t in self.tokens(word.decode("latin-1").translate(self.symbols))]
+        return self.library.encode(own, add_special_tokens=False).ids
+
     def encode(self, text: bytes) -> bytes:
         """The ids of UTF-8 text, ``width`` bytes each."""
         if b"<|" not in text:  # else capitals tell special tokens from others
             text = text.lower()
-        words = self.before_mark.sub(b" ", text).split()
+        words = self.sign.sub(rb" \g<0>", text).split()
         if len(text) > 4096 * (len(words) + 1):
             words = [part for word in words for part in (self.before_digit.sub(b" ", word).split() if len(word) > 4096 else [word])]
         return b"".join(map(self.__getitem__, words))
@@ -172,6 +179,7 @@ def write_token_files(documents: DataFrame, tokenizer_path: str, end_id: int | N
     ignored. An empty table writes no file.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     folder = folder or scratch(spark, "tokens")
     with open(tokenizer_path, encoding="utf-8") as file:
         shared = spark.sparkContext.broadcast(file.read())

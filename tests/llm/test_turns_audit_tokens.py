@@ -222,6 +222,30 @@ def test_encoder_equals_the_library(library):
     assert encoder.encode(long.encode()) == struct.pack(f"<{len(reference_ids(library, long))}H", *reference_ids(library, long))
 
 
+def test_encoder_cuts_at_all_signs_as_the_library(library):
+    rng = random.Random(2)
+    encoder = LibraryEncoder(library.to_str(), most=40)
+    signs = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    bits = [*signs, *signs, "a", "b", "Z", "7", " ", "é", "\u0338", "\u0301", "'s", "'ll", "<|endoftext|>", "<|"]
+    for _ in range(5_000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(20)))
+        assert encoder.encode(text.encode()) == struct.pack(f"<{len(reference_ids(library, text))}H", *reference_ids(library, text)), text
+
+
+def test_encoder_keeps_the_words_it_meets_again(library, monkeypatch):
+    """Common words aren't encoded again when the cache is full, nor with signs that follow them."""
+    encoder = LibraryEncoder(library.to_str(), most=100)
+    asked = []
+    monkeypatch.setattr(encoder, "tokens", lambda own, ask=encoder.tokens: asked.append(own) or ask(own))
+    letters = "abcdefghij"
+    for k in range(1_000):
+        rare = "x" + "".join(letters[int(d)] for d in str(k))
+        text = f"common others$$$ {rare} common% others*** others_ common) don't"
+        assert encoder.encode(text.encode()) == struct.pack(f"<{len(reference_ids(library, text))}H", *reference_ids(library, text))
+    assert [asked.count(word) for word in ("common", "others", "don")] == [1, 1, 1]
+    assert len(encoder) + len(encoder.earlier) <= 100
+
+
 def check_files(spark, docs, library, **options):
     files = write_token_files(docs, tokenizer_path("word_bpe_49k.json"), **options)
     kind = docs.schema["doc_id"].dataType.simpleString()
