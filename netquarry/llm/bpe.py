@@ -14,7 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import CACHES, blocks, claim_worker, small_batches, text_of
+from .common import CACHES, blocks, leanly, small_batches, text_of
 
 #: Unicode White_Space, as the vocabulary's patterns mean it; str.split() also cuts at the four code points of NOT_SPACE.
 SPACE_CLASS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -204,7 +204,6 @@ def bpe_encode(documents: DataFrame, tokenizer_path: str, rows_at_once: int = 25
         shared = documents.sparkSession.sparkContext.broadcast(file.read())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim_worker("bpe")
         encoder = _encoder(shared.value)
         for batch in blocks(batches, rows_at_once):
             ids = [encoder.encode(t) for t in batch.column(1).to_pylist()]
@@ -220,5 +219,5 @@ def bpe_encode(documents: DataFrame, tokenizer_path: str, rows_at_once: int = 25
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", text_of().alias("text")).mapInArrow(
-        encode, f"doc_id {kind}, n_tokens bigint, ids binary, decoded string"
+        leanly("bpe", encode), f"doc_id {kind}, n_tokens bigint, ids binary, decoded string"
     )

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHES, blocks, claim_worker, text_of
+from .common import CACHES, blocks, leanly, text_of
 
 _NO_WORD = re.compile(r"[\W_]+")
 #: Characters of scripts that set no spaces between words (Thai, Lao, Burmese, Khmer, kana, Han); each counts as a word.
@@ -288,7 +288,6 @@ def find_contaminated(documents: DataFrame, benchmark: DataFrame, rows_at_once:
 
 def _search(shared, rows_at_once: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim_worker("decontaminate")
         names = ["doc_id", "item_id", "item_words", "edits", "first_word", "end_word"]
         for batch in blocks(batches, rows_at_once):
             rows = list(_found(batch.column(1).to_pylist(), shared.value))
@@ -296,7 +295,7 @@ def _search(shared, rows_at_once: int):
                 text, item, *numbers = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(item), *(pa.array(n, pa.int32()) for n in numbers)], names)
 
-    return search
+    return leanly("decontaminate", search)
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, rows_at_once: int = 256, **options) -> DataFrame:
@@ -310,10 +309,9 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, rows_at_once:
 
 def _clean(shared, rows_at_once: int, place: int):
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim_worker("decontaminate")
         for batch in blocks(batches, rows_at_once, column=place):
             keep = np.ones(batch.num_rows, bool)
             keep[[text for text, *_ in _found(batch.column(place).to_pylist(), shared.value)]] = False
             yield batch.filter(pa.array(keep))
 
-    return clean
+    return leanly("decontaminate", clean)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHES, blocks, held_out, text_of
+from .common import CACHES, blocks, held_out, leanly, text_of
 
 UNDETERMINED = "und"
 #: Different trigrams whose vectors are held at once, which bounds the memory whatever the texts: some 10 MB with 1,024 dimensions.
@@ -131,7 +131,7 @@ def fit_languages(
             value = np.concatenate([vector, [used[language][x] for x in letters.tolist()]])
             yield pa.RecordBatch.from_arrays([pa.array([language] * len(at)), pa.array(at), pa.array(value)], ["lang", "at", "value"])
 
-    summed = sample.mapInArrow(sums, "lang string, at int, value double").groupBy("lang", "at").agg(F.sum("value").alias("value"))
+    summed = sample.mapInArrow(leanly("langid", sums), "lang string, at int, value double").groupBy("lang", "at").agg(F.sum("value").alias("value"))
     rows = summed.orderBy("lang", "at").collect()  # languages x (dimensions and letters)
     languages = sorted({r["lang"] for r in rows})
     of_language = {x: sum(r["value"] for r in rows if r["lang"] == x and r["at"] >= dimensions) for x in languages}
@@ -161,7 +161,7 @@ def predict_language(documents: DataFrame, model: LanguageModel, rows_at_once: i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(named, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", text_of().alias("text")).mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double")
+    return documents.select("doc_id", text_of().alias("text")).mapInArrow(leanly("langid", predict), f"doc_id {kind}, lang_pred string, score double")
 
 
 def identify_language(documents: DataFrame, **options) -> DataFrame:
@@ -194,4 +194,4 @@ def keep_known_languages(documents: DataFrame, model: LanguageModel, deviations:
             short = np.array([not n and len(trigrams(t)[0]) < telling for t, n in zip(texts, near, strict=True)])
             yield batch.filter(pa.array((own > 0) & (near | (short & (own >= 0.5)))))
 
-    return documents.mapInArrow(keep, schema)
+    return documents.mapInArrow(leanly("langid", keep), schema)

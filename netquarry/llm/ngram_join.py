@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import blocks, claim_worker, join_groups, small_batches, split_by_sieve, staged, utf8
+from .common import blocks, join_groups, leanly, small_batches, split_by_sieve, staged, utf8
 from .components import connected_components
 from .shingles import shingle_sets
 
@@ -60,7 +60,7 @@ def frequency_sketch(texts: DataFrame, hashes: Callable[[list[bytes]], np.ndarra
                 total[row] = total.get(row, 0) + np.frombuffer(counts, np.int64)
         yield from _sketch_rows(total)
 
-    rows = texts.mapInArrow(count, "row int, counts binary").repartition("row").mapInArrow(add, "row int, counts binary").collect()
+    rows = texts.mapInArrow(leanly("shingles", count), "row int, counts binary").repartition("row").mapInArrow(leanly("shingles", add), "row int, counts binary").collect()
     sketch = np.zeros(((1 << SKETCH_BITS) // SKETCH_ROW, SKETCH_ROW), np.int64)
     for r in rows:  # as many as the sketch has, whatever the input
         sketch[r["row"]] += np.frombuffer(r["counts"], np.int64)
@@ -137,7 +137,6 @@ def _profiles(texts: DataFrame, classes: np.ndarray, words: int, hot_class: int,
     shared = texts.sparkSession.sparkContext.broadcast(classes)
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim_worker("shingles")
         for batch in blocks(batches, rows_at_once):
             rows = [_profile(own, shared.value, hot_class) for own in shingle_sets(batch.column(1).to_pylist(), words)]
             longs = pa.list_(pa.int64())
@@ -147,7 +146,7 @@ def _profiles(texts: DataFrame, classes: np.ndarray, words: int, hot_class: int,
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     return texts.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
-        profile,
+        leanly("shingles", profile),
         f"doc_id {kind}, text_hash bigint, n int, digest binary, parity array<bigint>, fine binary, prefix array<bigint>, matches int, "
         "rare int, hot_digest binary, hot_n int, hot_prefix array<bigint>, hot_parity array<bigint>",
     )
@@ -205,7 +204,7 @@ def _finely_allowed(pairs: DataFrame, maps: DataFrame, rows_at_once: int = 256)
     kind, of_doc = pairs.schema["a"].dataType.simpleString(), maps.schema["doc_id"].dataType.simpleString()
     own = lambda side: maps.select(*(F.col(c).alias(name) for c, name in (("id", side), ("n", f"n_{side}"), ("fine", f"fine_{side}"), ("doc_id", f"{side}_doc"))))
     rows = pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "n_a", "n_b", "fine_a", "fine_b", "a_doc", "b_doc")
-    return rows.mapInArrow(allow, f"a {kind}, b {kind}, a_doc {of_doc}, b_doc {of_doc}")
+    return rows.mapInArrow(leanly("shingles", allow), f"a {kind}, b {kind}, a_doc {of_doc}, b_doc {of_doc}")
 
 
 def _most_sizes(shared: Column) -> Column:
@@ -312,8 +311,6 @@ def _counted(pairs: DataFrame, texts: DataFrame, words: int, hot: tuple[np.ndarr
     hot_class = hot[1] if hot else None
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim_worker("shingles")
-
         def chosen() -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 at = whole.column(2).to_numpy()
@@ -326,7 +323,7 @@ def _counted(pairs: DataFrame, texts: DataFrame, words: int, hot: tuple[np.ndarr
                 [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()), pa.array([s.tobytes() for s in kept], pa.binary())], ["id", "elements"]
             )
 
-    found = texts.where("doc_id IS NOT NULL").withColumn("at", place("doc_id")).mapInArrow(sets, "id binary, elements binary")
+    found = texts.where("doc_id IS NOT NULL").withColumn("at", place("doc_id")).mapInArrow(leanly("shingles", sets), "id binary, elements binary")
     found = staged(found, "sets")
     narrow = pairs.select("a", "b")
     narrow = F.broadcast(narrow) if n_pairs <= broadcast_pairs else narrow
@@ -344,7 +341,7 @@ def _counted(pairs: DataFrame, texts: DataFrame, words: int, hot: tuple[np.ndarr
     joined = found.select(F.col("id").alias("a"), F.col("elements").alias("x")).join(narrow, "a").join(
         found.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b"
     )
-    return joined.select("a", "b", "x", "y").mapInArrow(count, "a binary, b binary, n_a bigint, n_b bigint, common bigint").distinct()
+    return joined.select("a", "b", "x", "y").mapInArrow(leanly("shingles", count), "a binary, b binary, n_a bigint, n_b bigint, common bigint").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:

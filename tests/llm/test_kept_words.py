@@ -47,3 +47,31 @@ def test_texts_reach_python_in_small_batches(spark):
     bpe_encode(spark.createDataFrame([(1, "x")], DOCS), tokenizer_path("word_bpe_49k.json"))
     assert spark.conf.get(ARROW_BYTES) == "1m"
     spark.conf.set(ARROW_BYTES, ARROW_DEFAULT)
+
+
+def test_each_operator_drops_what_others_left_in_a_worker(monkeypatch):
+    """Language models and other steps without a cache of their own, too, run beside no encoder; freed memory goes back at the end."""
+    import pyarrow as pa
+
+    from netquarry.llm import common
+
+    given, kept = [], {"words": 1}
+    monkeypatch.setattr(common, "CACHES", {"bpe": kept.clear})
+    monkeypatch.setattr(common, "_CLAIMED", {})
+    monkeypatch.setattr(common, "give_back", lambda: given.append(dict(kept)))
+    batch = pa.RecordBatch.from_pydict({"text": ["a"]})
+    held = common.leanly("bpe", lambda batches: ((kept.setdefault("words", 1), b)[1] for b in batches))
+    assert list(held(iter([batch]))) == [batch] and kept and len(given) == 2
+    other = common.leanly("langid", lambda batches: (b for b in batches if not kept))
+    assert list(other(iter([batch]))) == [batch] and len(given) == 4
+
+
+def test_steps_of_the_pipeline_are_lean(spark):
+    """No step of Python in the stages is handed to Spark without ``leanly``."""
+    import inspect
+
+    from netquarry.llm import bpe, decontaminate, langid, ngram_join
+
+    for module in (bpe, decontaminate, langid, ngram_join):
+        source = inspect.getsource(module)
+        assert source.count("leanly(\"") == source.count(".mapInArrow("), module.__name__
